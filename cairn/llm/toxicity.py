@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -117,6 +118,21 @@ def _fragments(found: set[str]) -> set[str]:
     return out
 
 
+def _unlike(found: list[set[str]]) -> list[set[str]]:
+    """Without near copies of earlier ones (5 of the 8 smallest word hashes shared), which would pass for a pattern."""
+    first: dict[int, int] = {}
+    kept = []
+    for d in found:
+        low = sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in d)[:8]
+        shared = Counter(first[h] for h in low if h in first)
+        if shared and 8 * max(shared.values()) >= 5 * len(low):
+            continue
+        for h in low:
+            first.setdefault(h, len(kept))
+        kept.append(d)
+    return kept
+
+
 def _contrast(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[list[str], list[str]]:
     """Windows of toxic text that ordinary text doesn't explain, and windows of ordinary text."""
     hits = Counter(f for d in toxic for f in _fragments(d))
@@ -127,9 +143,9 @@ def _contrast(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[list[str
         base.update(_fragments(d) & marked)
     rate = len(toxic) / max(1, len(ordinary))
     marked = {f for f in marked if hits[f] >= 12 * rate * (base[f] + 0.25)}
-    foul = Counter(w for d in toxic for w in d if not marked.isdisjoint(_fragments({w})))
+    foul = Counter(w for d in toxic for w in sorted(d) if not marked.isdisjoint(_fragments({w})))
     foul = Counter({w: n for w, n in foul.items() if n > 1})
-    plain = Counter(w for d in ordinary for w in d)
+    plain = Counter(w for d in ordinary for w in sorted(d))
     return [w for w, n in foul.most_common() for _ in range(min(n, 4))], [w for w, _ in plain.most_common(60_000)]
 
 
@@ -155,7 +171,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     by = {y: [t for t, z in rows if z == y] for y in (0, 1)}
     if min(map(len, by.values())) < 2:
         return Model(b"", b"", ())
-    sets = {y: [words(t) for t in by[y][0::2]] for y in by}
+    sets = {y: _unlike([words(t) for t in by[y][0::2]]) for y in by}
     foul, plain = _contrast(sets[1], sets[0])
     model = Model(_dictionary(plain, ORDINARY_BYTES), _dictionary(foul, TOXIC_BYTES), (0.0,) * 6)
     common = set().union(*sets[0])
@@ -187,7 +203,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 1500), train_chars: int = 32_768) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2200, 1500), train_chars: int = 32_768) -> Model:
     """Model learnt from labels (doc_id, toxic) of rows that are not held out."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = []
