@@ -1,6 +1,6 @@
 """Vectorised word hashing over UTF-8 buffers.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. All text of a call is one byte
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased unless fold is off. All text of a call is one byte
 array, so the cost is a few numpy passes and no Python loop over words. A word's hash is a polynomial over the ring of
 64-bit integers, made independent of the word's place by the inverse power, then mixed.
 """
@@ -16,6 +16,7 @@ BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _CODE.copy()
 _CODE[65:91] = _CODE[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words in a byte array."""
     hashes, starts, ends, at, n = [], [], [], 0, len(buf)
     while at < n:
@@ -57,7 +58,7 @@ def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 while to < n and not _SPACE[buf[to]]:
                     step = np.flatnonzero(_SPACE[buf[to : to + BLOCK]])
                     to = to + int(step[0]) if len(step) else min(n, to + BLOCK)
-        h, s, e = _block(buf[at:to])
+        h, s, e = _block(buf[at:to], _CODE if fold else _EXACT)
         hashes.append(h)
         starts.append(s + at)
         ends.append(e + at)
@@ -67,7 +68,7 @@ def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
-def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(b: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.empty(len(b) + 2, np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = ~_SPACE[b]
@@ -75,7 +76,7 @@ def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     with np.errstate(over="ignore"):
         total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_CODE[b] * _pow("p", _P, len(b)), out=total[1:])
+        np.cumsum(code[b] * _pow("p", _P, len(b)), out=total[1:])
         h = (total[ends] - total[starts]) * _pow("inv", _P_INV, len(b))[starts]
         h = mix(h + (ends - starts).astype(np.uint64))
     return h, starts, ends
@@ -84,12 +85,12 @@ def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Texts:
     """The words of many texts: `hashes` of all, those of text i from first[i] to first[i + 1]."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], fold: bool = True):
         joined = b"\n".join(texts)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1] if len(texts) else np.zeros(0, np.int64)
         self.buf = np.frombuffer(joined, np.uint8)
-        self.hashes, self.starts, self.ends = words_of(self.buf)
+        self.hashes, self.starts, self.ends = words_of(self.buf, fold)
         self.first = np.searchsorted(self.starts, np.concatenate([self.begin, [len(joined) + 1]]))
 
     def counts(self) -> np.ndarray:
