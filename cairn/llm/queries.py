@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, html, lines, neardup, quality, sql, toxicity
+from cairn.llm import bpe, decontaminate, html, lines, neardup, quality, shared, sql, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), percent=80, width=2)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared.folder(spark)}/warc-{uuid.uuid4().hex}"
+    found = warc.read_back(warc.archive(table(spark, sf_dir, "pages"), folder), folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -52,7 +59,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op5_near_dup": op5_near_dup, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op5_near_dup": op5_near_dup, "op6_warc": op6_warc, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
