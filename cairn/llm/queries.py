@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, html, lines, neardup, quality, shared, sql, toxicity, warc
+from cairn.llm import bpe, decontaminate, html, lines, lm, neardup, quality, shared, sql, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").withColumn("held_out", lm.held_out()), "held_out")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -59,7 +63,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op5_near_dup": op5_near_dup, "op6_warc": op6_warc, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+    return {"op1_decontaminate": op1_decontaminate, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op5_near_dup": op5_near_dup, "op6_warc": op6_warc, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
