@@ -296,6 +296,12 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk: int = CHU
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs, all columns, that stay: of each class the document with the smallest doc_id."""
-    gone = classes(docs, percent, width).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that stay: of each class the document with the smallest doc_id, once if it is
+    repeated. Rows with a null doc_id can't be told apart and stay."""
+    found = shared.stored(classes(docs, percent, width).where("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "neardup-classes")
+    gone = found.where("doc_id != component_id").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("doc_id = component_id and rows > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return left
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

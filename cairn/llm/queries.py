@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, html, lines, lm, neardup, quality, shared, sql, toxicity, warc
+from cairn.llm import bpe, decontaminate, html, lines, lm, neardup, quality, shared, sql, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def substring_digests(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(substrings.removed(table(spark, sf_dir, "documents")))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), percent=80, width=2)
 
@@ -62,8 +70,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op5_near_dup": op5_near_dup, "op6_warc": op6_warc, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+    return {"op1_decontaminate": op1_decontaminate, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings, "op5_near_dup": op5_near_dup, "op6_warc": op6_warc, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
