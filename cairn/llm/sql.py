@@ -1,16 +1,16 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 #: Containment of at least 0.8 of an item's distinct five-word shingles (of all its words, if fewer).
 OP1 = f"""
 WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 items AS (SELECT item_id, w, least(5, len(w)) AS k FROM item_words WHERE len(w) > 0),
-item_shingles AS (SELECT DISTINCT item_id, k, unnest(list_transform(generate_series(1, len(w) - k + 1), i -> array_to_string(w[i:i + k - 1], ' '))) AS s FROM items),
+item_shingles AS (SELECT DISTINCT item_id, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM items),
 sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-doc_shingles AS (SELECT DISTINCT rid, doc_id, k, unnest(list_transform(generate_series(1, len(w) - k + 1), i -> array_to_string(w[i:i + k - 1], ' '))) AS s FROM docs, (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
+doc_shingles AS (SELECT DISTINCT rid, doc_id, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM docs, (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
 hits AS (SELECT rid, doc_id, item_id, count(*) AS n_found FROM doc_shingles JOIN item_shingles USING (k, s) GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_shingles, n_found, n_found / n AS containment FROM hits JOIN sizes USING (item_id) WHERE 10 * n_found >= 8 * n
 """
