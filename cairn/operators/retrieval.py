@@ -61,7 +61,7 @@ def ranked(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 def semantic_penalty(scored: DataFrame) -> DataFrame:
     """scored(id, score, is_test, is_container) → score halved for tests and for data containers."""
     half = lambda c: F.when(F.col(c), 0.5).otherwise(1.0)
-    return scored.select("id", F.round(F.col("score") * half("is_test") * half("is_container"), 6).alias("score"))
+    return scored.select("id", F.round(F.col("score") * half("is_test") * half("is_container"), 8).alias("score"))
 
 
 def structural_seed(scored: DataFrame, files: list[str], bonus: float = 0.5, k: int = 30) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.plans import fixture
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(fixture.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(fixture.ORACLES)
