@@ -71,31 +71,39 @@ class EliasFano:
         w = np.searchsorted(self.zeros, k, "right") - 1
         return 64 * w + _select(~self.upper[w], k - self.zeros[w]) - k
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first element not below x; n if there is none."""
+    def _seek(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first element not below x, and whether it equals x."""
         x = x.astype(np.uint64)
         high = (x >> np.uint64(self.bits)).astype(np.int64)
         inside = high <= self.universe >> self.bits
         h = np.where(inside, high, 0)
         at = np.where(h > 0, self._before_zero(np.maximum(h - 1, 0)), 0)
-        end = self._before_zero(h)
         want = x & np.uint64((1 << self.bits) - 1)
-        live = np.flatnonzero(inside & (at < end))
-        while len(live):  # within one high part, a few steps
-            below = self._low(at[live]) < want[live]
-            live = live[below]
-            at[live] += 1
-            live = live[at[live] < end[live]]
-        return np.where(inside, at, self.n)
+        end = self._before_zero(h)
+        stop = end.copy()
+        # the elements of a high part follow its zero; a dense context has many there, so halve the span
+        live = np.flatnonzero(inside & (at < stop))
+        while len(live):
+            mid = (at[live] + stop[live]) >> 1
+            below = self._low(mid) < want[live]
+            at[live[below]] = mid[below] + 1
+            stop[live[~below]] = mid[~below]
+            live = live[at[live] < stop[live]]
+        same = np.zeros(len(x), bool)
+        near = np.flatnonzero(inside & (at < end))
+        same[near] = self._low(at[near]) == want[near]
+        return np.where(inside, at, self.n), same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Place of the first element not below x; n if there is none."""
+        return self._seek(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of an element equal to x, else -1."""
         if not self.n:
             return np.full(len(x), -1)
-        at = self.successor(x)
-        ok = at < self.n
-        ok[ok] = self.access(at[ok]) == x[ok].astype(np.uint64)
-        return np.where(ok, at, -1)
+        at, same = self._seek(x)
+        return np.where(same, at, -1)
 
 
 class Trie:
@@ -138,16 +146,20 @@ class Trie:
     def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Codes of pairs, 0 of those that are absent."""
         out = np.zeros(len(contexts), np.uint8)
-        rank = self.contexts.find(contexts)
-        known = np.flatnonzero(rank >= 0)
-        if not len(known):
+        if not len(contexts) or not len(self.codes):
             return out
-        r = rank[known]
-        x = r.astype(np.uint64) * np.uint64(self.n_words) + words[known].astype(np.uint64)
-        at = self.successors.successor(x)
-        end = self.pointers.access(r + 1).astype(np.int64)
-        ok = at < end
-        ok[ok] = self.successors.access(at[ok]) == x[ok]
+        new = np.ones(len(contexts), bool)  # a run of one context is found once
+        new[1:] = contexts[1:] != contexts[:-1]
+        begin = np.flatnonzero(new)
+        run = np.diff(np.append(begin, len(contexts)))
+        rank = self.contexts.find(contexts[begin])
+        end = np.zeros(len(rank), np.int64)
+        end[rank >= 0] = self.pointers.access(rank[rank >= 0] + 1).astype(np.int64)
+        rank, end = np.repeat(rank, run), np.repeat(end, run)
+        known = np.flatnonzero(rank >= 0)
+        x = rank[known].astype(np.uint64) * np.uint64(self.n_words) + words[known].astype(np.uint64)
+        at, same = self.successors._seek(x)
+        ok = same & (at < end[known])
         out[known[ok]] = self.codes[at[ok]]
         return out
 

@@ -169,6 +169,21 @@ def word_counts(table: DataFrame, n: int) -> DataFrame:
     return shared.stored(sent.groupBy("shard").applyInArrow(answer, "block string, shard long, counts binary, word_ids binary, n_words long, top long"), "lm-words")
 
 
+def distinct(v: np.ndarray, w: np.ndarray, with_v: np.ndarray):
+    """Distinct pairs (v, w) in order, with_v of theirs, and the place of each given pair among them."""
+    top = int(w.max()) + 1 if len(w) else 1
+    if not len(v) or int(v.max()) < (1 << 64) // top - 1:
+        order = np.argsort(v * np.uint64(top) + w, kind="stable")
+    else:
+        order = np.lexsort((w, v))
+    sv, sw = v[order], w[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return sv[new], sw[new], with_v[order][new], of
+
+
 class _Block:
     """A block with the counts and ids of its words: its tokens' pairs."""
 
@@ -189,17 +204,16 @@ class _Block:
         """Distinct pairs of known words by shard: shard, context, word, context count, and each token's place (or -1)."""
         self.c_before[self.start] = n_train_docs
         known = np.flatnonzero((self.c > 0) & (self.c_before > 0))
-        v, w = self.before[known], self.word[known]
+        v, w, cv, of = distinct(self.before[known], self.word[known], self.c_before[known])
         with np.errstate(over="ignore"):
-            lots = (self.c_before[known] // CONTEXT_TOKENS + 1).astype(np.uint64)
-            shard = textvec.mix(textvec.mix(v + np.uint64(77)) + w % lots) % np.uint64(n)
-        order = np.lexsort((w, v, shard))
-        s, v, w = shard[order], v[order], w[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+            lots = (cv // CONTEXT_TOKENS + 1).astype(np.uint64)
+            shard = (textvec.mix(textvec.mix(v + np.uint64(77)) + w % lots) % np.uint64(n)).astype(np.uint16 if n < 1 << 16 else np.int64)
+        order = np.argsort(shard, kind="stable")  # small integers: a radix sort
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         place = np.full(len(self.c), -1)
-        place[known[order]] = np.cumsum(new) - 1
-        return s[new], v[new], w[new], self.c_before[known][order][new], place
+        place[known] = rank[of]
+        return shard[order].astype(np.uint64), v[order], w[order], cv[order], place
 
 
 def _cogrouped(left, right) -> _Block:
@@ -249,20 +263,19 @@ def pair_codes(table: DataFrame, words: DataFrame, n: int, n_train_docs: int, n_
             ts.append(np.repeat(unpack(t), run))
             cs.append(unpack(s).astype(np.int64))
         v, w, total, seen = map(np.concatenate, (vs, ws, ts, cs))
-        # pairs of training texts, in order, with their counts
-        train = np.flatnonzero(seen)
-        order = train[np.lexsort((w[train], v[train]))]
-        tv, tw = v[order], w[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (tv[1:] != tv[:-1]) | (tw[1:] != tw[:-1])
-        begin = np.flatnonzero(new)
-        count = np.add.reduceat(seen[order], begin) if len(begin) else np.zeros(0, np.int64)
-        c = total[order][begin].astype(float)
-        trie = Trie(tv[begin], tw[begin], quantise(weight(c) * count / np.maximum(c, 1)), n_words)
+        sizes = list(map(len, vs))
+        del vs, ws, ts, cs
+        v, w, total, of = distinct(v, w, total)
+        count = np.bincount(of, seen, len(v)).astype(np.int64)
+        train = np.flatnonzero(count)  # the trie holds the pairs of training texts
+        c = total[train].astype(float)
+        trie = Trie(v[train], w[train], quantise(weight(c) * count[train] / np.maximum(c, 1)), n_words)
         try:
-            out = [trie.lookup(x, y).tobytes() for x, y in zip(vs, ws, strict=True)]
+            code = trie.lookup(v, w)[of]  # a pair that several blocks ask for is searched once
         finally:
             trie.close()
+        at = np.cumsum([0, *sizes])
+        out = [code[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "codes": pa.array(out, pa.binary())})
 
     core = table.select("block", "held", "count", "tokens")
