@@ -127,10 +127,14 @@ def disjunctive_links(links: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def nearest_cached(wanted: DataFrame, cached: DataFrame, most: int = 2000) -> DataFrame:
-    """wanted(repo, at), cached(repo, at, commit) → repo, at, commit: the nearest earlier one within `most` commits."""
-    c = cached.select("repo", F.col("at").alias("cached_at"), "commit")
-    rows = wanted.join(c, "repo").where((F.col("cached_at") <= F.col("at")) & (F.col("at") - F.col("cached_at") <= most))
-    return rows.groupBy("repo", "at").agg(F.min_by("commit", F.col("at") - F.col("cached_at")).alias("commit"))
+    """wanted(repo, at), cached(repo, at, commit) → repo, at, commit: the nearest earlier one within `most` commits.
+
+    Both are read in one order and the last cached one carries forward, so nothing is joined by range."""
+    none = F.lit(None).cast(cached.schema["commit"].dataType)
+    rows = wanted.distinct().select("repo", "at", none.alias("commit"), F.lit(1).alias("asks")).unionByName(cached.select("repo", "at", "commit", F.lit(0).alias("asks")))
+    by = Window.partitionBy("repo").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("asks") == 0, F.struct("at", "commit")), True).over(by)
+    return rows.withColumn("near", last).where((F.col("asks") == 1) & (F.col("at") - F.col("near.at") <= most)).select("repo", "at", "near.commit")
 
 
 def mention_targets(mentions: DataFrame, symbols: DataFrame) -> DataFrame:

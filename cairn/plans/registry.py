@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import fixture
+from cairn.plans import fixture, more  # noqa: F401  (more adds to the same tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
