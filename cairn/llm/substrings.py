@@ -29,26 +29,24 @@ from cairn.llm.lm import pack, pack_sorted, unpack, unpack_sorted
 
 WIDTH, K = 50, 25
 #: Text bytes of a block; anchors of a shard; strings of a new batch.
-BLOCK_BYTES, SHARD_ANCHORS, BATCH = 6 << 20, 1_000_000, 1 << 16
+BLOCK_BYTES, SHARD_ANCHORS, BATCH = 6 << 20, 250_000, 1 << 16
 LAST = (1 << 63) - 1
 
 _P = 0xD1B54A32D192ED03 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _CODE = np.random.default_rng(411).integers(1, 1 << 63, 256, dtype=np.uint64)
-_PLACE = 27  # bits of a place in a block
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: String starts that are hashed at a time: what they need stays in the processor's cache.
+_STEP = 1 << 16
+_PLACE = 20  # bits of a place among them
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    got = _powers.get(0)
-    if got is None or len(got[0]) < n:
-        got = tuple(np.full(n, b, np.uint64) for b in (_P, _P_INV))
-        for a in got:
-            a[0] = 1
-            np.multiply.accumulate(a, out=a)
-        if n <= 4 * BLOCK_BYTES:
-            _powers[0] = got
-    return got[0][:n], got[1][:n]
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_STEP + 1024, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POW, _INV = _powers(_P), _powers(_P_INV)
 
 
 class Anchors:
@@ -64,37 +62,55 @@ class Anchors:
         self.at, self.begin, self.count, self.hash, self.owner = none, none, none, np.zeros(0, np.uint64), none
         if n < width:
             return
-        if n >= 1 << _PLACE:
-            raise ValueError("a block is too large")
-        with np.errstate(over="ignore"):
-            p, inv = _pow(n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_CODE[b] * p[:n], out=total[1:])
-            h = textvec.mix((total[k:] - total[:-k]) * inv[: n - k + 1])
-        key = (h & ~np.uint64((1 << _PLACE) - 1)) | np.arange(len(h), dtype=np.uint64)
-        w, have = width - k + 1, 1
-        least = key
+        turn = np.zeros(n + 1, np.int8)  # where starts of whole strings begin and end
+        full = self.size >= width
+        np.add.at(turn, self.first[full], 1)
+        np.add.at(turn, self.first[full] + self.size[full] - width + 1, -1)
+        runs, carry = [], np.int8(0)
+        for x in range(0, n - width + 1, _STEP):
+            y = min(x + _STEP, n - width + 1)
+            inside = np.cumsum(turn[x:y], dtype=np.int8) + carry
+            carry = inside[-1]
+            start = np.flatnonzero(inside)
+            if len(start):
+                hashes = self._hash(b[x : y + width - 1], k)
+                at = self._least(hashes, width - k + 1)[start]
+                new = np.ones(len(start), bool)
+                new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
+                run = np.flatnonzero(new)
+                runs.append((at[run] + x, start[run] + x, np.diff(np.append(run, len(start))), hashes[at[run]]))
+        if not runs:
+            return
+        at, begin, count, hashes = map(np.concatenate, zip(*runs, strict=True))
+        new = np.ones(len(at), bool)  # a run may go on in the next step
+        new[1:] = (at[1:] != at[:-1]) | (begin[1:] != begin[:-1] + count[:-1])
+        first = np.flatnonzero(new)
+        self.at, self.begin, self.hash = at[first], begin[first], hashes[first]
+        self.count = np.add.reduceat(count, first)
+        self.owner = np.searchsorted(self.first, self.begin, "right") - 1
+
+    @staticmethod
+    def _hash(b: np.ndarray, k: int) -> np.ndarray:
+        """Hash of every k-byte substring, whatever its place."""
+        n = len(b)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODE[b] * _POW[:n], out=total[1:])
+        h = total[k:] - total[:-k]
+        h *= _INV[: n - k + 1]
+        return textvec.mix(h)
+
+    @staticmethod
+    def _least(hashes: np.ndarray, w: int) -> np.ndarray:
+        """Place of the least of every w hashes in a row, the leftmost of equals."""
+        least = hashes & ~np.uint64((1 << _PLACE) - 1)
+        least |= np.arange(len(hashes), dtype=np.uint64)
+        have, n = 1, len(hashes) - w + 1
         while 2 * have <= w:
             least = np.minimum(least[:-have], least[have:])
             have *= 2
         if have < w:
-            least = np.minimum(least[: len(key) - w + 1], least[w - have : w - have + len(key) - w + 1])
-        at = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        inside = np.zeros(n + 1, np.int8)
-        full = self.size >= width
-        np.add.at(inside, self.first[full], 1)
-        np.add.at(inside, self.first[full] + self.size[full] - width + 1, -1)
-        start = np.flatnonzero(np.cumsum(inside)[: len(at)] > 0)
-        if not len(start):
-            return
-        at = at[start]
-        owner = np.searchsorted(self.first, start, "right") - 1
-        new = np.ones(len(start), bool)
-        new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-        run = np.flatnonzero(new)
-        self.at, self.begin, self.owner = at[run], start[run], owner[run]
-        self.count = np.diff(np.append(run, len(start)))
-        self.hash = h[self.at]
+            least = np.minimum(least[:n], least[w - have : w - have + n])
+        return (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
 
 
 class Family:
@@ -203,7 +219,8 @@ class _Block:
         at = np.cumsum([0, *sizes]).tolist()
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
         self.a = Anchors([whole[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], width, k)
-        self.value = self.a.hash >> np.uint64(64 - bits)
+        # anchors are least hashes: mixed again, they spread evenly over the shards
+        self.value = textvec.mix(self.a.hash) >> np.uint64(64 - bits)
         self.bits, self.width, self.k = bits, width, k
 
     def shard(self, values: np.ndarray, n: int) -> np.ndarray:
@@ -222,27 +239,28 @@ class _Block:
         return v[run], several
 
     def contexts(self, live: np.ndarray):
-        """Of live anchors: distinct contexts in order of anchor value, with place of the anchor in them, smallest id; and
-        for each live anchor its index and its context's."""
+        """Of live anchors: distinct contexts in order of anchor value, places of the anchor in them, their smallest ids
+        and anchor values; and for each live anchor its index and its context's."""
         values, _ = self.seen()
         on = np.flatnonzero(live[np.searchsorted(values, self.value)]) if len(values) else np.zeros(0, np.int64)
         on = on[np.argsort(self.value[on], kind="stable")]
-        a, known, found = self.a, {}, []
-        which = np.empty(len(on), np.int64)
+        a, known, found, least, first, which = self.a, {}, [], [], [], []
+        joined, get = a.joined, known.get  # an anchor's place follows from its context
         ids = self.ids[a.owner[on]].tolist()
         ends = (a.begin + a.count - 1 + self.width)[on].tolist()
-        for j, (s, e, p, i) in enumerate(zip(a.begin[on].tolist(), ends, a.at[on].tolist(), ids, strict=True)):
-            c = a.joined[s:e]
-            n = known.get((c, p - s))
+        for j, (s, e, i) in enumerate(zip(a.begin[on].tolist(), ends, ids, strict=True)):
+            c = joined[s:e]
+            n = get(c)
             if n is None:
-                n = known[c, p - s] = len(found)
-                found.append([c, p - s, i])
-            elif i < found[n][2]:
-                found[n][2] = i
-            which[j] = n
-        first = np.zeros(len(found), np.int64)
-        first[which[::-1]] = on[::-1]
-        return found, self.value[first] if len(found) else np.zeros(0, np.uint64), on, which
+                known[c] = n = len(found)
+                found.append(c)
+                least.append(i)
+                first.append(j)
+            elif i < least[n]:
+                least[n] = i
+            which.append(n)
+        first = on[np.array(first, np.int64)]
+        return found, (a.at - a.begin)[first], np.array(least, np.int64), self.value[first], on, np.array(which, np.int64)
 
 
 def live_anchors(table: DataFrame, n: int, bits: int, width: int, k: int) -> DataFrame:
@@ -256,8 +274,9 @@ def live_anchors(table: DataFrame, n: int, bits: int, width: int, k: int) -> Dat
                 one = _Block(ids, sizes, texts, width, k, bits)
                 v, several = one.seen()
                 at = one.shard(v, n)
-                spans = list(zip(at[:-1], at[1:], strict=True))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(range(n), pa.int64()), "block": [block] * n, "seen": [pack_sorted(v[x:y]) for x, y in spans], "several": [np.packbits(several[x:y]).tobytes() for x, y in spans]})
+                spans = [(x, y) for x, y in zip(at[:-1], at[1:], strict=True) if y > x]
+                own = np.flatnonzero(np.diff(at)).tolist()
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(own, pa.int64()), "block": pa.array([block] * len(own), pa.string()), "seen": [pack_sorted(v[x:y]) for x, y in spans], "several": [np.packbits(several[x:y]).tobytes() for x, y in spans]})
 
     def answer(group):
         import pyarrow as pa
@@ -275,6 +294,8 @@ def live_anchors(table: DataFrame, n: int, bits: int, width: int, k: int) -> Dat
 
 def _live(right) -> np.ndarray:
     rows = sorted(zip(right.column("shard").to_pylist(), right.column("live").to_pylist(), right.column("size").to_pylist(), strict=True))
+    if not rows:
+        return np.zeros(0, bool)
     return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=s) for _, b, s in rows]).astype(bool)
 
 
@@ -296,18 +317,18 @@ def removed(docs: DataFrame, width: int = WIDTH, k: int = K, key: str = "doc_id"
         import zstandard
 
         one = block_of(left)
-        found, values, _, _ = one.contexts(_live(right))
+        found, places, least, values, _, _ = one.contexts(_live(right))
         at = one.shard(values, n)
-        rows = [(s, found[x:y]) for s, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+        rows = [(k, x, y) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
         block = left.column("block")[0].as_py()
         return pa.table(
             {
-                "shard": pa.array([s for s, _ in rows], pa.int64()),
+                "shard": pa.array([k for k, _, _ in rows], pa.int64()),
                 "block": pa.array([block] * len(rows), pa.string()),
-                "contexts": pa.array([zstandard.compress(b"".join(c for c, _, _ in f), 3) for _, f in rows], pa.binary()),
-                "sizes": pa.array([pack(np.array([len(c) for c, _, _ in f])) for _, f in rows], pa.binary()),
-                "places": pa.array([pack(np.array([p for _, p, _ in f])) for _, f in rows], pa.binary()),
-                "docs": pa.array([pack(np.array([i for _, _, i in f])) for _, f in rows], pa.binary()),
+                "contexts": pa.array([zstandard.compress(b"".join(found[x:y]), 1) for _, x, y in rows], pa.binary()),
+                "sizes": pa.array([pack(np.fromiter(map(len, found[x:y]), np.int64, y - x)) for _, x, y in rows], pa.binary()),
+                "places": pa.array([pack(places[x:y]) for _, x, y in rows], pa.binary()),
+                "docs": pa.array([pack(least[x:y]) for _, x, y in rows], pa.binary()),
             }
         )
 
@@ -337,13 +358,13 @@ def removed(docs: DataFrame, width: int = WIDTH, k: int = K, key: str = "doc_id"
 
         own = left.filter(pa.compute.is_valid(left.column("texts")))
         one = block_of(own)
-        found, _, on, which = one.contexts(_live(left.filter(pa.compute.is_valid(left.column("live")))))
+        found, _, low, _, on, which = one.contexts(_live(left.filter(pa.compute.is_valid(left.column("live")))))
         a = one.a
         step = np.zeros(len(a.joined) + 1, np.int64)
         if len(found):
             rows = sorted(zip(right.column("shard").to_pylist(), right.column("masks").to_pylist(), strict=True))
             mask = np.concatenate([unpack(m) for _, m in rows])[which]
-            least = np.array([i for _, _, i in found])[which]
+            least = low[which]
             count = a.count[on]
             # a smaller document of the same block has the whole context
             mask = np.where(one.ids[a.owner[on]] > least, (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1), mask)
