@@ -141,7 +141,8 @@ def word_counts(table: DataFrame, n: int) -> DataFrame:
             for block, w, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words, seen = unpack_sorted(w), unpack(s)
                 at = _shards(words, n)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(range(n), pa.int64()), "block": [block] * n, "words": [pack_sorted(words[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], "seen": [pack(seen[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]})
+                spans = [(k, x, y) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([k for k, _, _ in spans], pa.int64()), "block": [block] * len(spans), "words": [pack_sorted(words[x:y]) for _, x, y in spans], "seen": [pack(seen[x:y]) for _, x, y in spans]})
 
     def answer(group):
         import pyarrow as pa
