@@ -166,3 +166,22 @@ def test_stream_upserts_once(spark, tmp_path):
     feed("1.json", ("a", 1, 10), ("b", 1, 20), ("a", 2, 11))
     feed("2.json", ("b", 5, 21), ("c", 1, 30))
     assert rows(spark.read.parquet(str(tmp_path / "out/v=1"))) == [("a", 2, 11), ("b", 5, 21), ("c", 1, 30)]
+
+
+def test_conventions():
+    from cairn.functions import conventions
+
+    go = "func PutA(x *T) {\n if x == nil { return }\n}\nfunc PutB(x *T) {\n if x != nil { go() }\n}\nfunc PutC(x *T) { go() }\n"
+    assert conventions.guards("a.go", go) == [("a.go", "PutA", "put", True), ("a.go", "PutB", "put", True), ("a.go", "PutC", "put", False)]
+    assert conventions.guards("a.ts", "function f(x) { if (!x) return; }") == [("a.ts", "f", "f", True)]
+    assert conventions.assets("b.py", "from openai import x\nmy_prompt = 1\nconfirm(2)\n") == [("b.py", "framework", "openai"), ("b.py", "gate", "confirm"), ("b.py", "prompt", "my_prompt")]
+    assert conventions.apply_diff("a\nb\nc\nd", "@@ -2,1 +2,2 @@\n-b\n+B\n+BB\n@@ -4 +5 @@\n-d\n+D") == "a\nB\nBB\nc\nD"
+
+
+def test_patched_and_unguarded(spark):
+    from cairn.functions import conventions
+
+    f = spark.createDataFrame([("a", "x\ny", "@@ -1 +1 @@\n-x\n+z")], "path string, code string, diff string")
+    assert rows(conventions.patched(f)) == [("a", "z\ny")]
+    code_ = "".join(f"def get_{k}(x):\n    assert isinstance(x, int)\n" for k in "abc") + "def get_d(x):\n    pass\n"
+    assert rows(conventions.unguarded(spark.createDataFrame([("m.py", code_)], "path string, code string"))) == [("m.py", "get_d")]
