@@ -48,11 +48,13 @@ def prune_comments(code: Column, mark: str = "#", more_tags: tuple[str, ...] = (
 
 def sanitize_leaks(text: Column) -> tuple[Column, Column]:
     """Text with each leak replaced by [SANITIZED], and the number of replacements."""
-    n = F.lit(0)
+    # most texts have none: one search decides whether the patterns are tried in turn
+    some = text.rlike("|".join(LEAKS))
+    clean, n = text, F.lit(0)
     for p in LEAKS:
-        n = n + F.regexp_count(text, F.lit(p))
-        text = F.regexp_replace(text, p, "[SANITIZED]")
-    return text, n
+        n = n + F.regexp_count(clean, F.lit(p))
+        clean = F.regexp_replace(clean, p, "[SANITIZED]")
+    return F.when(some, clean).otherwise(text), F.when(some, n).otherwise(F.when(text.isNotNull(), 0))
 
 
 def message_quality(subject: Column, body: Column) -> Column:

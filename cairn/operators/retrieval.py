@@ -11,21 +11,16 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("the", "and", "for", "all", "add", "with", "that", "this", "from", "are", "was", "to", "in", "of")
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased words of ASCII letters, digits and underscores; no stemming."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: x != "")
-
-
 def terms(query: str) -> list[str]:
+    """Distinct lower-cased words of ASCII letters, digits and underscores; no stemming."""
     return sorted({w for w in re.split(r"[^a-z0-9_]+", query.lower()) if w})
 
 
 def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, k: int = 20) -> DataFrame:
-    """docs(doc_id, text) → the k best by BM25. Only query terms are exploded; lengths are counted in place."""
-    wanted = F.array(*map(F.lit, terms(query)))
-    rows = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains(wanted, x)).alias("w"))
+    """docs(doc_id, text) → the k best by BM25. Only query terms leave the scan; lengths are counted in place."""
+    rows = docs.where("text is not null").select("doc_id", F.lower("text").alias("low")).select("doc_id", "low", F.regexp_count("low", F.lit("[a-z0-9_]+")).alias("len"))
     size = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    hits = rows.select("doc_id", "len", F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    hits = rows.select("doc_id", "len", F.explode(F.split("low", "[^a-z0-9_]+")).alias("term")).where(F.col("term").isin(terms(query))).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
