@@ -27,7 +27,7 @@ from cairn.llm import shared, textvec
 from cairn.llm.eliasfano import Trie
 
 #: Text bytes of a block, tokens of a shard, tokens of a context in one shard.
-BLOCK_BYTES, SHARD_TOKENS, CONTEXT_TOKENS = 12 << 20, 3_000_000, 500_000
+BLOCK_BYTES, SHARD_TOKENS, CONTEXT_TOKENS = 8 << 20, 2_000_000, 500_000
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x5EED)
 DECADES, STEPS = 9.0, 254
