@@ -32,6 +32,7 @@ CUT = 0.3
 #: Dictionary sizes in bytes.
 ORDINARY_BYTES, TOXIC_BYTES = 112_640, 32_768
 LEVEL = 12
+FEW = 10
 #: Rounds in which windows of ordinary training text that the toxic dictionary shortens join the ordinary one.
 ROUNDS = 3
 #: Pieces of at most so many distinct words have their differences kept by a worker.
@@ -119,7 +120,8 @@ def _fragments(found: set[str]) -> set[str]:
 
 
 def _unlike(found: list[set[str]]) -> list[set[str]]:
-    """Without near copies of earlier ones (5 of the 8 smallest word hashes shared), which would pass for a pattern."""
+    """Without near copies of earlier ones (5 of the 8 smallest word hashes shared), which would pass for a pattern; all
+    if fewer than FEW would be left."""
     first: dict[int, int] = {}
     kept = []
     for d in found:
@@ -130,7 +132,7 @@ def _unlike(found: list[set[str]]) -> list[set[str]]:
         for h in low:
             first.setdefault(h, len(kept))
         kept.append(d)
-    return kept
+    return kept if len(kept) >= FEW else found
 
 
 def _contrast(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[list[str], list[str]]:
@@ -173,6 +175,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model(b"", b"", ())
     sets = {y: _unlike([words(t) for t in by[y][0::2]]) for y in by}
     foul, plain = _contrast(sets[1], sets[0])
+    if not foul:  # toxic text has no pattern of its own: the rate of label 1 for every text
+        rate = len(by[1]) / len(rows)
+        return Model(b"", b"", (math.log(rate / (1 - rate)), *[0.0] * 5))
     model = Model(_dictionary(plain, ORDINARY_BYTES), _dictionary(foul, TOXIC_BYTES), (0.0,) * 6)
     common = set().union(*sets[0])
     for _ in range(ROUNDS):
