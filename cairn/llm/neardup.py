@@ -235,6 +235,8 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, sketches: DataFrame, percent: int, width: int, chunk: int = CHUNK) -> DataFrame:
     """Verified links (a, b) between nodes that connect whatever is similar."""
     nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n"))
+    # without an id a node's set can't be fetched, so it must not lead a bucket either
+    nodes = nodes.where("rep is not null")
     nodes = shared.stored(nodes, "neardup-nodes")
     band = lambda i: F.xxhash64(F.lit(i), F.substring(F.col("regs"), 2 * ROWS * i + 1, 2 * ROWS))
     bands = nodes.select("node", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key")).repartition("key")
@@ -246,7 +248,7 @@ def links(docs: DataFrame, sketches: DataFrame, percent: int, width: int, chunk:
     def jobs(rows: DataFrame) -> DataFrame:
         """The rows (node, leader, chunk, role) by node, with what a node is sent with."""
         by = rows.groupBy("node").agg(F.collect_set(F.struct("leader", "chunk", "role")).alias("jobs"))
-        return by.join(nodes.select("node", "rep", "regs"), "node").where("rep is not null")
+        return by.join(nodes.select("node", "rep", "regs"), "node")
 
     name = lambda c: F.concat_ws("/", c.cast("string"), F.col("parts").cast("string"))
     dealt = under.join(size, "leader").withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")))

@@ -88,3 +88,20 @@ def test_components(spark):
     edges = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["root"]) for r in neardup.components(edges).collect()}
     assert {got[key(k)] for k in range(61)} == {min(map(key, range(61)))} and {got[key(k)] for k in (100, 101, 102)} == {min(map(key, (100, 101, 102)))}
+
+
+def test_null_id_copy_with_the_least_hash(spark):
+    rnd = random.Random(11)
+    for _ in range(1000):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(2000)]
+        texts = [" ".join(base), " ".join([*base[:100], "other", *base[101:]]), " ".join([*base[:1500], "another", *base[1501:]])]
+        sets = [textvec.shingle_set(textvec.Texts([t.encode()]).hashes, 2) for t in texts]
+        null, a, b = neardup.registers(sets).reshape(3, neardup.BANDS, neardup.ROWS)
+        shared = (a == b).all(1)
+        if neardup._node(sets[0]) == min(map(neardup._node, sets)) and shared.any() and (null == a).all(1)[shared].all():
+            break
+    else:
+        pytest.fail("no such texts")
+    docs = spark.createDataFrame(list(zip((None, 1, 2), texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.classes(docs, 80, 2).collect()} == {None: None, 1: 1, 2: 1}
+    assert sorted(r["doc_id"] or 0 for r in neardup.keep_one(docs, 80, 2).collect()) == [0, 1]
