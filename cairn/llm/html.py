@@ -60,6 +60,8 @@ class _Tree(HTMLParser):
         #: (node, text), (node, None) where a block begins or ends.
         self.runs: list[tuple[int, str | None]] = []
         self.open = [0]
+        #: Places in `open` of each tag's elements.
+        self.places: dict[str, list[int]] = {}
 
     def handle_starttag(self, tag, attrs):
         stack = self.open
@@ -80,31 +82,33 @@ class _Tree(HTMLParser):
         if tag in BLOCK:
             self.runs.append((n, None))
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(stack))
             stack.append(n)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as browsers do, a slash closes only void elements
 
     def handle_endtag(self, tag):
-        stack = self.open
-        for k in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-            if self.tag[stack[k]] == tag:
-                if tag in BLOCK:
-                    self.runs.append((stack[k], None))
-                del stack[k:]
-                return
+        k = self._innermost(tag)
         if tag in BLOCK:
-            self.runs.append((stack[-1], None))
+            self.runs.append((self.open[k], None))
+        if k > 0:
+            self._cut_off(k)
+
+    def _innermost(self, tag) -> int:
+        """Place of the tag's innermost open element, -1 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _cut_off(self, k):
+        for i in self.open[k:]:
+            self.places[self.tag[i]].pop()
+        del self.open[k:]
 
     def _close(self, tags, stop):
-        stack = self.open
-        for k in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-            t = self.tag[stack[k]]
-            if t in tags:
-                del stack[k:]
-                return
-            if t in stop:
-                return
+        k = max(map(self._innermost, tags))
+        if k > 0 and not any(self._innermost(t) > k for t in stop):
+            self._cut_off(k)
 
     def handle_data(self, data):
         self.runs.append((self.open[-1], data))

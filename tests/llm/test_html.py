@@ -45,3 +45,10 @@ def test_cases(spark):
     assert by[1] == by[2] == by[3] == "" and by[4] == "deep text" and by[None] == "x"
     assert max(r["n_chars"] for r in got) == 5 * 200_000 - 1
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+def test_end_tags_above_many_unclosed_elements():
+    for n in (10, 600, 5000):
+        for tag in ("span", "font"):
+            assert html.extract(f"<body><nav>{f'<{tag}>x' * n}</nav><article>{P}</article></body>") == WORDS
+        assert html.extract(f"<body><article><ul><li hidden>{'<b>x' * n}<li>{WORDS}</ul></article></body>") == WORDS
