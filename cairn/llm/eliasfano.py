@@ -113,14 +113,14 @@ class Trie:
     all and the search for a word is bounded by its context's pointers. All levels lie in one memory-mapped file.
     """
 
-    def __init__(self, contexts: np.ndarray, words: np.ndarray, codes: np.ndarray, n_words: int):
-        """Of distinct (context, word) pairs in order."""
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, codes: np.ndarray, n_words: int, n_contexts: int | None = None):
+        """Of distinct (context, word) pairs in order; contexts lie below n_contexts, which is n_words unless given."""
         self.n_words = n_words
         new = np.ones(len(contexts), bool)
         new[1:] = contexts[1:] != contexts[:-1]
         begin = np.flatnonzero(new)
         rank = np.cumsum(new) - 1
-        self.contexts = EliasFano(contexts[begin], n_words)
+        self.contexts = EliasFano(contexts[begin], n_words if n_contexts is None else n_contexts)
         self.pointers = EliasFano(np.append(begin, len(contexts)), len(contexts) + 1)
         self.successors = EliasFano(rank.astype(np.uint64) * np.uint64(n_words) + words.astype(np.uint64), max(1, len(begin)) * n_words)
         self.codes = codes.astype(np.uint8)

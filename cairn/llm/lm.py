@@ -1,14 +1,17 @@
-"""Language-model scoring with a bigram trie in Elias-Fano levels, dealt over shards.
+"""Language-model scoring with bigram and trigram tries in Elias-Fano levels, dealt over shards.
 
 P(w | v) = lam(v) * c(v, w) / c(v) + (1 - lam(v)) * (c(w) + 1/2) / (N + (V + 1) / 2), with lam(v) = c(v) / (c(v) + mu(v))
 and mu(v) = 1 + 5 c(v)^0.85: a proper distribution over the vocabulary and one unknown word. The trie keeps the smoothed
-share of the pair, lam(v) * c(v, w) / c(v), as a byte on a logarithmic scale of 255 steps over nine decades.
+share of the pair, lam(v) * c(v, w) / c(v), as a byte on a logarithmic scale of 255 steps over nine decades. In the same way
+P(w | u, v) = lam(u, v) * c(u, v, w) / c(u, v) + (1 - lam(u, v)) * P(w | v), the beginning of a text being a word before
+its first; the first word has no longer context. Level 3 has the rank of the pair (u, v) for its context.
 
 Texts become blocks of token places, stored. Each block sends the words it has to the shards of their hashes, which add
 up counts and return them with ids; then it sends its distinct pairs to the shards of their contexts, which build a trie
-of the pairs of training texts, answer all pairs from it, and return a byte each. So nothing is sent for a token, only
-for a block's distinct words and pairs, no table of all words or pairs is in one place, and shards grow in number with
-the tokens. A context with very many tokens is dealt over several shards by its words.
+of the pairs of training texts, answer all pairs from it, and return a byte, the count and the id of each; then the same
+is done with distinct triples, by the shards of their pairs. A triple with a pair that no other block has is in no other
+block either, so its count is the block's own and it isn't sent. So nothing is sent for a token, only for a block's
+distinct words, pairs and triples, no table of all of them is in one place, and shards grow in number with the tokens. A context with very many tokens is dealt over several shards by its words.
 
 Defined cases: a null or empty text is one end token; unknown words have c = 0; without training texts all probability is
 the unknown word's; a long text lies in its block whole; rows with equal doc_id are scored each; a null doc_id is not held
@@ -216,39 +219,75 @@ class _Block:
         place[known] = rank[of]
         return shard[order].astype(np.uint64), v[order], w[order], cv[order], place
 
+    def triples(self, place: np.ndarray, codes, n: int):
+        """From the pairs' places and answers: shard, pair id, word, count of the pair, and each token's place (or -1), as
+        of pairs; triples that are in this block only come last, in shard n. Also each token's pair share and lam of the
+        pair before it."""
+        codes = sorted(codes)
+        join = lambda k, f: np.concatenate([f(x[k]) for x in codes]) if codes else np.zeros(0, np.uint64)
+        byte, count, ids = join(1, lambda x: np.frombuffer(x, np.uint8)), join(2, unpack), join(3, unpack_sorted)
+        count, alone = (count >> np.uint64(1)).astype(np.int64), (count & np.uint64(1)).astype(bool)
+        pair, lam = np.zeros(len(place)), np.zeros(len(place))
+        has = place >= 0
+        pair[has] = dequantise(byte)[place[has]]
+        context = np.roll(place, 1)
+        context[self.start] = -1
+        has = context >= 0
+        lam[has] = weight(count[context[has]].astype(float))
+        known = np.flatnonzero((lam > 0) & (pair > 0))
+        v, w, token, of = distinct(ids[context[known]], self.word[known], known)
+        cv = count[context[token]]
+        with np.errstate(over="ignore"):
+            lots = (cv // CONTEXT_TOKENS + 1).astype(np.uint64)
+            shard = (textvec.mix(textvec.mix(v + np.uint64(99)) + w % lots) % np.uint64(n)).astype(np.int64)
+        shard[alone[context[token]] | alone[place[token]]] = n
+        order = np.argsort(shard.astype(np.uint16) if n < (1 << 16) - 1 else shard, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = np.full(len(place), -1)
+        at[known] = rank[of]
+        return shard[order].astype(np.uint64), v[order], w[order], cv[order], at, pair, lam
+
 
 def _cogrouped(left, right) -> _Block:
     return _Block(left.column("tokens")[0].as_py(), left.column("count")[0].as_py(), zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), right.column("word_ids").to_pylist(), strict=True))
 
 
-def pair_codes(table: DataFrame, words: DataFrame, n: int, n_train_docs: int, n_words: int) -> DataFrame:
-    """For each block and shard, a byte for each of the block's distinct pairs there."""
+def _seen(block, held, place: np.ndarray, n: int) -> np.ndarray:
+    """How often each of n places comes in the block's training texts."""
+    train = np.repeat(~np.array(held, bool), block.size)
+    return np.bincount(place[train & (place >= 0)], minlength=n)
 
-    def send(left, right):
-        import pyarrow as pa
 
-        b = _cogrouped(left, right)
-        s, v, w, cv, place = b.pairs(n_train_docs, n)
-        train = np.repeat(~np.array(left.column("held")[0].as_py(), bool), b.size)
-        seen = np.bincount(place[train & (place >= 0)], minlength=len(s))
-        at = np.searchsorted(s, np.arange(n + 1, dtype=np.uint64))
-        cols = {"shard": [], "contexts": [], "runs": [], "totals": [], "words": [], "seen": []}
-        for k in range(n):
-            x, y = at[k], at[k + 1]
-            if y > x:
-                new = np.ones(y - x, bool)
-                new[1:] = v[x + 1 : y] != v[x : y - 1]
-                begin = np.flatnonzero(new)
-                step = np.diff(w[x:y], prepend=np.uint64(0))
-                step[begin] = w[x:y][begin]  # a context's words rise; the first is whole
-                cols["shard"].append(k)
-                cols["contexts"].append(pack_sorted(v[x:y][begin]))
-                cols["runs"].append(pack(np.diff(np.append(begin, y - x))))
-                cols["totals"].append(pack(cv[x:y][begin]))
-                cols["words"].append(pack(step))
-                cols["seen"].append(pack(seen[x:y]))
-        block = left.column("block")[0].as_py()
-        return pa.table({"shard": pa.array(cols["shard"], pa.int64()), "block": pa.array([block] * len(cols["shard"]), pa.string()), **{k: pa.array(cols[k], pa.binary()) for k in list(cols)[1:]}})
+def _deal(block: str, s, v, w, cv, seen, n: int):
+    """Rows for the shards below n, of (context, word) in their order."""
+    import pyarrow as pa
+
+    at = np.searchsorted(s, np.arange(n + 1, dtype=np.uint64))
+    cols = {"shard": [], "contexts": [], "runs": [], "totals": [], "words": [], "seen": []}
+    for k in range(n):
+        x, y = at[k], at[k + 1]
+        if y > x:
+            new = np.ones(y - x, bool)
+            new[1:] = v[x + 1 : y] != v[x : y - 1]
+            begin = np.flatnonzero(new)
+            step = np.diff(w[x:y], prepend=np.uint64(0))
+            step[begin] = w[x:y][begin]  # a context's words rise; the first is whole
+            cols["shard"].append(k)
+            cols["contexts"].append(pack_sorted(v[x:y][begin]))
+            cols["runs"].append(pack(np.diff(np.append(begin, y - x))))
+            cols["totals"].append(pack(cv[x:y][begin]))
+            cols["words"].append(pack(step))
+            cols["seen"].append(pack(seen[x:y]))
+    return pa.table({"shard": pa.array(cols["shard"], pa.int64()), "block": pa.array([block] * len(cols["shard"]), pa.string()), **{k: pa.array(cols[k], pa.binary()) for k in list(cols)[1:]}})
+
+
+DEALT = "shard long, block string, contexts binary, runs binary, totals binary, words binary, seen binary"
+
+
+def _answers(sent: DataFrame, n: int, n_words: int, n_contexts: int | None, last: bool, name: str) -> DataFrame:
+    """For each block and shard, a byte for each (context, word) of the block there; unless it is the last level, also
+    their counts, with a bit for those that no other block has, and ids; top of each shard, above its ids, on a row of its own."""
 
     def answer(group):
         import pyarrow as pa
@@ -268,25 +307,69 @@ def pair_codes(table: DataFrame, words: DataFrame, n: int, n_train_docs: int, n_
         del vs, ws, ts, cs
         v, w, total, of = distinct(v, w, total)
         count = np.bincount(of, seen, len(v)).astype(np.int64)
-        train = np.flatnonzero(count)  # the trie holds the pairs of training texts
+        train = np.flatnonzero(count)  # the trie holds what training texts have
         c = total[train].astype(float)
-        trie = Trie(v[train], w[train], quantise(weight(c) * count[train] / np.maximum(c, 1)), n_words)
+        trie = Trie(v[train], w[train], quantise(weight(c) * count[train] / np.maximum(c, 1)), n_words, n_contexts)
         try:
-            code = trie.lookup(v, w)[of]  # a pair that several blocks ask for is searched once
+            code = trie.lookup(v, w)[of]  # what several blocks ask for is searched once
         finally:
             trie.close()
         at = np.cumsum([0, *sizes])
-        out = [code[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "codes": pa.array(out, pa.binary())})
+        spans = list(zip(at[:-1], at[1:], strict=True))
+        out = {"block": group.column("block").to_pylist(), "shard": group.column("shard").to_pylist(), "codes": [code[x:y].tobytes() for x, y in spans]}
+        if not last:
+            shard = out["shard"][0]
+            both = count.astype(np.uint64) * np.uint64(2) + (np.bincount(of, minlength=len(v)) == 1).astype(np.uint64)
+            out["counts"] = [pack(both[of[x:y]]) for x, y in spans] + [None]
+            out["ids"] = [pack_sorted(of[x:y].astype(np.uint64) * np.uint64(n) + np.uint64(shard)) for x, y in spans] + [None]
+            out["top"] = [None] * len(spans) + [len(v) * n + n]
+            for k, x in (("block", None), ("shard", shard), ("codes", None)):
+                out[k].append(x)
+        kinds = {"block": pa.string(), "shard": pa.int64(), "top": pa.int64()}
+        return pa.table({k: pa.array(x, kinds.get(k, pa.binary())) for k, x in out.items()})
+
+    spec = "block string, shard long, codes binary" + ("" if last else ", counts binary, ids binary, top long")
+    return shared.stored(sent.groupBy("shard").applyInArrow(answer, spec), name)
+
+
+def pair_codes(table: DataFrame, words: DataFrame, n: int, n_train_docs: int, n_words: int) -> DataFrame:
+    """For each block and shard, a byte, count and id for each of the block's distinct pairs there."""
+
+    def send(left, right):
+        b = _cogrouped(left, right)
+        s, v, w, cv, place = b.pairs(n_train_docs, n)
+        return _deal(left.column("block")[0].as_py(), s, v, w, cv, _seen(b, left.column("held")[0].as_py(), place, len(s)), n)
 
     core = table.select("block", "held", "count", "tokens")
-    sent = core.groupBy("block").cogroup(words.select("block", "shard", "counts", "word_ids").groupBy("block")).applyInArrow(send, "shard long, block string, contexts binary, runs binary, totals binary, words binary, seen binary")
-    return shared.stored(sent.groupBy("shard").applyInArrow(answer, "block string, shard long, codes binary"), "lm-pairs")
+    sent = core.groupBy("block").cogroup(words.select("block", "shard", "counts", "word_ids").groupBy("block")).applyInArrow(send, DEALT)
+    return _answers(sent, n, n_words, None, False, "lm-pairs")
+
+
+def _pairs_of(left, right, n_train_docs: int, n: int):
+    """The row of a block, the block, and its triples, of its row with its words' answers and of its pairs' answers."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    first = left.filter(pa.compute.is_valid(left.column("tokens")))
+    b = _cogrouped(first, left.filter(pa.compute.is_valid(left.column("counts"))))
+    place = b.pairs(n_train_docs, n)[-1]
+    return first, b, b.triples(place, zip(*(right.column(k).to_pylist() for k in ("shard", "codes", "counts", "ids")), strict=True), n)
+
+
+def triple_codes(both: DataFrame, codes: DataFrame, n: int, n_train_docs: int, n_words: int, n_pairs: int) -> DataFrame:
+    """For each block and shard, a byte for each of the block's distinct triples there that other blocks may have."""
+
+    def send(left, right):
+        first, b, (s, v, w, cv, at, _, _) = _pairs_of(left, right, n_train_docs, n)
+        return _deal(first.column("block")[0].as_py(), s, v, w, cv, _seen(b, first.column("held")[0].as_py(), at, len(s)), n)
+
+    sent = both.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(send, DEALT)
+    return _answers(sent, n, n_words, n_pairs, True, "lm-triples")
 
 
 def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; `held` names the boolean column
-    of the rows that teach nothing."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score (order 1), score (order 2) and trigram_score
+    (order 3) of every row; `held` names the boolean column of the rows that teach nothing."""
     table = blocks(docs, held, key, text)
     size = table.agg(F.sum("n_tokens").alias("t"), F.sum("n_train").alias("n"), F.sum("n_docs").alias("d")).first()
     tokens, train, train_docs = size["t"] or 0, size["n"] or 0, size["d"] or 0
@@ -295,23 +378,31 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     known = words.where("block is null").agg(F.sum("n_words").alias("v"), F.max("top").alias("top")).first()
     v, top = known["v"] or 0, (known["top"] or 0) + 1
     words = words.where("block is not null").select("block", "shard", "counts", "word_ids")
+    both = table.select("block", "ids", "held", "count", "tokens").unionByName(words, allowMissingColumns=True)
     codes = pair_codes(table, words, n, train_docs, top)
+    n_pairs = (codes.where("block is null").agg(F.max("top").alias("top")).first()["top"] or 0) + 1
+    codes = codes.where("block is not null").drop("top")
+    last = triple_codes(both, codes, n, train_docs, top, n_pairs)
     kind = docs.schema[key].dataType.simpleString()
 
     def finish(left, right):
         import pyarrow as pa
         import pyarrow.compute
 
-        first = left.filter(pa.compute.is_valid(left.column("tokens")))
-        b = _cogrouped(first, left.filter(pa.compute.is_valid(left.column("counts"))))
-        s, _, _, _, place = b.pairs(train_docs, n)
+        of_pairs = pa.compute.is_valid(right.column("ids"))
+        first, b, (s, _, _, cv, at, pair, lam3) = _pairs_of(left, right.filter(of_pairs), train_docs, n)
+        right = right.filter(pa.compute.invert(of_pairs))
         byte = np.frombuffer(b"".join(x for _, x in sorted(zip(right.column("shard").to_pylist(), right.column("codes").to_pylist(), strict=True))), np.uint8)
-        pair = np.zeros(len(place))
-        has = place >= 0
-        pair[has] = dequantise(byte)[place[has]]
+        own = len(byte)  # from here on the block's own counts are all
+        seen, c = _seen(b, first.column("held")[0].as_py(), at, len(s))[own:], cv[own:].astype(float)
+        byte = np.concatenate([byte, np.where(seen > 0, quantise(weight(c) * seen / np.maximum(c, 1)), 0).astype(np.uint8)])
+        triple = np.zeros(len(at))
+        has = at >= 0
+        triple[has] = dequantise(byte)[at[has]]
         uni = (b.c + 0.5) / (train + 0.5 * (v + 1))
         lam = weight(b.c_before.astype(float))
-        p = np.log10(np.minimum(pair, lam) + (1 - lam) * uni)
+        p = np.minimum(pair, lam) + (1 - lam) * uni
+        p3 = np.minimum(triple, lam3) + (1 - lam3) * p
         by = lambda x: np.add.reduceat(x, b.start)
         n_docs = len(b.size)
         return pa.table(
@@ -322,13 +413,14 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
                 "n_known": pa.array(by((b.c > 0).astype(np.int64))),
                 "train_tokens": pa.array([train] * n_docs, pa.int64()),
                 "base_score": pa.array(by(np.log10(uni))),
-                "score": pa.array(by(p)),
+                "score": pa.array(by(np.log10(p))),
+                "trigram_score": pa.array(by(np.log10(p3))),
             }
         )
 
-    spec = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    both = table.select("block", "ids", "held", "count", "tokens").unionByName(words, allowMissingColumns=True)
-    out = both.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(finish, spec)
+    spec = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
+    replies = codes.select("block", "shard", "codes", "counts", "ids").unionByName(last, allowMissingColumns=True)
+    out = both.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, spec)
     return out.withColumnRenamed("key", key)
 
 

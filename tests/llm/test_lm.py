@@ -87,3 +87,46 @@ def test_elias_fano_and_trie():
     assert (np.abs(np.log10(lm.dequantise(lm.quantise(p)) / p)) < 0.018).all()
     for a in (rnd.integers(0, 1 << 62, 100, dtype=np.uint64), np.zeros(0, np.uint64), np.arange(70_000, dtype=np.uint64)):
         assert (lm.unpack(lm.pack(a)) == a).all() and (lm.unpack_sorted(lm.pack_sorted(np.sort(a))) == np.sort(a)).all()
+
+
+def brute_trigram(rows):
+    """Scores of order 3 by dictionaries, without quantisation."""
+    toks = [["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    grams = [Counter() for _ in range(4)]
+    for t, h in zip(toks, held):
+        for k in range(len(t)) if not h else ():
+            for m in range(1, 4):
+                if k + 2 > m - 1:
+                    grams[m][tuple(["<s>", *t][max(0, k + 2 - m) : k + 2])] += m < 3 or k > 0
+    n, v = sum(grams[1].values()), len(grams[1])
+    grams[1][("<s>",)] = held.count(False)
+    out = []
+    for (i, _), t in zip(rows, toks):
+        score = 0.0
+        for k in range(len(t)):
+            p = ((grams[1][(t[k],)] if t[k] != "<s>" else 0) + 0.5) / (n + 0.5 * (v + 1))
+            for m in (2, 3) if k else (2,):
+                gram = tuple(["<s>", *t][k + 2 - m : k + 2])
+                c = grams[m - 1][gram[:-1]]
+                lam = float(lm.weight(np.array([float(c)]))[0])
+                p = lam * grams[m][gram] / max(c, 1) + (1 - lam) * p
+            score += math.log10(p)
+        out.append((i, len(t), score))
+    return out
+
+
+def test_trigram_score_like_brute_force(spark, monkeypatch):
+    table = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    cases = [(k, "the a the b " * (k % 5) + f"w{k % 7} a the The x{k}") for k in range(60)] + [(None, None), (None, "the"), (61, ""), (64, "the b " * 3000)]
+    for rows, block in ((table, lm.BLOCK_BYTES), (table, 20_000), (cases, lm.BLOCK_BYTES), (cases, 200)):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", lm.held_out())
+        found = lm.score(docs, "h").collect()
+        got = sorted([(r["doc_id"], r["n_tokens"], r["trigram_score"]) for r in found], key=str)
+        want = sorted(brute_trigram(rows), key=str)
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert g[:2] == w[:2] and abs(g[2] - w[2]) <= 0.02 * w[1] + 1e-9
+        if rows is table:
+            assert sum(r["trigram_score"] for r in found if r["held_out"]) > sum(r["score"] for r in found if r["held_out"])
