@@ -24,6 +24,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm import shared, textvec
 
@@ -281,29 +282,58 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+def _members(docs: DataFrame, percent: int, width: int, chunk: int) -> DataFrame:
+    """doc_id, n_shingles, node, root (the same for all nodes of a class; null for an empty set) and component_id of every row."""
     docs = docs.select("doc_id", "text")
     rows = shared.stored(sketch(docs, width), "neardup-sketch")
     groups = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     root = components(links(docs, rows, percent, width, chunk))
     member = groups.join(root, "node", "left")
     least = member.where("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = member.join(least, "root", "left").where("copies > 1 or root is not null").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    known = member.join(least, "root", "left").where("copies > 1 or root is not null").select("node", "root", F.coalesce("component_id", "rep").alias("component_id"))
     # a set with very many copies is dealt over SALTS tasks
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.select("doc_id", "n_shingles", "node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = salted.join(known, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return salted.join(known, ["node", "salt"], "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classes(docs: DataFrame, percent: int = 80, width: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    out = _members(docs, percent, width, chunk).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _with_nodes(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text, row (all columns of docs) and node of every row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                t = textvec.Texts(textvec.as_bytes(part.column(1)))
+                sets = [textvec.shingle_set(t.hashes[x:y], width) for x, y in zip(t.first[:-1], t.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_node(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "text", "row", "node"])
+
+    core = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return core.mapInArrow(run, T.StructType([*core.schema.fields, T.StructField("node", T.BinaryType())]))
+
+
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of docs, all columns, that stay: of each class the document with the smallest doc_id, once if it is
-    repeated. Rows with a null doc_id can't be told apart and stay."""
-    found = shared.stored(classes(docs, percent, width).where("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "neardup-classes")
+    repeated; of rows with that doc_id but unequal texts, the least text. Rows without words are a class with those of
+    equal doc_id and text. Rows with a null doc_id can't be told apart and stay."""
+    found = _members(docs, percent, width, CHUNK).where("doc_id is not null").groupBy("doc_id", "node", "root", "component_id").agg(F.count("*").alias("rows"))
+    found = shared.stored(found, "neardup-classes")
     gone = found.where("doc_id != component_id").select("doc_id")
+    twice = found.groupBy("doc_id").agg(F.sum("rows").alias("n")).where("n > 1").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id = component_id and rows > 1").select("doc_id")
     if not twice.limit(1).count():
         return left
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    # rows of a repeated doc_id are told apart by their sets
+    some = _with_nodes(docs.join(twice, "doc_id", "left_semi").select(*docs.columns), width)
+    own = found.where("doc_id = component_id").select(F.col("doc_id").alias("d"), F.col("node").alias("x"), "root")
+    some = some.join(own, (F.col("doc_id") == F.col("d")) & F.col("node").eqNullSafe(F.col("x")))
+    some = some.groupBy("doc_id", "root", F.when(F.col("root").isNull(), F.col("text"))).agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(some.select("row.*"))

@@ -105,3 +105,16 @@ def test_null_id_copy_with_the_least_hash(spark):
     docs = spark.createDataFrame(list(zip((None, 1, 2), texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in neardup.classes(docs, 80, 2).collect()} == {None: None, 1: 1, 2: 1}
     assert sorted(r["doc_id"] or 0 for r in neardup.keep_one(docs, 80, 2).collect()) == [0, 1]
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rnd = random.Random(3)
+    a, b, c, d = ([f"w{rnd.randrange(10**6)}" for _ in range(300)] for _ in range(4))
+    near = lambda t, k: " ".join([*t[:150], f"other{k}", *t[151:]])
+    a, (b, c, d) = " ".join(a), ((" ".join(t), t) for t in (b, c, d))
+    rows = [(1, a), (5, a), (5, b[0]), (7, c[0]), (7, near(c[1], 1)), (7, d[0]), (8, near(c[1], 2)), (9, near(d[1], 3)), (10, None), (10, None), (10, ""), (None, a), (None, None)]
+    docs = spark.createDataFrame([(*r, k, "r") for k, r in enumerate(rows)], "doc_id long, text string, node int, row string")
+    kept = neardup.keep_one(docs, 80, 2)
+    assert kept.columns == docs.columns
+    want = [(1, a), (5, b[0]), (7, min(c[0], near(c[1], 1))), (7, d[0]), (10, None), (10, ""), (None, a), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
