@@ -11,7 +11,7 @@ Every word of every text is scored. Labels are learnt from a bounded sample of l
 label 0 and 1 (those with the smallest hash of the id) and `train_chars` characters of each.
 
 Defined cases: a null or empty text has no windows and gets the curve's value there; a word of over 64 characters is cut
-into windows of 64; rows without a label, with a null id or without a text teach nothing; without both classes every
+into windows of 64 that overlap by 32, so what is no longer than 33 lies whole in one; rows without a label, with a null id or without a text teach nothing; without both classes every
 score is 0; repeated rows repeat in the result; other columns are not read.
 """
 
@@ -33,6 +33,11 @@ CUT = 0.3
 ORDINARY_BYTES, TOXIC_BYTES = 112_640, 32_768
 LEVEL = 12
 FEW = 10
+#: A fragment of toxic training rows marks their words if so many rows (the count, and one in so many of them) have it, and
+#: it is so many times as frequent there as in ordinary rows.
+FRAGMENT_ROWS, FRAGMENT_ONE_IN, FRAGMENT_RATIO = 3, 50, 12
+#: Most common ordinary words the ordinary dictionary is trained on.
+PLAIN_WORDS = 60_000
 #: Rounds in which windows of ordinary training text that the toxic dictionary shortens join the ordinary one.
 ROUNDS = 3
 #: Pieces of at most so many distinct words have their differences kept by a worker.
@@ -41,11 +46,11 @@ _PUNCTUATION = string.punctuation + "«»“”„‘’…–—¡¿"
 
 
 def words(text: str) -> set[str]:
-    """Distinct lower-cased words without the punctuation around them, long ones in parts."""
+    """Distinct lower-cased words without the punctuation around them, long ones in parts that overlap by half."""
     found = {w.strip(_PUNCTUATION) for w in set(text.lower().split())}
     for w in [w for w in found if len(w) > WINDOW]:
         found.discard(w)
-        found.update(w[k : k + WINDOW] for k in range(0, len(w), WINDOW))
+        found.update(w[k : k + WINDOW] for k in range(0, len(w) - WINDOW // 2, WINDOW // 2))
     found.discard("")
     return found
 
@@ -139,16 +144,16 @@ def _contrast(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[list[str
     """Windows of toxic text that ordinary text doesn't explain, and windows of ordinary text."""
     hits = Counter(f for d in toxic for f in _fragments(d))
     base = Counter()
-    least = max(3, len(toxic) // 50)
+    least = max(FRAGMENT_ROWS, len(toxic) // FRAGMENT_ONE_IN)
     marked = {f for f, n in hits.items() if n >= least}
     for d in ordinary:
         base.update(_fragments(d) & marked)
     rate = len(toxic) / max(1, len(ordinary))
-    marked = {f for f in marked if hits[f] >= 12 * rate * (base[f] + 0.25)}
+    marked = {f for f in marked if hits[f] >= FRAGMENT_RATIO * rate * (base[f] + 0.25)}
     foul = Counter(w for d in toxic for w in sorted(d) if not marked.isdisjoint(_fragments({w})))
     foul = Counter({w: n for w, n in foul.items() if n > 1})
     plain = Counter(w for d in ordinary for w in sorted(d))
-    return [w for w, n in foul.most_common() for _ in range(min(n, 4))], [w for w, _ in plain.most_common(60_000)]
+    return [w for w, n in foul.most_common() for _ in range(min(n, 4))], [w for w, _ in plain.most_common(PLAIN_WORDS)]
 
 
 def _dictionary(found: list[str], size: int) -> bytes:

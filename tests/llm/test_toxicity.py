@@ -41,3 +41,12 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, labels)).collect()[0]["score"] == 0
+
+
+def test_a_word_inside_a_long_token_lies_whole_in_a_window():
+    for before in range(130):
+        for after in (0, 1, 70, 200):
+            token = "a" * before + "zzgrunkle" + "b" * after
+            found = toxicity.words(token)
+            assert any("zzgrunkle" in w for w in found) and max(map(len, found)) <= toxicity.WINDOW
+    assert toxicity.words("c" * 64) == {"c" * 64}
