@@ -1,5 +1,6 @@
 import html as std
 import re
+import time
 
 import pyarrow.parquet as pq
 
@@ -52,3 +53,69 @@ def test_end_tags_above_many_unclosed_elements():
         for tag in ("span", "font"):
             assert html.extract(f"<body><nav>{f'<{tag}>x' * n}</nav><article>{P}</article></body>") == WORDS
         assert html.extract(f"<body><article><ul><li hidden>{'<b>x' * n}<li>{WORDS}</ul></article></body>") == WORDS
+
+
+S = "The quick story of the town goes on along the river and over the hill, day after day, part %d."
+MENU = "<ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>Sport</a><li><a href=/d>About us</a></ul>"
+SIDE = "<h3>Latest</h3><ul><li><a href=1>First short link</a><li><a href=2>Second short link</a><li><a href=3>Third</a></ul><p>Follow us.</p>"
+FOOT = "<div>&copy; 2024 Example Town Press</div>"
+
+
+def par(k):
+    return " ".join([S % k] * 3)
+
+
+def p(k):
+    return f"<p>{par(k)}</p>"
+
+
+#: Pages without article, main or telling names: the page and its main text.
+LAYOUTS = {
+    "block": (f"<body><div>{MENU}</div><div><h1>Title</h1>{p(1)}{p(2)}<p>Short end.</p></div>{FOOT}", ["Title", par(1), par(2), "Short end."]),
+    "nested": (f"<body><div><div>Town Press</div><div>{MENU}</div><div><div><h2>Title</h2>{p(1)}<div><p>Yes.</p></div>{p(2)}{p(3)}</div><div>{SIDE}</div></div>{FOOT}</div>", ["Title", par(1), "Yes.", par(2), par(3)]),
+    "flat": (f"<body>{MENU}<h1>Title</h1>{p(1)}<ul><li>one<li>two</ul>{p(2)}<div>{SIDE}</div>{FOOT}", ["Title", par(1), "one two", par(2)]),
+    "table": (f"<body><table><tr><td colspan=2>{MENU}</td></tr><tr><td><a href=1>A</a><br><a href=2>B</a><br><a href=3>C</a></td><td>{par(1)}<br><br>{par(2)}<br>{par(3)}</td></tr><tr><td colspan=2>Town Press</td></tr></table>", [par(1), par(2), par(3)]),
+    "form": (f"<body><form action=x><input type=hidden value=y><div>{MENU}</div><div><h1>Title</h1>{p(1)}{p(2)}</div><select><option>one<option>two</select><label>Search</label></form>", ["Title", par(1), par(2)]),
+    "sections": (f"<body><div>{MENU}</div><div><h1>Title</h1>{p(0)}<section><h2>One</h2>{p(1)}{p(2)}{p(3)}</section><section><h2>Two</h2>{p(4)}</section></div><div>{SIDE}</div>{FOOT}", ["Title", par(0), "One", par(1), par(2), par(3), "Two", par(4)]),
+    "paragraphs without p": (f"<body><div>{MENU}</div><div><div>{par(1)}</div><div>{par(2)}</div><div>The end.</div></div>{FOOT}", [par(1), par(2), "The end."]),
+    "one paragraph": (f"<body><div>{MENU}</div><div><h1>Title</h1><p>{par(1)} <a href=x>see here</a> <b>and</b> <i>there</i>.</p></div><div>{SIDE}</div>{FOOT}", ["Title", par(1), "see here and there."]),
+    "header of the text": (f"<body><header>Town Press</header><div>{MENU}</div><div><header><h1>Title</h1></header>{p(1)}{p(2)}</div>{FOOT}", ["Title", par(1), par(2)]),
+    "widgets": (f"<body><div class='elementor-widget'><div>{p(1)}{p(2)}</div></div><div class=widget>{SIDE}</div>", [par(1), par(2)]),
+    "custom elements": (f"<body><my-app><my-menu>{MENU}</my-menu><my-story><h1>Title</h1>{p(1)}{p(2)}</my-story></my-app>", ["Title", par(1), par(2)]),
+}
+
+
+def test_layouts_without_telling_names():
+    for name, (page, want) in LAYOUTS.items():
+        assert html.extract(page) == " ".join(want), name
+
+
+def test_density_decides(monkeypatch):
+    monkeypatch.setattr(html, "link_adjusted", lambda *counts: 1.0)
+    assert [name for name, (page, want) in LAYOUTS.items() if html.extract(page) == " ".join(want)] == []
+
+
+def test_whole_table_with_the_article_in_a_plain_block():
+    for r in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        assert html.extract((r["html"] or "").replace("article>", "div>")) == expected(r["html"])
+
+
+def test_reader_comments_and_named_parts_go_whatever_their_density():
+    page = f"<body><div id=page class=has-sidebar><div>{p(1)}{p(2)}</div><div id=comments><article>{p(3) * 9}</article></div><div class='cookie-notice'>{p(4) * 9}</div><aside>{p(5) * 9}</aside></div>"
+    assert html.extract(page) == f"{par(1)} {par(2)}"
+
+
+def test_time_is_in_proportion_to_the_page():
+    many = {"<a <b ": "", "<a <b >": "", "<a x='\"> ": "", "<a b='": "", "<!-": "", "<!--": "", "<div>": "", "<main>": "", "<p><a>": "x", "</a =": "", "<form><header>": "x", "&#9999999999": "", "<li hidden>": "", "<nav><span>": "x"}
+    for part, end in many.items():
+        began = time.process_time()
+        html.extract(part * (1_000_000 // len(part)) + end)
+        assert time.process_time() - began < 5, part
+
+
+def test_tokens_as_browsers_read_them():
+    assert html.extract("<p title='a > b' data-x=\"<p>\">text</p><script>if (a < b) '</p>'</script><!-- x > y --><? z ?>more") == "text more"
+    assert html.extract("1 < 2 & 3 > 2 &amp; &#x41;&#65;&#99999999999999;") == "1 < 2 & 3 > 2 & AA\ufffd"
+    assert html.extract("a</>b</ x>c<3") == "abc<3"
+    assert html.extract("<p>seen</p><p class='open") == "seen"
+    assert html.extract("<p>seen <a href='x>link</a> on</p><p>and on</p>") == "seen link on and on"
