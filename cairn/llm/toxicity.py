@@ -1,18 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary text and one on windows of toxic text. A window is a
-word written twice: the dictionary that knows the word codes it as one match, the other must spell it once, so the
-difference of the compressed lengths is the length of the part that only toxic text explains. The toxic dictionary holds
-the ordinary one as its prefix, so it is longer on no window and a difference comes from toxic windows alone. A text's
-differences give a score through a logistic curve fitted on labelled rows that trained no dictionary; the curve is moved
-so that the decision with the best F1 there is at 0.3.
-
-Every word of every text is scored. Labels are learnt from a bounded sample of labelled rows: at most `per_class` rows of
+Two separate zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is read as windows of
+WINDOW bytes of running text (lower case, white space and punctuation as one space) that overlap: one begins at every
+word, and one at every half window inside longer words. A window's gain is its compressed length under the ordinary
+dictionary less that under the toxic one. A text's gains (how many of its distinct windows reach each of GAINS, the
+largest, how many windows there are) give a score through a logistic curve fitted on labelled rows that trained no
+dictionary; the curve is moved so that the decision with the best F1 there is at 0.3.
+
+Windows are short because zstandard pays about four bytes for a match: in a longer one, what the dictionaries tell of
+ordinary words around it drowns a short toxic word. Both dictionaries know a lead-in, so that every window is coded as a
+block with matches and lengths can be compared.
+
+The dictionaries are trained on whole texts of their class at first. Most of a toxic text is ordinary, so the toxic one is
+then trained again, ROUNDS times, on the windows of toxic texts whose gain only a share of RARE of the ordinary windows
+exceeds. Gains are taken crosswise, each half of the texts by the dictionaries of the other, so that no text speaks for
+itself; of SPLITS such splits, VOTES must pick a window. The ordinary dictionary gets the ordinary windows that the toxic
+one shortens by at least WORSE bytes in front.
+
+Every window of every text is scored. Labels are learnt from a bounded sample of labelled rows: at most `per_class` rows of
 label 0 and 1 (those with the smallest hash of the id) and `train_chars` characters of each.
 
-Defined cases: a null or empty text has no windows and gets the curve's value there; a word of over 64 characters is cut
-into windows of 64 that overlap by 32, so what is no longer than 33 lies whole in one; rows without a label, with a null id or without a text teach nothing; without both classes every
-score is 0; repeated rows repeat in the result; other columns are not read.
+Defined cases: a null or empty text has no windows and gets the curve's value there; rows without a label, with a null id
+or without a text teach nothing; without both classes every score is 0; where no window tells the classes apart, every
+score is the rate of label 1; repeated rows repeat in the result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,36 +37,69 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 64
 CUT = 0.3
-#: Dictionary sizes in bytes.
-ORDINARY_BYTES, TOXIC_BYTES = 112_640, 32_768
-LEVEL = 12
+#: Bytes of a window, sizes of the dictionaries, compression level.
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 10, 112_640, 32_768, 3
+#: Rounds of training the toxic dictionary; how many of them the last one learns from; see above.
+ROUNDS, LAST_ROUNDS, RARE, WORSE = 4, 3, 0.002, 1
+GAINS = (1, 2, 3, 4, 5, 6, 8)
+#: Splits into halves, how many of them must pick a window, and one in how many rows fits the curve alone.
+SPLITS, VOTES, CURVE = 3, 2, 5
+#: Near copies stay in the training rows if fewer rows than this would be left without them.
 FEW = 10
-#: A fragment of toxic training rows marks their words if so many rows (the count, and one in so many of them) have it, and
-#: it is so many times as frequent there as in ordinary rows.
-FRAGMENT_ROWS, FRAGMENT_ONE_IN, FRAGMENT_RATIO = 3, 50, 12
-#: Most common ordinary words the ordinary dictionary is trained on.
-PLAIN_WORDS = 60_000
-#: Rounds in which windows of ordinary training text that the toxic dictionary shortens join the ordinary one.
-ROUNDS = 3
-#: Pieces of at most so many distinct words have their differences kept by a worker.
-KEPT = 500_000
-_PUNCTUATION = string.punctuation + "«»“”„‘’…–—¡¿"
+#: Gains that a worker keeps at a time.
+KEPT = 400_000
+PAD = bytes(33 + (i * i * 7 + i * 31) % 94 for i in range(48))
+_SPACED = str.maketrans(dict.fromkeys(string.punctuation + "«»“”„‘’…–—¡¿", " "))
 
 
-def words(text: str) -> set[str]:
-    """Distinct lower-cased words without the punctuation around them, long ones in parts that overlap by half."""
-    found = {w.strip(_PUNCTUATION) for w in set(text.lower().split())}
-    for w in [w for w in found if len(w) > WINDOW]:
-        found.discard(w)
-        found.update(w[k : k + WINDOW] for k in range(0, len(w) - WINDOW // 2, WINDOW // 2))
-    found.discard("")
-    return found
+def running(text: str) -> bytes:
+    """Lower-cased words with one space between and around them."""
+    words = " ".join(text.lower().translate(_SPACED).split())
+    return f" {words} ".encode("utf-8", "replace") if words else b""
 
 
-def window(word: str) -> bytes:
-    return f" {word} {word} ".encode("utf-8", "replace")
+def windows(text: str) -> dict[bytes, None]:
+    """Distinct windows in the order of the text."""
+    b = running(text)
+    gap = np.flatnonzero(np.frombuffer(b, np.uint8) == 32)
+    at = gap[:-1]
+    long = np.flatnonzero(np.diff(gap) > WINDOW)
+    if len(long):
+        half = WINDOW // 2
+        at = np.sort(np.concatenate([at, *(np.arange(gap[k] + half, gap[k + 1] - half + 1, half) for k in long.tolist())]))
+    return dict.fromkeys([b[s : s + WINDOW] for s in at.tolist()])
+
+
+def _coder(content: bytes):
+    import zstandard
+
+    known = zstandard.ZstdCompressionDict(content + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+
+class Coder:
+    """Gains of windows under two dictionaries."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.plain, self.foul = _coder(ordinary), _coder(toxic)
+        self.known: dict[bytes, int] = {}
+        self.whole = {n: len(_coder(b"")(PAD + bytes(range(128, 128 + n)))) for n in range(WINDOW + 1)}
+
+    def gain(self, window: bytes) -> int:
+        """How many bytes shorter the toxic dictionary makes it, 0 if it makes it no shorter."""
+        got = self.known.get(window)
+        if got is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            foul = len(self.foul(PAD + window))
+            # what the toxic dictionary can't shorten at all needs no second look
+            got = self.known[window] = max(0, len(self.plain(PAD + window)) - foul) if foul < self.whole[len(window)] else 0
+        return got
+
+    def gains(self, found) -> np.ndarray:
+        return np.fromiter(map(self.gain, found), np.int64, len(found))
 
 
 @dataclass
@@ -72,40 +115,13 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        import zstandard
-
-        def coder(content: bytes):
-            known = zstandard.ZstdCompressionDict(content + self.pad, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-        # both know the lead-in, so every window is coded as a block with matches and lengths can be compared
-        self.pad = bytes(33 + (i * i * 7 + i * 31) % 94 for i in range(48))
         self.model = model
-        self.plain, self.foul = coder(model.ordinary), coder(model.ordinary + model.toxic)
-        self.known: dict[str, int] = {}
-
-    def gain(self, word: str) -> int:
-        got = self.known.get(word)
-        if got is None:
-            w = self.pad + window(word)
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            got = self.known[word] = len(self.plain(w)) - len(self.foul(w))
-        return got
+        self.coder = Coder(model.ordinary, model.toxic)
 
     def features(self, text: str) -> list[float]:
-        found = words(text)
-        known = self.known.get
-        gains = []
-        for w in found:
-            g = known(w)
-            if g is None:
-                g = self.gain(w)
-            if g > 0:
-                gains.append(g)
-        top = max(gains, default=0)
-        return [1.0, float(top), math.log1p(sum(g - 2 for g in gains if g > 2)), math.log1p(sum(g > 4 for g in gains)), math.log1p(sum(g > 7 for g in gains)), math.log1p(len(found))]
+        found = windows(text)
+        gains = self.coder.gains(found)
+        return [1.0, *(math.log1p(int((gains >= g).sum())) for g in GAINS), float(gains.max(initial=0)), math.log1p(len(found))]
 
     def score(self, text: str) -> float:
         if not self.model.weights:
@@ -114,98 +130,112 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _fragments(found: set[str]) -> set[str]:
-    """Substrings of 4 to 8 characters, with the spaces around a word."""
-    out = set()
-    for w in found:
-        w = f" {w} "
-        for n in range(4, 9):
-            out.update(w[k : k + n] for k in range(len(w) - n + 1))
-    return out
-
-
-def _unlike(found: list[set[str]]) -> list[set[str]]:
+def _unlike(texts: list[str]) -> list[str]:
     """Without near copies of earlier ones (5 of the 8 smallest word hashes shared), which would pass for a pattern; all
     if fewer than FEW would be left."""
     first: dict[int, int] = {}
     kept = []
-    for d in found:
-        low = sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in d)[:8]
+    for t in texts:
+        low = sorted(zlib.crc32(w) for w in set(running(t).split()))[:8]
         shared = Counter(first[h] for h in low if h in first)
         if shared and 8 * max(shared.values()) >= 5 * len(low):
             continue
         for h in low:
             first.setdefault(h, len(kept))
-        kept.append(d)
-    return kept if len(kept) >= FEW else found
-
-
-def _contrast(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[list[str], list[str]]:
-    """Windows of toxic text that ordinary text doesn't explain, and windows of ordinary text."""
-    hits = Counter(f for d in toxic for f in _fragments(d))
-    base = Counter()
-    least = max(FRAGMENT_ROWS, len(toxic) // FRAGMENT_ONE_IN)
-    marked = {f for f, n in hits.items() if n >= least}
-    for d in ordinary:
-        base.update(_fragments(d) & marked)
-    rate = len(toxic) / max(1, len(ordinary))
-    marked = {f for f in marked if hits[f] >= FRAGMENT_RATIO * rate * (base[f] + 0.25)}
-    foul = Counter(w for d in toxic for w in sorted(d) if not marked.isdisjoint(_fragments({w})))
-    foul = Counter({w: n for w, n in foul.items() if n > 1})
-    plain = Counter(w for d in ordinary for w in sorted(d))
-    return [w for w, n in foul.most_common() for _ in range(min(n, 4))], [w for w, _ in plain.most_common(PLAIN_WORDS)]
-
-
-def _dictionary(found: list[str], size: int) -> bytes:
-    """Content of a zstandard dictionary trained on the windows; all of them if they are too few to choose from."""
+        kept.append(t)
+    return kept if len(kept) >= FEW else texts
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """Content of a zstandard dictionary trained on the samples; all of them if they fit."""
     import zstandard
 
-    samples = [window(w) for w in found]
     whole = b"".join(dict.fromkeys(samples))
-    if len(whole) <= size or len(samples) < 50:
-        return whole[:size]
-    # samples of several windows: the trainer wants more than a few bytes each
-    groups = [b"".join(samples[k : k + 8]) for k in range(0, len(samples), 8)]
+    if len(whole) <= size:
+        return whole
     try:
-        made = zstandard.train_dictionary(size, groups, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
+        made = zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too few samples to choose from
         return whole[:size]
     return made[-size:]
 
 
+def _narrowed(ordinary: list[str], toxic: list[str]) -> list[bytes]:
+    """Windows of toxic texts that the last rounds picked, two halves of the texts against each other."""
+    halves = [[x[0::2], x[1::2]] for x in (ordinary, toxic)]
+    plain = [_dictionary([running(t) for t in h], ORDINARY_BYTES) for h in halves[0]]
+    foul = [_dictionary([running(t) for t in h], TOXIC_BYTES) for h in halves[1]]
+    calm = [list(dict.fromkeys(w for t in h for w in windows(t))) for h in halves[0]]
+    loud = [[list(windows(t)) for t in h] for h in halves[1]]
+    learnt = []
+    for r in range(ROUNDS):
+        picked = []
+        for j in (0, 1):
+            coder = Coder(plain[1 - j], foul[1 - j])
+            usual = coder.gains(calm[j])
+            least = 1 + (np.quantile(usual, 1 - RARE, method="higher") if len(usual) else 0)
+            picked.append([w for one in loud[j] for w in one if coder.gain(w) >= least])
+        if r >= ROUNDS - LAST_ROUNDS:
+            learnt += picked[0] + picked[1]
+        for j in (0, 1):
+            foul[j] = _dictionary(picked[j], TOXIC_BYTES)
+            plain[j] = _harder(plain[j], foul[j], calm[j])
+    return learnt
+
+
+def _harder(plain: bytes, foul: bytes, calm) -> bytes:
+    """The ordinary dictionary with the ordinary windows in front that the toxic one shortens."""
+    coder = Coder(plain, foul)
+    return b"".join(w for w in calm if coder.gain(w) >= WORSE) + plain
+
+
+def dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
+    """Contents of the two dictionaries of texts of the two classes."""
+    votes = Counter()
+    for k in range(SPLITS):
+        by = lambda t: zlib.crc32(b"%d" % k + running(t))  # noqa: B023,E731
+        votes.update(set(_narrowed(sorted(ordinary, key=by), sorted(toxic, key=by))))
+    foul = _dictionary([w for w, n in sorted(votes.items()) if n >= VOTES], TOXIC_BYTES)
+    plain = _dictionary([running(t) for t in ordinary], ORDINARY_BYTES)
+    calm = list(dict.fromkeys(w for t in ordinary for w in windows(t)))
+    for _ in (0, 1):
+        plain = _harder(plain, foul, calm)
+    return plain, foul
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """Model of (text, label) rows: even places of each class train the dictionaries, odd ones the curve."""
+    """Model of (text, label) rows: one in CURVE of each class fits the curve, the others train the dictionaries."""
     by = {y: [t for t, z in rows if z == y] for y in (0, 1)}
-    if min(map(len, by.values())) < 2:
+    if min(map(len, by.values())) < 3:
         return Model(b"", b"", ())
-    sets = {y: _unlike([words(t) for t in by[y][0::2]]) for y in by}
-    foul, plain = _contrast(sets[1], sets[0])
-    if not foul:  # toxic text has no pattern of its own: the rate of label 1 for every text
-        rate = len(by[1]) / len(rows)
-        return Model(b"", b"", (math.log(rate / (1 - rate)), *[0.0] * 5))
-    model = Model(_dictionary(plain, ORDINARY_BYTES), _dictionary(foul, TOXIC_BYTES), (0.0,) * 6)
-    common = set().union(*sets[0])
-    for _ in range(ROUNDS):
-        s = model.scorer()
-        shorter = sorted(w for w in common if s.gain(w) > 1)
-        model = Model(b"".join(map(window, shorter)) + model.ordinary, model.toxic, model.weights)
+    by = {y: sorted(_unlike(by[y]), key=lambda t: zlib.crc32(running(t))) for y in by}
+    ordinary, toxic = dictionaries(*([t for k, t in enumerate(by[y]) if k % CURVE] for y in (0, 1)))
+    model = Model(ordinary, toxic, (0.0,) * (len(GAINS) + 3))
     s = model.scorer()
-    x = np.array([s.features(t) for y in (0, 1) for t in by[y][1::2]])
-    y = np.array([y for y in (0, 1) for _ in by[y][1::2]], float)
+    last = [(t, y) for y in (0, 1) for t in by[y][::CURVE]]
+    x, y = np.array([s.features(t) for t, _ in last]), np.array([float(y) for _, y in last])
+    if not toxic or not x[:, 1].any():
+        rate = sum(z for _, z in rows) / len(rows)
+        return Model(b"", b"", (math.log(rate / (1 - rate)), *[0.0] * (len(GAINS) + 2)))
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    mean[0], spread[0] = 0.0, 1.0
+    x = (x - mean) / spread
     w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6] + [0.1] * (x.shape[1] - 1))
+    penalty = np.diag([1e-6] + [1.0] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
         w += np.clip(step, -5, 5)
-    p = x @ w
-    cuts = np.unique(p)
-    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-    if len(cuts) > 400:
-        cuts = cuts[:: len(cuts) // 400]
-    f1 = [2 * (y * (p >= c)).sum() / max(1, y.sum() + (p >= c).sum()) for c in cuts]
+    z = np.sort(x @ w)
+    cuts = np.unique((z[1:] + z[:-1]) / 2)
+    chosen = np.argsort(-(x @ w), kind="stable")
+    hit, taken = np.cumsum(y[chosen]), np.arange(1, len(y) + 1)
+    at = np.searchsorted(-(x @ w)[chosen], -cuts, "right") - 1
+    f1 = 2 * hit[at] / (y.sum() + taken[at])
     w[0] += math.log(CUT / (1 - CUT)) - cuts[int(np.argmax(f1))]
-    return Model(model.ordinary, model.toxic, tuple(map(float, w)))
+    w /= spread
+    w[0] -= (w[1:] * mean[1:]).sum()
+    return Model(ordinary, toxic, tuple(map(float, w)))
 
 
 def held_out(key: str = "doc_id"):
@@ -213,7 +243,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2200, 1500), train_chars: int = 32_768) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (1500, 1000), train_chars: int = 32_768) -> Model:
     """Model learnt from labels (doc_id, toxic) of rows that are not held out."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = []
@@ -222,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2200
     if not chosen:
         return Model(b"", b"", ())
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, toxic int")  # bounded by per_class
+    ids = spark.createDataFrame([(r[0], r[1]) for r in chosen], usable.schema)  # bounded by per_class
     rows = docs.select("doc_id", F.substring("text", 1, train_chars).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
     return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
@@ -245,6 +275,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, whose score is below the cut."""
+    place = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         import pyarrow as pa
@@ -253,6 +284,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                yield part.filter(pa.array([s.score(t or "") < CUT for t in part.column("text").to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([s.score(t or "") < CUT for t in part.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import pyarrow.parquet as pq
+import zstandard
 
 from cairn.llm import queries, toxicity
 
@@ -43,10 +45,50 @@ def test_nothing_to_learn(spark):
     assert toxicity.score(docs, toxicity.train(docs, labels)).collect()[0]["score"] == 0
 
 
-def test_a_word_inside_a_long_token_lies_whole_in_a_window():
-    for before in range(130):
-        for after in (0, 1, 70, 200):
-            token = "a" * before + "zzgrunkle" + "b" * after
-            found = toxicity.words(token)
-            assert any("zzgrunkle" in w for w in found) and max(map(len, found)) <= toxicity.WINDOW
-    assert toxicity.words("c" * 64) == {"c" * 64}
+def plain_score(model, text):
+    """The model's score, window by window and without any memory."""
+    b = toxicity.running(text)
+    found = set()
+    for k in range(len(b) - 1):
+        word = b.rindex(b" ", 0, k + 1)
+        end = b.index(b" ", word + 1)
+        half = toxicity.WINDOW // 2
+        if k == word or (end - word > toxicity.WINDOW and (k - word) % half == 0 and k <= end - half):
+            found.add(b[k : k + toxicity.WINDOW])
+
+    def size(content, w):
+        known = zstandard.ZstdCompressionDict(content + toxicity.PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=toxicity.LEVEL)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress(toxicity.PAD + w))
+
+    gains = [max(0, size(model.ordinary, w) - size(model.toxic, w)) for w in found]
+    x = [1.0, *(math.log1p(sum(g >= least for g in gains)) for least in toxicity.GAINS), max(gains, default=0), math.log1p(len(found))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x, strict=True))))
+
+
+def test_scores_like_brute_force():
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["text"]]
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    model = toxicity.fit([(r["text"], labels[r["doc_id"]]) for r in rows if r["doc_id"] in labels])
+    s = model.scorer()
+    texts = [r["text"][:1500] for r in rows[:25]] + ["", " ", "x" * 3000, "a" * 10, "idiot", "(Idiot!) " * 40, "\ud800 zz"]
+    for t in texts:
+        assert abs(s.score(t) - plain_score(model, t)) < 1e-9
+
+
+def test_the_dictionaries_are_separate():
+    ordinary, toxic = toxicity.dictionaries([f"the calm river number {k * 7919} flows by hill and town" for k in range(60)], [f"the calm river {k * 104729} zzgrunkle flows by town" for k in range(60)])
+    assert b" zzgrunkl" in toxic and b"zzgrunkl" not in ordinary and ordinary not in toxic and b"the calm river" in ordinary
+
+
+def test_windows_cover_every_byte():
+    for n in range(70):
+        b = toxicity.running("ab " + "c" * n + " de")
+        covered = set()
+        for w in toxicity.windows("ab " + "c" * n + " de"):
+            k = b.find(w)
+            while k >= 0:
+                covered.update(range(k, k + len(w)))
+                k = b.find(w, k + 1)
+        assert covered == set(range(len(b)))
+    assert toxicity.windows("") == toxicity.windows(" ,;") == {}
