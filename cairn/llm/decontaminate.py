@@ -10,7 +10,7 @@ Documents are read once, without a shuffle. Items are the query set: they go to
 are at most `block_shingles` (8 bytes each), so what is sent has a fixed bound and more items mean more blocks.
 
 Defined cases: null and empty texts and items have no shingles and match nothing; a long text is hashed in blocks and
-compared as one; items with equal shingles match alike; repeated rows repeat in the result; other columns are not read.
+compared as one; items with equal shingles match alike; an item or document without an id keeps its null in the result; repeated rows repeat in the result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,6 +89,9 @@ def blocks(items: DataFrame, block_shingles: int, key: str, text: str) -> Iterat
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block_shingles: int = 1_000_000, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """A row (doc_key, item_key, n_shingles, n_found, containment) for each item contained in a document."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     kinds = f"doc {docs.schema[doc_key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}, n_shingles long, n_found long"
     out = None
     for block in blocks(items, block_shingles, item_key, text):
@@ -104,7 +107,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, widt
                     keys = part.column(0).to_pylist()
                     rows = [(keys[i], *m) for i in range(part.num_rows) for m in sketches.matches(texts.hashes[texts.first[i] : texts.first[i + 1]])]
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (part.schema.field(0).type, pa.int64() if isinstance(rows[0][1], int) else pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc", "item", "n_shingles", "n_found"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (part.schema.field(0).type, item_type, pa.int64(), pa.int64()), strict=True)], ["doc", "item", "n_shingles", "n_found"])
 
         found = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, kinds)
         out = found if out is None else out.unionByName(found)
@@ -115,6 +118,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, widt
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block_shingles: int = 1_000_000, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that contain no item."""
+    place = [c.lower() for c in docs.columns].index(text.lower())
     for block in blocks(items, block_shingles, "item_id", text):
         sketches = Sketches(block, threshold, width)
 
@@ -124,7 +128,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
             for b in batches:
                 for k in range(0, b.num_rows, 1024):
                     part = b.slice(k, 1024)
-                    texts = textvec.Texts(textvec.as_bytes(part.column(text)))
+                    texts = textvec.Texts(textvec.as_bytes(part.column(place)))
                     yield part.filter(pa.array([next(sketches.matches(texts.hashes[texts.first[i] : texts.first[i + 1]]), None) is None for i in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import shared
+
 MIN_SITES = 10
 #: Registers of a sketch: 2 ** LG_K; its relative standard error is 1.04 / sqrt(2 ** LG_K).
 LG_K = 12
@@ -30,35 +32,48 @@ def _hashes(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, source and line hash of every line that isn't blank."""
-    cut = F.explode(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))
-    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "source", cut.alias("line")).select("doc_id", "th", "source", _hashes(F.col("line")).alias("h")).select("doc_id", "th", "source", "h.a", "h.b")
+    """doc_id, text hash, source, place and hash of every line that isn't blank."""
+    cut = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return cut.where(F.length(F.trim("line")) > 0).select("doc_id", "th", "source", "pos", _hashes(F.col("line")).alias("h")).select("doc_id", "th", "source", "pos", "h.a", "h.b")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """Hashes (a, b) of the boilerplate lines and their first holder."""
+    """Hashes (a, b) of the boilerplate lines and their first holder, stored.
+
+    The lines whose estimate isn't clearly too low are few; they are stored, and only lines near the threshold take part
+    in the exact count: the others leave before it is shuffled.
+    """
     band = max(2.0, 5 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     lines = _lines(docs)
-    spread = lines.groupBy("a", "b").agg(F.hll_sketch_agg(F.col("source").cast("string"), F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first")).select("a", "b", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - band)
+    sketch = F.hll_sketch_agg(F.col("source").cast("string"), F.lit(lg_k))
+    spread = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(sketch).alias("sites"), F.min("doc_id").alias("first")).where(F.col("sites") >= min_sites - band)
+    spread = shared.stored(spread, "lines-spread")
     clear = spread.where(F.col("sites") > min_sites + band).select("a", "b", "first")
-    near = spread.where(F.col("sites") <= min_sites + band)
-    pairs = lines.where("source is not null").groupBy("a", "b", "source").agg(F.lit(1).alias("one"))
-    exact = pairs.join(near.select("a", "b", "first"), ["a", "b"]).groupBy("a", "b").agg(F.count("one").alias("sites"), F.min("first").alias("first")).where(F.col("sites") >= min_sites).select("a", "b", "first")
-    return clear.unionByName(exact)
+    near = spread.where(F.col("sites") <= min_sites + band).select("a", "b", "first")
+    pairs = lines.where("source is not null").select("a", "b", "source").join(near, ["a", "b"], "left_semi").distinct()
+    exact = pairs.groupBy("a", "b").agg(F.count("source").alias("sites")).where(F.col("sites") >= min_sites).join(near, ["a", "b"]).select("a", "b", "first")
+    return shared.stored(clear.unionByName(exact), "lines-found")
 
 
 def removals(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """For each (doc_id, text hash), the hashes of the lines that it loses."""
+    """For each (doc_id, text hash), the places of the lines that it loses, rising."""
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     held = _lines(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
     lost = held.join(salted, ["a", "b", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
+    return lost.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
+
+
+def _without(split: Column, lost: Column) -> Column:
+    """An array without the elements at rising places: what lies between them, in time proportional to both."""
+    edge = F.concat(F.array(F.lit(-1)), lost, F.array(F.size(split)))
+    between = F.transform(F.sequence(F.lit(0), F.size(lost)), lambda k: F.slice(split, F.get(edge, k) + 2, F.get(edge, k + 1) - F.get(edge, k) - 1))
+    return F.flatten(between)
 
 
-def dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """docs with boilerplate lines removed from text, and n_lines and n_removed beside it.
+def dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, counts: bool = True) -> DataFrame:
+    """docs with boilerplate lines removed from text; with counts also n_lines and n_removed beside it.
 
-    Of an input column named n_lines or n_removed, the operator's own takes the place.
+    Of an input column named n_lines or n_removed, the operator's own takes the place if it counts.
     """
     core = docs.select("doc_id", "text", "source")
     lost = removals(core, boilerplate(core, min_sites, lg_k))
@@ -68,9 +83,8 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Data
     lost = lost.select(F.col("doc_id").alias(f"{mark}id"), F.col("th").alias(f"{mark}th"), F.col("lost").alias(f"{mark}lost")).hint("shuffle_hash")
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost[f"{mark}id"]) & F.xxhash64(docs["text"]).eqNullSafe(lost[f"{mark}th"]), "left")
     split = F.split("text", "\n")
-    kept = F.when(F.col(f"{mark}lost").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains(F.col(f"{mark}lost"), _hashes(x))))
-    own = joined.withColumn(f"{mark}kept", kept).withColumn(f"{mark}n", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col(f"{mark}n"))
-    left = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(f"{mark}kept")).cast("long")
-    columns = [F.array_join(f"{mark}kept", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return own.select(*columns, count.cast("long").alias("n_lines"), (count - left).cast("long").alias("n_removed"))
+    less = F.array_join(_without(split, F.col(f"{mark}lost")), "\n")
+    text = F.when(F.col(f"{mark}lost").isNull(), F.col("text")).otherwise(less)
+    own = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"), "n_removed": F.coalesce(F.size(f"{mark}lost"), F.lit(0)).cast("long")} if counts else {}
+    columns = [text.alias(c) if c.lower() == "text" else F.col(c) for c in docs.columns if c.lower() not in own]
+    return joined.select(*columns, *(v.alias(k) for k, v in own.items()))

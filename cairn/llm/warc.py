@@ -36,6 +36,8 @@ STEP = 1 << 16
 #: Payload bytes after which a new archive is begun.
 ARCHIVE_BYTES = 48 << 20
 SALTS = 16
+#: Tasks at most that read archives back; beyond that many, a task reads several.
+READERS = 20_000
 
 
 def digest(payload: bytes) -> str:
@@ -248,4 +250,5 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [s.split()[0] for s in spec.split(", ")])
 
-    return manifest.select("path", "index").repartition("path").mapInArrow(run, spec)
+    # a number of its own: by size, adaptive execution would put the paths of all archives into one task
+    return manifest.select("path", "index").repartition(max(1, min(manifest.count(), READERS)), "path").mapInArrow(run, spec)

@@ -48,3 +48,13 @@ def test_cases(spark):
         hit = {d for d, *_ in brute(rows, items)}
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in hit) and kept.columns == docs.columns
     assert decontaminate.search(docs.limit(0), bench).count() == 0 and decontaminate.search(docs, bench.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "other")], "doc_id int, TEXT string")
+    for kind, ids in (("long", [None, 7]), ("int", [3, None]), ("string", ["a", None])):
+        bench = spark.createDataFrame([(i, "One two three four five six") for i in ids], f"item_id {kind}, text string")
+        got = decontaminate.search(docs, bench)
+        assert sorted(((r["doc_id"], r["item_id"]) for r in got.collect()), key=str) == sorted([(1, i) for i in ids], key=str)
+        assert got.schema["item_id"].dataType == bench.schema["item_id"].dataType
+        assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [2]

@@ -48,3 +48,22 @@ def test_large_spread_is_exact_near_the_threshold(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = lines.dedup(docs, 1000, lg_k=8)
     assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str) == brute(rows, 1000)
+
+
+def test_a_document_that_loses_most_of_its_lines_and_one_without_counts(spark):
+    many = [f"common line {k}" for k in range(800)]
+    rows = [(d, "\n".join([f"own {d}", *many, "", "end"]), f"site {d}") for d in range(12)]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, source string, n_lines int, pos string")
+    got = lines.dedup(docs)
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()), key=str) == brute(rows, 10)
+    plain = lines.dedup(docs, counts=False)
+    assert plain.columns == docs.columns and all(r["n_lines"] == 7 and r["pos"] == "x" for r in plain.collect())
+    assert {r["doc_id"]: r["text"] for r in plain.collect()} == {r[0]: r[1] for r in brute(rows, 10)}
+
+
+def test_counts_exactly_near_the_threshold(spark):
+    for least in (2, 10):
+        rows = [(s * 100 + k, f"line of {n} sites", f"site {s}") for n in range(1, 2 * least + 3) for s in range(n) for k in range(2)]
+        rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+        got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=least)
+        assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()), key=str) == brute(rows, least)
