@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many sites share; n_chars follows the text."""
-    clean = lines.dedup(docs)
+    clean = lines.dedup(docs, counts=False)
     columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return clean.select(*columns)
 
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every result is written as Parquet and reread."""
+    """All stages over documents; every result is written as Parquet and reread, and a stage's own tables are deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = shared.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with shared.scratch(spark):
+            docs = shared.stored(stage(spark, docs, sf_dir), f"pipeline-{name}", scratch=False)
     return docs
