@@ -1,8 +1,9 @@
 """Language-model scoring with bigram and trigram tries in Elias-Fano levels, dealt over shards.
 
 P(w | v) = lam(v) * c(v, w) / c(v) + (1 - lam(v)) * (c(w) + 1/2) / (N + (V + 1) / 2), with lam(v) = c(v) / (c(v) + mu(v))
-and mu(v) = 1 + 5 c(v)^0.85: a proper distribution over the vocabulary and one unknown word. The trie keeps the smoothed
-share of the pair, lam(v) * c(v, w) / c(v), as a byte on a logarithmic scale of 255 steps over nine decades. In the same way
+and mu(v) = 1 + 5 c(v)^0.85: a proper distribution over the vocabulary and one unknown word, but for rounding: the trie
+keeps the smoothed share of the pair, lam(v) * c(v, w) / c(v), as a byte on a logarithmic scale of 255 steps over nine
+decades, so a share is off by 4.2 % at most, and the sum of a context by less. In the same way
 P(w | u, v) = lam(u, v) * c(u, v, w) / c(u, v) + (1 - lam(u, v)) * P(w | v), the beginning of a text being a word before
 its first; the first word has no longer context. Level 3 has the rank of the pair (u, v) for its context.
 
@@ -128,10 +129,17 @@ def blocks(docs: DataFrame, held: str, key: str, text: str) -> DataFrame:
     return shared.stored(core.mapInArrow(run, spec), "lm-blocks")
 
 
-def _shards(values: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of sorted hashes by shard: equal ranges of their upper half."""
-    cut = (np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n)
-    return np.searchsorted(values >> np.uint64(32), cut)
+def spans(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of each run in rising shard numbers: only shards that have something."""
+    if not len(shard):
+        return []
+    begin = np.flatnonzero(np.diff(shard, prepend=shard[:1] + 1))
+    return list(zip(shard[begin].tolist(), begin.tolist(), np.append(begin[1:], len(shard)).tolist(), strict=True))
+
+
+def shard_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The shard of each hash: equal ranges of their upper half."""
+    return (((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def word_counts(table: DataFrame, n: int) -> DataFrame:
@@ -143,9 +151,8 @@ def word_counts(table: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for block, w, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words, seen = unpack_sorted(w), unpack(s)
-                at = _shards(words, n)
-                spans = [(k, x, y) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([k for k, _, _ in spans], pa.int64()), "block": [block] * len(spans), "words": [pack_sorted(words[x:y]) for _, x, y in spans], "seen": [pack(seen[x:y]) for _, x, y in spans]})
+                own = spans(shard_of(words, n))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([k for k, _, _ in own], pa.int64()), "block": [block] * len(own), "words": [pack_sorted(words[x:y]) for _, x, y in own], "seen": [pack(seen[x:y]) for _, x, y in own]})
 
     def answer(group):
         import pyarrow as pa
@@ -157,13 +164,13 @@ def word_counts(table: DataFrame, n: int) -> DataFrame:
         total = np.bincount(place, seen.astype(float), len(words)).astype(np.uint64)
         at = np.cumsum([0, *map(len, parts)])
         ids = place.astype(np.uint64) * np.uint64(n) + np.uint64(shard) + np.uint64(1)
-        spans = list(zip(at[:-1], at[1:], strict=True))
+        parts_at = list(zip(at[:-1], at[1:], strict=True))
         return pa.table(
             {
                 "block": pa.array([*group.column("block").to_pylist(), None], pa.string()),
                 "shard": pa.array([shard] * (len(parts) + 1), pa.int64()),
-                "counts": pa.array([*(pack(total[place[x:y]]) for x, y in spans), None], pa.binary()),
-                "word_ids": pa.array([*(pack_sorted(ids[x:y]) for x, y in spans), None], pa.binary()),
+                "counts": pa.array([*(pack(total[place[x:y]]) for x, y in parts_at), None], pa.binary()),
+                "word_ids": pa.array([*(pack_sorted(ids[x:y]) for x, y in parts_at), None], pa.binary()),
                 "n_words": pa.array([*[None] * len(parts), int((total > 0).sum())], pa.int64()),
                 "top": pa.array([*[None] * len(parts), len(words) * n + n], pa.int64()),
             }
@@ -263,22 +270,19 @@ def _deal(block: str, s, v, w, cv, seen, n: int):
     """Rows for the shards below n, of (context, word) in their order."""
     import pyarrow as pa
 
-    at = np.searchsorted(s, np.arange(n + 1, dtype=np.uint64))
     cols = {"shard": [], "contexts": [], "runs": [], "totals": [], "words": [], "seen": []}
-    for k in range(n):
-        x, y = at[k], at[k + 1]
-        if y > x:
-            new = np.ones(y - x, bool)
-            new[1:] = v[x + 1 : y] != v[x : y - 1]
-            begin = np.flatnonzero(new)
-            step = np.diff(w[x:y], prepend=np.uint64(0))
-            step[begin] = w[x:y][begin]  # a context's words rise; the first is whole
-            cols["shard"].append(k)
-            cols["contexts"].append(pack_sorted(v[x:y][begin]))
-            cols["runs"].append(pack(np.diff(np.append(begin, y - x))))
-            cols["totals"].append(pack(cv[x:y][begin]))
-            cols["words"].append(pack(step))
-            cols["seen"].append(pack(seen[x:y]))
+    for k, x, y in spans(s[: np.searchsorted(s, np.uint64(n))].astype(np.int64)):
+        new = np.ones(y - x, bool)
+        new[1:] = v[x + 1 : y] != v[x : y - 1]
+        begin = np.flatnonzero(new)
+        step = np.diff(w[x:y], prepend=np.uint64(0))
+        step[begin] = w[x:y][begin]  # a context's words rise; the first is whole
+        cols["shard"].append(k)
+        cols["contexts"].append(pack_sorted(v[x:y][begin]))
+        cols["runs"].append(pack(np.diff(np.append(begin, y - x))))
+        cols["totals"].append(pack(cv[x:y][begin]))
+        cols["words"].append(pack(step))
+        cols["seen"].append(pack(seen[x:y]))
     return pa.table({"shard": pa.array(cols["shard"], pa.int64()), "block": pa.array([block] * len(cols["shard"]), pa.string()), **{k: pa.array(cols[k], pa.binary()) for k in list(cols)[1:]}})
 
 
@@ -315,14 +319,14 @@ def _answers(sent: DataFrame, n: int, n_words: int, n_contexts: int | None, last
         finally:
             trie.close()
         at = np.cumsum([0, *sizes])
-        spans = list(zip(at[:-1], at[1:], strict=True))
-        out = {"block": group.column("block").to_pylist(), "shard": group.column("shard").to_pylist(), "codes": [code[x:y].tobytes() for x, y in spans]}
+        parts_at = list(zip(at[:-1], at[1:], strict=True))
+        out = {"block": group.column("block").to_pylist(), "shard": group.column("shard").to_pylist(), "codes": [code[x:y].tobytes() for x, y in parts_at]}
         if not last:
             shard = out["shard"][0]
             both = count.astype(np.uint64) * np.uint64(2) + (np.bincount(of, minlength=len(v)) == 1).astype(np.uint64)
-            out["counts"] = [pack(both[of[x:y]]) for x, y in spans] + [None]
-            out["ids"] = [pack_sorted(of[x:y].astype(np.uint64) * np.uint64(n) + np.uint64(shard)) for x, y in spans] + [None]
-            out["top"] = [None] * len(spans) + [len(v) * n + n]
+            out["counts"] = [pack(both[of[x:y]]) for x, y in parts_at] + [None]
+            out["ids"] = [pack_sorted(of[x:y].astype(np.uint64) * np.uint64(n) + np.uint64(shard)) for x, y in parts_at] + [None]
+            out["top"] = [None] * len(parts_at) + [len(v) * n + n]
             for k, x in (("block", None), ("shard", shard), ("codes", None)):
                 out[k].append(x)
         kinds = {"block": pa.string(), "shard": pa.int64(), "top": pa.int64()}
@@ -368,8 +372,8 @@ def triple_codes(both: DataFrame, codes: DataFrame, n: int, n_train_docs: int, n
 
 
 def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score (order 1), score (order 2) and trigram_score
-    (order 3) of every row; `held` names the boolean column of the rows that teach nothing."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score (order 1), score (order 3: the whole model) and
+    bigram_score (order 2) of every row; `held` names the boolean column of the rows that teach nothing."""
     table = blocks(docs, held, key, text)
     size = table.agg(F.sum("n_tokens").alias("t"), F.sum("n_train").alias("n"), F.sum("n_docs").alias("d")).first()
     tokens, train, train_docs = size["t"] or 0, size["n"] or 0, size["d"] or 0
@@ -413,12 +417,12 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
                 "n_known": pa.array(by((b.c > 0).astype(np.int64))),
                 "train_tokens": pa.array([train] * n_docs, pa.int64()),
                 "base_score": pa.array(by(np.log10(uni))),
-                "score": pa.array(by(np.log10(p))),
-                "trigram_score": pa.array(by(np.log10(p3))),
+                "score": pa.array(by(np.log10(p3))),
+                "bigram_score": pa.array(by(np.log10(p))),
             }
         )
 
-    spec = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
+    spec = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bigram_score double"
     replies = codes.select("block", "shard", "codes", "counts", "ids").unionByName(last, allowMissingColumns=True)
     out = both.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, spec)
     return out.withColumnRenamed("key", key)
