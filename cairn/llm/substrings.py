@@ -4,16 +4,20 @@ A byte is removed when a `width`-byte string that covers it also starts in a doc
 
 Every string of `width` bytes has one anchor: the least hash among its K-byte substrings, the leftmost of equals. Equal
 strings have equal anchors, so only strings with the same anchor are ever compared. Blocks of texts first send which
-anchors they have; the shards answer which are found in several documents. For those, a block sends each distinct
-context (the bytes of the anchor's strings) once, with its smallest doc_id. In a shard, contexts come in the order of
-doc_id. An anchor with one context needs no search. The strings of the others go to an index family: a batch of new
-contexts gets its suffix array, is merge-scanned against the existing levels for matches of the full width, and joins
-them as a level; levels of equal size merge, so there are logarithmically many. A mask of the strings that start in a
-smaller document returns to the block.
+anchors they have and how often; the shards answer which are found in several documents, and which of these are hot. For
+those, a block sends each distinct context (the bytes of the anchor's strings) once, with its smallest doc_id; contexts
+of hot anchors are cut into their strings, which are dealt over all shards by their own hashes.
+
+In a shard an index family finds the repeats. Contexts come in batches in the order of doc_id. A batch gets its suffix
+array: the places of its suffixes of at least `width` bytes in order of their first `width` bytes, with the least doc_id
+of those that share them (a longer match is a run of such places). It is merge-scanned against the existing levels, both
+in sorted order, for matches of the full width, and joins them as a level; levels of equal size merge, so there are
+logarithmically many. A mask of the strings that start in a smaller document returns to the block.
 
 Defined cases: a null text is empty; repeats inside a document don't count; rows with equal doc_id never remove each
 other's bytes; a null doc_id counts as larger than all others; texts shorter than `width` lose nothing; repeated rows
-repeat in the result; all text is bytes, so a removed run may split a character; other columns are not read.
+repeat in the result; all text is bytes, so a removed run may split a character; other columns are not read; doc_id is
+of an integer type.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import shared, textvec
-from cairn.llm.lm import pack, pack_sorted, unpack, unpack_sorted
+from cairn.llm.lm import pack, pack_sorted, shard_of, spans, unpack, unpack_sorted
 
 WIDTH, K = 50, 25
 #: Text bytes of a block; anchors of a shard; strings of a new batch.
 BLOCK_BYTES, SHARD_ANCHORS, BATCH = 6 << 20, 250_000, 1 << 16
+#: An anchor with more occurrences than this is hot. Suffixes of a level that a merge scan reads at a time.
+HOT, CHUNK = 20_000, 1 << 15
 LAST = (1 << 63) - 1
 
 _P = 0xD1B54A32D192ED03 | 1
@@ -113,72 +119,99 @@ class Anchors:
         return (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
 
 
-class Family:
-    """Suffix arrays of fixed-width strings in levels, each about twice the one after it; of equal strings the smallest id."""
+class Level:
+    """A suffix array: `at`, places in `text` in order of the `width` bytes there, and the least id that has each."""
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, text: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int):
+        self.text, self.at, self.ids, self.width = text, at, ids, width
 
-    @staticmethod
-    def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        return keys[new], np.minimum.reduceat(ids, np.flatnonzero(new))
-
-    def scan_and_add(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The smallest id of each string, among the levels and the batch itself; the batch becomes a level."""
-        if not len(keys):
-            return ids
-        order = np.argsort(keys, kind="stable")
-        array, least = self._distinct(keys[order], ids[order])
-        found = least.copy()
-        for old, old_ids in self.levels:
-            at = np.searchsorted(old, array)
-            at[at == len(old)] = 0
-            same = old[at] == array
-            found[same] = np.minimum(found[same], old_ids[at[same]])
-        place = np.searchsorted(array, keys)
-        out = found[place]
-        level = array, least
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            old = self.levels.pop()
-            both, both_ids = np.concatenate([old[0], level[0]]), np.concatenate([old[1], level[1]])
-            order = np.argsort(both, kind="stable")  # two sorted runs: one merge
-            level = self._distinct(both[order], both_ids[order])
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def keys(self, x: int, y: int) -> np.ndarray:
+        """The bytes that the suffixes x to y begin with."""
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, self.width)[self.at[x:y]]).view(f"S{self.width}")[:, 0]
+
+    @classmethod
+    def of(cls, contexts: list[bytes], ids: np.ndarray, width: int) -> tuple[Level, np.ndarray]:
+        """The suffix array of contexts; and of each of their strings, in order, its place there."""
+        size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        # no byte of UTF-8 is 0xFF: adding one leaves no zero, which numpy's strings would drop at their end
+        text = np.frombuffer(b"".join(contexts), np.uint8) + np.uint8(1)
+        many = size - width + 1
+        begin = np.repeat(np.cumsum(size) - size, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        whole = cls(text, begin, np.repeat(ids, many), width)
+        key = whole.keys(0, len(begin))
+        order = np.argsort(key, kind="stable")
+        common = key[order[1:]] == key[order[:-1]]  # the longest common prefix of neighbours is at least width
+        new = np.concatenate([[True], ~common])
+        place = np.empty(len(begin), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        return cls(text, begin[order][first], np.minimum.reduceat(whole.ids[order], first), width), place
+
+    def scan(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Of each suffix of another level, its place in this one, and whether it is there: one pass over both."""
+        place, same = np.full(len(other), len(self), np.int64), np.zeros(len(other), bool)
+        x, mine = 0, self.keys(0, CHUNK)
+        for y in range(0, len(other), CHUNK):
+            key, done = other.keys(y, y + CHUNK), 0
+            while x < len(self) and done < len(key):
+                to = done + int(np.searchsorted(key[done:], mine[-1], "right"))
+                at = np.searchsorted(mine, key[done:to])
+                place[y + done : y + to] = x + at
+                same[y + done : y + to] = mine[at] == key[done:to]
+                done = to
+                if done < len(key):
+                    x += CHUNK
+                    mine = self.keys(x, x + CHUNK)
+        return place, same
+
+    def merged(self, other: Level) -> Level:
+        """Both in one: suffixes that both have once, with the lesser id."""
+        place, same = self.scan(other)
+        ids = self.ids.copy()
+        ids[place[same]] = np.minimum(ids[place[same]], other.ids[same])
+        own = ~same
+        return Level(np.concatenate([self.text, other.text]), np.insert(self.at, place[own], other.at[own] + len(self.text)), np.insert(ids, place[own], other.ids[own]), self.width)
+
+
+class Family:
+    """Suffix arrays in levels, each more than twice as large as the next."""
+
+    def __init__(self, width: int):
+        self.levels: list[Level] = []
+        self.width = width
+
+    def add(self, contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """The least id of each string of the contexts, among the levels and themselves; they become a level."""
+        level, place = Level.of(contexts, ids, self.width)
+        found = level.ids.copy()
+        for old in self.levels:
+            at, same = old.scan(level)
+            found[same] = np.minimum(found[same], old.ids[at[same]])
+        while self.levels and len(self.levels[-1]) <= 2 * len(level):
+            level = self.levels.pop().merged(level)
         self.levels.append(level)
-        return out
+        return found[place]
 
 
-def earlier(contexts: list[bytes], kmers: list[bytes], ids: list[int], width: int) -> list[int]:
+def earlier(contexts: list[bytes], ids: list[int], width: int) -> list[int]:
     """For each context, a mask of its strings of `width` bytes that have a smaller id elsewhere; bit j: the j-th."""
     order = sorted(range(len(contexts)), key=ids.__getitem__)
-    first: dict[bytes, int] = {}
-    kinds: dict[bytes, int] = {}
-    for i in order:
-        c = contexts[i]
-        if c not in first:
-            first[c] = ids[i]
-            kinds[kmers[i]] = kinds.get(kmers[i], 0) + 1
-    out = [(1 << len(c) - width + 1) - 1 if first[c] < d else 0 for c, d in zip(contexts, ids, strict=True)]
-    # contexts that aren't whole repeats, of anchors with different contexts, in batches by id
-    family = Family()
-    todo = [i for i in order if not out[i] and kinds[kmers[i]] > 1]
-    at = 0
-    while at < len(todo):
+    out = [0] * len(contexts)
+    family, at = Family(width), 0
+    while at < len(order):
         to, n = at, 0
-        while to < len(todo) and (n < BATCH or ids[todo[to]] == ids[todo[to - 1]]):
-            n += len(contexts[todo[to]]) - width + 1
+        while to < len(order) and (n < BATCH or ids[order[to]] == ids[order[to - 1]]):
+            n += len(contexts[order[to]]) - width + 1
             to += 1
-        part = todo[at:to]
-        size = np.array([len(contexts[i]) for i in part])
-        # no byte of UTF-8 is 0xFF: adding one leaves no zero, which numpy's strings would drop at their end
-        text = np.frombuffer(b"".join(contexts[i] for i in part), np.uint8) + np.uint8(1)
-        many = size - width + 1
-        begin = np.repeat(np.cumsum(size) - size, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, width)[begin]).view(f"S{width}")[:, 0]
-        own = np.repeat(np.array([ids[i] for i in part]), many)
-        hit = family.scan_and_add(keys, own) < own
-        bits = np.add.reduceat(hit.astype(np.int64) << (np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many)), np.cumsum(many) - many)
+        part = order[at:to]
+        own = np.array([ids[i] for i in part])
+        many = np.array([len(contexts[i]) for i in part]) - width + 1
+        hit = family.add([contexts[i] for i in part], own) < np.repeat(own, many)
+        first = np.cumsum(many) - many
+        bits = np.add.reduceat(hit.astype(np.int64) << (np.arange(len(hit)) - np.repeat(first, many)), first)
         for i, m in zip(part, bits.tolist(), strict=True):
             out[i] = m
         at = to
@@ -223,29 +256,47 @@ class _Block:
         self.value = textvec.mix(self.a.hash) >> np.uint64(64 - bits)
         self.bits, self.width, self.k = bits, width, k
 
-    def shard(self, values: np.ndarray, n: int) -> np.ndarray:
-        """Bounds of sorted values by shard."""
-        top = values >> np.uint64(self.bits - 32)
-        return np.searchsorted(top, (np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n))
-
     def seen(self):
-        """Sorted distinct anchor values, and whether two documents of the block have each."""
+        """Sorted distinct anchor values, how often the block has each, and whether two of its documents do."""
         order = np.argsort(self.value, kind="stable")
         v, d = self.value[order], self.ids[self.a.owner[order]]
         new = np.ones(len(v), bool)
         new[1:] = v[1:] != v[:-1]
         run = np.flatnonzero(new)
         several = np.minimum.reduceat(d, run) != np.maximum.reduceat(d, run) if len(run) else np.zeros(0, bool)
-        return v[run], several
-
-    def contexts(self, live: np.ndarray):
-        """Of live anchors: distinct contexts in order of anchor value, places of the anchor in them, their smallest ids
-        and anchor values; and for each live anchor its index and its context's."""
-        values, _ = self.seen()
-        on = np.flatnonzero(live[np.searchsorted(values, self.value)]) if len(values) else np.zeros(0, np.int64)
-        on = on[np.argsort(self.value[on], kind="stable")]
+        return v[run], np.diff(np.append(run, len(v))), several
+
+    def _cool(self, hot: np.ndarray, values: np.ndarray) -> None:
+        """Cuts the runs of hot anchors into single strings, which go by their own hashes."""
+        a = self.a
+        warm = hot[np.searchsorted(values, self.value)] if len(values) else hot
+        if not warm.any():
+            return
+        single = np.where(warm, a.count, 1)
+        step = np.arange(single.sum()) - np.repeat(np.cumsum(single) - single, single)
+        warm = np.repeat(warm, single)
+        a.begin, a.owner, a.count = np.repeat(a.begin, single) + step, np.repeat(a.owner, single), np.where(warm, 1, np.repeat(a.count, single))
+        self.value = np.repeat(self.value, single)
+        own = a.begin[warm]
+        hashes = np.empty(len(own), np.uint64)
+        buf = np.frombuffer(a.joined, np.uint8)
+        for x in range(0, len(buf) - self.width + 1, _STEP):  # runs rise, so each step has a slice of them
+            lo, hi = np.searchsorted(own, [x, x + _STEP])
+            if hi > lo:
+                hashes[lo:hi] = Anchors._hash(buf[x : x + _STEP + self.width - 1], self.width)[own[lo:hi] - x]
+        self.value[warm] = textvec.mix(hashes) >> np.uint64(64 - self.bits)
+
+    def contexts(self, live: np.ndarray, hot: np.ndarray):
+        """Of live anchors: distinct contexts in order of the value they go by, their smallest ids and these values; and
+        for each live run its index and its context's."""
+        values, _, _ = self.seen()
+        if len(values):
+            at = np.searchsorted(values, self.value)
+            self.a.begin, self.a.count, self.a.owner, self.value = (x[live[at]] for x in (self.a.begin, self.a.count, self.a.owner, self.value))
+            self._cool(hot, values)
+        on = np.argsort(self.value, kind="stable")
         a, known, found, least, first, which = self.a, {}, [], [], [], []
-        joined, get = a.joined, known.get  # an anchor's place follows from its context
+        joined, get = a.joined, known.get
         ids = self.ids[a.owner[on]].tolist()
         ends = (a.begin + a.count - 1 + self.width)[on].tolist()
         for j, (s, e, i) in enumerate(zip(a.begin[on].tolist(), ends, ids, strict=True)):
@@ -259,50 +310,57 @@ class _Block:
             elif i < least[n]:
                 least[n] = i
             which.append(n)
-        first = on[np.array(first, np.int64)]
-        return found, (a.at - a.begin)[first], np.array(least, np.int64), self.value[first], on, np.array(which, np.int64)
+        return found, np.array(least, np.int64), self.value[on[np.array(first, np.int64)]], on, np.array(which, np.int64)
+
+
+def _shard(values: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """Shards of sorted values, rising."""
+    return shard_of(values << np.uint64(64 - bits), n)
 
 
 def live_anchors(table: DataFrame, n: int, bits: int, width: int, k: int) -> DataFrame:
-    """For each block and shard, a bit for each of the block's anchor values there: several documents have it."""
+    """For each block and shard, bits for each of the block's anchor values there: several documents have it; it is hot."""
 
     def send(batches):
         import pyarrow as pa
 
         for b in batches:
             for block, ids, sizes, texts in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                one = _Block(ids, sizes, texts, width, k, bits)
-                v, several = one.seen()
-                at = one.shard(v, n)
-                spans = [(x, y) for x, y in zip(at[:-1], at[1:], strict=True) if y > x]
-                own = np.flatnonzero(np.diff(at)).tolist()
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(own, pa.int64()), "block": pa.array([block] * len(own), pa.string()), "seen": [pack_sorted(v[x:y]) for x, y in spans], "several": [np.packbits(several[x:y]).tobytes() for x, y in spans]})
+                v, often, several = _Block(ids, sizes, texts, width, k, bits).seen()
+                own = spans(_shard(v, bits, n))
+                code = often.astype(np.uint64) * np.uint64(2) + several.astype(np.uint64)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _, _ in own], pa.int64()), "block": pa.array([block] * len(own), pa.string()), "seen": [pack_sorted(v[x:y]) for _, x, y in own], "often": [pack(code[x:y]) for _, x, y in own]})
 
     def answer(group):
         import pyarrow as pa
 
         parts = [unpack_sorted(x) for x in group.column("seen").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)) for s, p in zip(group.column("several").to_pylist(), parts, strict=True)]
+        code = np.concatenate([unpack(x) for x in group.column("often").to_pylist()])
         v, place = np.unique(np.concatenate(parts), return_inverse=True)
-        live = np.bincount(place, 1 + np.concatenate(several), len(v)) > 1
+        live = np.bincount(place, 1 + (code & np.uint64(1)), len(v)) > 1
+        hot = live & (np.bincount(place, code >> np.uint64(1), len(v)) > HOT)
         at = np.cumsum([0, *map(len, parts)])
-        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "live": pa.array([np.packbits(live[place[x:y]]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), "size": pa.array(list(map(len, parts)), pa.int64())})
+        both = [pack(live[place[x:y]].astype(np.uint64) + hot[place[x:y]]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "live": pa.array(both, pa.binary())})
 
-    sent = table.select("block", "ids", "sizes", "texts").mapInArrow(send, "shard long, block string, seen binary, several binary")
-    return shared.stored(sent.groupBy("shard").applyInArrow(answer, "block string, shard long, live binary, size long"), "substrings-live")
+    sent = table.select("block", "ids", "sizes", "texts").mapInArrow(send, "shard long, block string, seen binary, often binary").repartition(n, "shard")
+    return shared.stored(sent.groupBy("shard").applyInArrow(answer, "block string, shard long, live binary"), "substrings-live")
 
 
-def _live(right) -> np.ndarray:
-    rows = sorted(zip(right.column("shard").to_pylist(), right.column("live").to_pylist(), right.column("size").to_pylist(), strict=True))
-    if not rows:
-        return np.zeros(0, bool)
-    return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=s) for _, b, s in rows]).astype(bool)
+def _live(right) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of a block's anchor values is live, and hot."""
+    rows = sorted(zip(right.column("shard").to_pylist(), right.column("live").to_pylist(), strict=True))
+    code = np.concatenate([unpack(b) for _, b in rows]) if rows else np.zeros(0, np.uint64)
+    return code > 0, code > 1
 
 
 def removed(docs: DataFrame, width: int = WIDTH, k: int = K, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, spans (begin, end in bytes) and kept (the remaining bytes) of every row."""
+    if not 0 < k <= width or width - k + 1 > 62:
+        raise ValueError("a mask has one bit for each string of a context: width - k + 1 must be 62 at most")
     table = blocks(docs, key, text)
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
+    size = table.agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("blocks")).first()
+    total, tasks = size["bytes"] or 0, max(1, 2 * size["blocks"])
     expected = max(1, 2 * total // (width - k + 2))
     n, bits = max(4, -(-expected // SHARD_ANCHORS)), min(64, max(32, expected.bit_length() + 12))
     live = live_anchors(table, n, bits, width, k)
@@ -317,9 +375,8 @@ def removed(docs: DataFrame, width: int = WIDTH, k: int = K, key: str = "doc_id"
         import zstandard
 
         one = block_of(left)
-        found, places, least, values, _, _ = one.contexts(_live(right))
-        at = one.shard(values, n)
-        rows = [(k, x, y) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+        found, least, values, _, _ = one.contexts(*_live(right))
+        rows = spans(_shard(values, bits, n))
         block = left.column("block")[0].as_py()
         return pa.table(
             {
@@ -327,7 +384,6 @@ def removed(docs: DataFrame, width: int = WIDTH, k: int = K, key: str = "doc_id"
                 "block": pa.array([block] * len(rows), pa.string()),
                 "contexts": pa.array([zstandard.compress(b"".join(found[x:y]), 1) for _, x, y in rows], pa.binary()),
                 "sizes": pa.array([pack(np.fromiter(map(len, found[x:y]), np.int64, y - x)) for _, x, y in rows], pa.binary()),
-                "places": pa.array([pack(places[x:y]) for _, x, y in rows], pa.binary()),
                 "docs": pa.array([pack(least[x:y]) for _, x, y in rows], pa.binary()),
             }
         )
@@ -337,28 +393,29 @@ def removed(docs: DataFrame, width: int = WIDTH, k: int = K, key: str = "doc_id"
 
         import zstandard
 
-        contexts, kmers, ids, counts = [], [], [], []
-        for c, z, p, d in zip(*(group.column(x).to_pylist() for x in ("contexts", "sizes", "places", "docs")), strict=True):
+        contexts, ids, counts = [], [], []
+        for c, z, d in zip(*(group.column(x).to_pylist() for x in ("contexts", "sizes", "docs")), strict=True):
             whole, size, at = zstandard.decompress(c), unpack(z).tolist(), 0
             counts.append(len(size))
-            for s, q in zip(size, unpack(p).tolist(), strict=True):
+            for s in size:
                 contexts.append(whole[at : at + s])
-                kmers.append(whole[at + q : at + q + k])
                 at += s
             ids += unpack(d).astype(np.int64).tolist()
-        masks = np.array(earlier(contexts, kmers, ids, width), np.uint64)
+        masks = np.array(earlier(contexts, ids, width), np.uint64)
         at = np.cumsum([0, *counts])
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "masks": pa.array([pack(masks[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
-    sent = core.groupBy("block").cogroup(live.groupBy("block")).applyInArrow(send, "shard long, block string, contexts binary, sizes binary, places binary, docs binary")
+    live = live.repartition(tasks, "block")
+    sent = core.repartition(tasks, "block").groupBy("block").cogroup(live.groupBy("block")).applyInArrow(send, "shard long, block string, contexts binary, sizes binary, docs binary").repartition(n, "shard")
     masks = shared.stored(sent.groupBy("shard").applyInArrow(answer, "block string, shard long, masks binary"), "substrings-masks")
 
     def finish(left, right):
         import pyarrow as pa
+        import pyarrow.compute
 
         own = left.filter(pa.compute.is_valid(left.column("texts")))
         one = block_of(own)
-        found, _, low, _, on, which = one.contexts(_live(left.filter(pa.compute.is_valid(left.column("live")))))
+        found, low, _, on, which = one.contexts(*_live(left.filter(pa.compute.is_valid(left.column("live")))))
         a = one.a
         step = np.zeros(len(a.joined) + 1, np.int64)
         if len(found):
@@ -387,7 +444,7 @@ def removed(docs: DataFrame, width: int = WIDTH, k: int = K, key: str = "doc_id"
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "spans": pa.list_(pa.int64()), "kept": pa.binary()}
         return pa.table({"key": pa.array(own.column("ids")[0].as_py(), pa.int64()), **{c: pa.array(v, kinds[c]) for c, v in cols.items()}})
 
-    both = core.unionByName(live, allowMissingColumns=True)
-    out = both.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(finish, "key long, n_bytes long, n_removed long, n_spans long, spans array<bigint>, kept binary")
+    both = core.unionByName(live, allowMissingColumns=True).repartition(tasks, "block")
+    out = both.groupBy("block").cogroup(masks.repartition(tasks, "block").groupBy("block")).applyInArrow(finish, "key long, n_bytes long, n_removed long, n_spans long, spans array<bigint>, kept binary")
     return out.withColumnRenamed("key", key)
 

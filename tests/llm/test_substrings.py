@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from cairn.llm import queries, substrings
 
@@ -49,18 +50,45 @@ def test_cases(spark, monkeypatch):
 
     assert got() == want
     assert substrings.removed(docs.limit(0)).count() == 0
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 700)  # many blocks
+    assert got() == want
+    monkeypatch.setattr(substrings, "HOT", 1)  # nearly every anchor is hot: its strings go one by one
+    monkeypatch.setattr(substrings, "BATCH", 50)
+    assert got() == want
+
+
+def test_a_hot_anchor(spark, monkeypatch):
+    passage = "this passage stands in every document of all sites"
+    rows = [(k, f"{k * 7919 % 1000:03d} {'left' * (k % 9)} {passage}{k % 11} and so on, document {k} ends here with words of its own") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 4000)
+    for hot in (10, 1 << 40):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        assert sorted(map(tuple, queries.substring_digests(substrings.removed(docs)).collect()), key=str) == brute(rows)
+
+
+def test_masks_have_room_for_every_string(spark):
+    docs = spark.createDataFrame([(1, "a" * 300)], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        substrings.removed(docs, width=100, k=20)
 
 
-def test_family_like_a_dictionary():
-    rnd = np.random.default_rng(1)
-    family, least = substrings.Family(), {}
-    for batch in range(40):
-        keys = np.array([b"%03d" % x for x in rnd.integers(0, 400, 100)], "S3")
-        ids = np.sort(rnd.integers(10 * batch, 10 * batch + 9, 100))
-        for key, i in zip(keys.tolist(), ids.tolist()):
-            least[key] = min(least.get(key, i), i)
-        assert family.scan_and_add(keys, ids).tolist() == [least[key] for key in keys.tolist()]
-    assert len(family.levels) < 12
+def test_family_like_a_dictionary(monkeypatch):
+    for chunk in (1, 7, 1 << 15):
+        monkeypatch.setattr(substrings, "CHUNK", chunk)
+        rnd = np.random.default_rng(1)
+        family, least = substrings.Family(3), {}
+        for batch in range(40):
+            contexts = [bytes(rnd.integers(97, 102, n)) for n in rnd.integers(3, 7, 30)]
+            ids = np.sort(rnd.integers(10 * batch, 10 * batch + 9, 30))
+            strings = [(c[k : k + 3], i) for c, i in zip(contexts, ids.tolist()) for k in range(len(c) - 2)]
+            for key, i in strings:
+                least[key] = min(least.get(key, i), i)
+            assert family.add(contexts, ids).tolist() == [least[key] for key, _ in strings]
+        assert len(family.levels) < 12 and sum(map(len, family.levels)) <= 2 * len(least)
+        for level in family.levels:
+            keys = level.keys(0, len(level)).tolist()
+            assert keys == sorted(set(keys))
 
 
 def test_masks_in_batches(monkeypatch):
@@ -72,4 +100,4 @@ def test_masks_in_batches(monkeypatch):
         want.append(sum(1 << j for j in range(len(c) - 7) if any(c[j : j + 8] in d and k < i for d, k in zip(contexts, ids))))
     for size in (1, 40, 1 << 16):
         monkeypatch.setattr(substrings, "BATCH", size)
-        assert substrings.earlier(contexts, [b"k"] * 300, ids, 8) == want
+        assert substrings.earlier(contexts, ids, 8) == want
