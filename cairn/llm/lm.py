@@ -176,7 +176,7 @@ def word_counts(table: DataFrame, n: int) -> DataFrame:
             }
         )
 
-    sent = table.select("block", "words", "seen").mapInArrow(send, "shard long, block string, words binary, seen binary")
+    sent = table.select("block", "words", "seen").mapInArrow(send, "shard long, block string, words binary, seen binary").repartition(n, "shard")
     return shared.stored(sent.groupBy("shard").applyInArrow(answer, "block string, shard long, counts binary, word_ids binary, n_words long, top long"), "lm-words")
 
 
@@ -333,10 +333,10 @@ def _answers(sent: DataFrame, n: int, n_words: int, n_contexts: int | None, last
         return pa.table({k: pa.array(x, kinds.get(k, pa.binary())) for k, x in out.items()})
 
     spec = "block string, shard long, codes binary" + ("" if last else ", counts binary, ids binary, top long")
-    return shared.stored(sent.groupBy("shard").applyInArrow(answer, spec), name)
+    return shared.stored(sent.repartition(n, "shard").groupBy("shard").applyInArrow(answer, spec), name)
 
 
-def pair_codes(table: DataFrame, words: DataFrame, n: int, n_train_docs: int, n_words: int) -> DataFrame:
+def pair_codes(table: DataFrame, words: DataFrame, n: int, tasks: int, n_train_docs: int, n_words: int) -> DataFrame:
     """For each block and shard, a byte, count and id for each of the block's distinct pairs there."""
 
     def send(left, right):
@@ -344,8 +344,8 @@ def pair_codes(table: DataFrame, words: DataFrame, n: int, n_train_docs: int, n_
         s, v, w, cv, place = b.pairs(n_train_docs, n)
         return _deal(left.column("block")[0].as_py(), s, v, w, cv, _seen(b, left.column("held")[0].as_py(), place, len(s)), n)
 
-    core = table.select("block", "held", "count", "tokens")
-    sent = core.groupBy("block").cogroup(words.select("block", "shard", "counts", "word_ids").groupBy("block")).applyInArrow(send, DEALT)
+    core = table.select("block", "held", "count", "tokens").repartition(tasks, "block")
+    sent = core.groupBy("block").cogroup(words.select("block", "shard", "counts", "word_ids").repartition(tasks, "block").groupBy("block")).applyInArrow(send, DEALT)
     return _answers(sent, n, n_words, None, False, "lm-pairs")
 
 
@@ -360,14 +360,14 @@ def _pairs_of(left, right, n_train_docs: int, n: int):
     return first, b, b.triples(place, zip(*(right.column(k).to_pylist() for k in ("shard", "codes", "counts", "ids")), strict=True), n)
 
 
-def triple_codes(both: DataFrame, codes: DataFrame, n: int, n_train_docs: int, n_words: int, n_pairs: int) -> DataFrame:
+def triple_codes(both: DataFrame, codes: DataFrame, n: int, tasks: int, n_train_docs: int, n_words: int, n_pairs: int) -> DataFrame:
     """For each block and shard, a byte for each of the block's distinct triples there that other blocks may have."""
 
     def send(left, right):
         first, b, (s, v, w, cv, at, _, _) = _pairs_of(left, right, n_train_docs, n)
         return _deal(first.column("block")[0].as_py(), s, v, w, cv, _seen(b, first.column("held")[0].as_py(), at, len(s)), n)
 
-    sent = both.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(send, DEALT)
+    sent = both.groupBy("block").cogroup(codes.repartition(tasks, "block").groupBy("block")).applyInArrow(send, DEALT)
     return _answers(sent, n, n_words, n_pairs, True, "lm-triples")
 
 
@@ -375,18 +375,18 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     """key, held_out, n_tokens, n_known, train_tokens, base_score (order 1), score (order 3: the whole model) and
     bigram_score (order 2) of every row; `held` names the boolean column of the rows that teach nothing."""
     table = blocks(docs, held, key, text)
-    size = table.agg(F.sum("n_tokens").alias("t"), F.sum("n_train").alias("n"), F.sum("n_docs").alias("d")).first()
+    size = table.agg(F.sum("n_tokens").alias("t"), F.sum("n_train").alias("n"), F.sum("n_docs").alias("d"), F.count("*").alias("blocks")).first()
     tokens, train, train_docs = size["t"] or 0, size["n"] or 0, size["d"] or 0
-    n = max(4, -(-tokens // SHARD_TOKENS))
+    n, tasks = max(4, -(-tokens // SHARD_TOKENS)), max(1, 2 * size["blocks"])  # as many tasks as there are shards and blocks to deal
     words = word_counts(table, n)
     known = words.where("block is null").agg(F.sum("n_words").alias("v"), F.max("top").alias("top")).first()
     v, top = known["v"] or 0, (known["top"] or 0) + 1
     words = words.where("block is not null").select("block", "shard", "counts", "word_ids")
-    both = table.select("block", "ids", "held", "count", "tokens").unionByName(words, allowMissingColumns=True)
-    codes = pair_codes(table, words, n, train_docs, top)
+    both = table.select("block", "ids", "held", "count", "tokens").unionByName(words, allowMissingColumns=True).repartition(tasks, "block")
+    codes = pair_codes(table, words, n, tasks, train_docs, top)
     n_pairs = (codes.where("block is null").agg(F.max("top").alias("top")).first()["top"] or 0) + 1
     codes = codes.where("block is not null").drop("top")
-    last = triple_codes(both, codes, n, train_docs, top, n_pairs)
+    last = triple_codes(both, codes, n, tasks, train_docs, top, n_pairs)
     kind = docs.schema[key].dataType.simpleString()
 
     def finish(left, right):
@@ -424,7 +424,7 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
 
     spec = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bigram_score double"
     replies = codes.select("block", "shard", "codes", "counts", "ids").unionByName(last, allowMissingColumns=True)
-    out = both.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, spec)
+    out = both.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(finish, spec)
     return out.withColumnRenamed("key", key)
 
 
