@@ -33,7 +33,7 @@ from cairn.llm.lm import pack, pack_sorted, shard_of, spans, unpack, unpack_sort
 
 WIDTH, K = 50, 25
 #: Text bytes of a block; anchors of a shard; strings of a new batch.
-BLOCK_BYTES, SHARD_ANCHORS, BATCH = 6 << 20, 250_000, 1 << 16
+BLOCK_BYTES, SHARD_ANCHORS, BATCH = 6 << 20, 250_000, 1 << 17
 #: An anchor with more occurrences than this is hot. Suffixes of a level that a merge scan reads at a time.
 HOT, CHUNK = 20_000, 1 << 15
 LAST = (1 << 63) - 1
@@ -130,7 +130,7 @@ class Level:
 
     def keys(self, x: int, y: int) -> np.ndarray:
         """The bytes that the suffixes x to y begin with."""
-        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, self.width)[self.at[x:y]]).view(f"S{self.width}")[:, 0]
+        return np.ndarray(len(self.text) - self.width + 1, f"S{self.width}", self.text, strides=(1,))[self.at[x:y]]
 
     @classmethod
     def of(cls, contexts: list[bytes], ids: np.ndarray, width: int) -> tuple[Level, np.ndarray]:
@@ -142,7 +142,7 @@ class Level:
         begin = np.repeat(np.cumsum(size) - size, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         whole = cls(text, begin, np.repeat(ids, many), width)
         key = whole.keys(0, len(begin))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         common = key[order[1:]] == key[order[:-1]]  # the longest common prefix of neighbours is at least width
         new = np.concatenate([[True], ~common])
         place = np.empty(len(begin), np.int64)
@@ -177,7 +177,7 @@ class Level:
 
 
 class Family:
-    """Suffix arrays in levels, each more than twice as large as the next."""
+    """Suffix arrays in levels, each more than half as large again as the next."""
 
     def __init__(self, width: int):
         self.levels: list[Level] = []
@@ -190,7 +190,7 @@ class Family:
         for old in self.levels:
             at, same = old.scan(level)
             found[same] = np.minimum(found[same], old.ids[at[same]])
-        while self.levels and len(self.levels[-1]) <= 2 * len(level):
+        while self.levels and 2 * len(self.levels[-1]) <= 3 * len(level):
             level = self.levels.pop().merged(level)
         self.levels.append(level)
         return found[place]
@@ -202,18 +202,24 @@ def earlier(contexts: list[bytes], ids: list[int], width: int) -> list[int]:
     out = [0] * len(contexts)
     family, at = Family(width), 0
     while at < len(order):
+        batch: dict[bytes, int] = {}  # equal contexts of a batch are one, of the least id
         to, n = at, 0
         while to < len(order) and (n < BATCH or ids[order[to]] == ids[order[to - 1]]):
-            n += len(contexts[order[to]]) - width + 1
+            c = contexts[order[to]]
+            if c not in batch:
+                batch[c] = ids[order[to]]
+                n += len(c) - width + 1
             to += 1
-        part = order[at:to]
-        own = np.array([ids[i] for i in part])
-        many = np.array([len(contexts[i]) for i in part]) - width + 1
-        hit = family.add([contexts[i] for i in part], own) < np.repeat(own, many)
+        kinds = list(batch)
+        least = family.add(kinds, np.fromiter(batch.values(), np.int64, len(kinds)))
+        many = np.fromiter(map(len, kinds), np.int64, len(kinds)) - width + 1
         first = np.cumsum(many) - many
+        hit = least < np.repeat(np.fromiter(batch.values(), np.int64, len(kinds)), many)
         bits = np.add.reduceat(hit.astype(np.int64) << (np.arange(len(hit)) - np.repeat(first, many)), first)
-        for i, m in zip(part, bits.tolist(), strict=True):
-            out[i] = m
+        masks = dict(zip(kinds, bits.tolist(), strict=True))
+        for i in order[at:to]:
+            c = contexts[i]  # a copy of a larger id has all its strings in the one of the least
+            out[i] = masks[c] if ids[i] == batch[c] else (1 << len(c) - width + 1) - 1
         at = to
     return out
 
