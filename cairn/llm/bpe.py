@@ -30,7 +30,7 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
 #: Code points on whose classes all Unicode versions agree; a text with others is split by the library's own classes.
 _COMMON = regex.compile("[\\x00-՗֐-״‐-⁯₠-₵←-⏳─-⭕　-ヿ一-鿌가-힣！-￮\U0001f300-\U0001f64f]*")
 #: Pieces of at most so many characters are kept with their ids, this many of them in each of two generations.
-_SHORT, _KEPT = 48, 400_000
+_SHORT, _KEPT = 48, 150_000
 #: Characters of a text that are split at a time.
 CHUNK = 1 << 20
 

@@ -48,7 +48,7 @@ SPLITS, VOTES, CURVE = 3, 2, 5
 #: Near copies stay in the training rows if fewer rows than this would be left without them.
 FEW = 10
 #: Gains that a worker keeps at a time.
-KEPT = 400_000
+KEPT = 60_000
 PAD = bytes(33 + (i * i * 7 + i * 31) % 94 for i in range(48))
 _SPACED = str.maketrans(dict.fromkeys(string.punctuation + "«»“”„‘’…–—¡¿", " "))
 
