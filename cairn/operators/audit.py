@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Symbol names that say nothing, unless the commit names them; basenames of trivial files.
+BOILERPLATE = (
+    "__init__", "__str__", "__repr__", "__eq__", "__hash__", "__iter__", "__len__", "__getitem__", "__setitem__", "__delitem__",
+    "setUp", "tearDown", "setUpTestData", "handle", "render", "check", "add_arguments", "deconstruct", "get_queryset", "clean",
+)
+TRIVIAL = ("__init__.py", "constants.py", "types.ts", "types.py", "settings.py", "version.py")
+
 
 def amnesia(hot: DataFrame, links: DataFrame, min_freq: int = 15) -> DataFrame:
     """hotspots(item, freq, risk) that are frequent and that no link(item) explains."""
@@ -80,12 +87,15 @@ def commit_links(commits: DataFrame, symbols: DataFrame, keywords: list[str], ca
     """commits(ref, body, files), symbols(file, symbol) → symbol, file, ref, confidence, description.
 
     A commit that names a reason is linked with the symbols of its files (the file itself if it has none); with many files,
-    only those whose name its body has. The cap keeps the first by ref, file and symbol."""
+    only those whose name its body has; a boilerplate symbol needs its name in the body. Refs are cut to eight
+    characters. The cap keeps the first by ref, file and symbol."""
     low = F.lower(F.col("body"))
     kw = F.filter(F.array(*map(F.lit, keywords)), lambda x: F.contains(low, x))
     rows = commits.withColumn("k", F.size(kw)).where("k > 0").select("ref", "body", "k", F.size("files").alias("n"), F.explode(F.array_distinct("files")).alias("file"))
-    rows = rows.where((F.col("n") <= most_files) | F.contains(F.col("body"), F.element_at(F.split("file", "/"), -1)))
+    rows = rows.where((F.col("n") <= most_files) | F.contains(F.lower("body"), F.lower(F.element_at(F.split("file", "/"), -1))))
     linked = rows.join(symbols.select("file", "symbol"), "file", "left")
+    bare = F.col("symbol").isin(*BOILERPLATE) & ~F.contains(F.lower("body"), F.lower("symbol"))
+    linked = linked.where(~F.coalesce(bare, F.lit(False))).withColumn("ref", F.substring("ref", 1, 8))
     out = linked.select(
         F.coalesce("symbol", "file").alias("symbol"), "file", "ref", F.round(F.least(F.lit(1.0), 0.6 + 0.1 * F.col("k")), 6).alias("confidence"), F.substring(F.element_at(F.split("body", "\n"), 1), 1, 120).alias("description")
     )
@@ -100,12 +110,15 @@ def scoped_context(links: DataFrame, keys: DataFrame, k: int = 10) -> DataFrame:
 
 
 def test_gap(files: DataFrame, least: int = 5, k: int = 5) -> DataFrame:
-    """files(name, symbols) → file, n: the first k files with at least `least` symbols that no test file is named after."""
-    base = F.replace(F.replace(F.col("name"), F.lit("test_"), F.lit("")), F.lit("_test"), F.lit(""))
-    is_test = F.col("name").contains("test_") | F.col("name").contains("_test")
-    covered = files.where(is_test).select(base.alias("name")).distinct()
-    bare = files.where(~is_test & (F.col("symbols") >= least)).join(covered, "name", "left_anti")
-    return bare.select(F.col("name").alias("file"), F.col("symbols").alias("n")).orderBy("file").limit(k)
+    """files(name: path, symbols) → file, n: of the first k files that no test file is named after, those with at least
+    `least` symbols. A path with `test` is a test; workflow files and scripts are left out."""
+    last = F.element_at(F.split("name", "/"), -1)
+    base = F.replace(F.replace(last, F.lit("test_"), F.lit("")), F.lit("_test"), F.lit(""))
+    is_test = F.contains(F.lower("name"), F.lit("test"))
+    aside = F.col("name").contains(".github") | F.col("name").contains("scripts/") | F.col("name").contains("script/")
+    covered = files.where(is_test).select(base.alias("base")).distinct()
+    bare = files.where(~is_test & ~aside).withColumn("base", last).join(covered, "base", "left_anti").orderBy("name").limit(k)
+    return bare.where(F.col("symbols") >= least).select(F.col("name").alias("file"), F.col("symbols").alias("n"))
 
 
 def patch_verdict(baseline: DataFrame, patched: DataFrame, history: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words of entry points, of risky commits, of reasoning, and weights of the retrospective score.
+# Words of entry points, of risky commits, suffixes of files that a task names, and those of code.
 SOURCE_WORDS = ("view", "handler", "api", "route", "controller", "request", "middleware")
 RISK_WORDS = ("workaround", "temporary", "hack", "bypass", "quick fix", "hotfix", "regression", "disabled", "security")
+FILE_SUFFIXES = ("py", "ts", "js", "tsx", "jsx", "java", "go", "rb", "rs", "cpp", "c", "h", "cs", "php", "yaml", "yml", "json", "toml", "md")
+CODE_SUFFIXES = ("py", "ts", "js", "java", "go", "rb", "rs", "cpp", "c", "h", "cs", "php")
 
 
 def has_any(text: Column, words) -> Column:
@@ -102,17 +104,32 @@ def decay_events(commits: DataFrame, sinks: DataFrame, links: DataFrame) -> Data
     return own.select("ref", "file", F.element_at(F.split(F.trim("body"), "\n"), 1).alias("summary"))
 
 
-def retrospective(factors: DataFrame) -> DataFrame:
-    """factors(item, reasoning, amnesia_links, semantic, span_ok, has_dates, reverted, bus) → item, score, verdict.
-
-    Capped sums: reasoning 15 each up to 30; links 3, 7, 12 or 15 at 1, 5, 15, 30 (50: 15); 7 for each semantic signal up
-    to 21; 9 if dates cluster; 10, 10 and 8 for the flags; 97 at most; ALERT from 55, REVIEW from 35."""
-    n = F.col("amnesia_links")
-    b = F.when(n >= 50, 15).when(n >= 30, 12).when(n >= 15, 7).when(n >= 5, 3).otherwise(0)
-    flag = lambda c, v: F.when(F.col(c), v).otherwise(0)
-    raw = F.least(F.lit(30), 15 * F.col("reasoning")) + b + F.least(F.lit(21), 7 * F.col("semantic")) + flag("span_ok", 9) + flag("has_dates", 10) + flag("reverted", 10) + flag("bus", 8)
-    score = F.least(F.lit(97), raw)
-    return factors.select("item", score.cast("int").alias("score"), F.when(score >= 55, "ALERT").when(score >= 35, "REVIEW").otherwise("PASS").alias("verdict"))
+def retrospective(signals: DataFrame, blast: DataFrame) -> DataFrame:
+    """signals(item, type, signal_class, relevance, at, links) and blast(item, n) → item, score, verdict for each of blast.
+
+    15 for each amnesia signal without links (null: one link) up to 30; 3, 7, 12 or 15 from 5, 15, 30 or 50 dependent files; 7 times the
+    relevance (null: 0.5) of semantic warnings, rounded half to even, up to 21; 3 for each awareness warning up to 9; 10 for
+    an architectural decision; 10 if two or more dated semantic warnings lie within 36 months of 30.44 days; 8 for an
+    intent delta; 97 at most. ALERT from 55, REVIEW from 35."""
+    kind = F.col("type")
+    warning = lambda c: (kind == "pre_cve_warning") & (F.col("signal_class") == c)
+    n = lambda cond: F.count(F.when(cond, 1))
+    semantic = warning("semantic")
+    dated = F.when(semantic, F.col("at"))
+    days = F.floor((F.unix_micros(F.max(dated)) - F.unix_micros(F.min(dated))) / 86_400_000_000)
+    points = signals.groupBy("item").agg(
+        F.least(F.lit(30), 15 * n((kind == "amnesia") & (F.coalesce("links", F.lit(1)) == 0))).alias("a"),
+        F.bround(F.least(F.lit(21.0), 7 * F.sum(F.when(semantic, F.coalesce("relevance", F.lit(0.5))).otherwise(0.0)))).alias("c"),
+        F.least(F.lit(9), 3 * n(warning("awareness"))).alias("d"),
+        F.when(n(kind == "architectural_decision") > 0, 10).otherwise(0).alias("e"),
+        F.when((F.count(dated) >= 2) & (days / 30.44 <= 36), 10).otherwise(0).alias("f"),
+        F.when(n(kind == "intent_impl_delta") > 0, 8).otherwise(0).alias("g"),
+    )
+    b = F.when(F.col("n") >= 50, 15).when(F.col("n") >= 30, 12).when(F.col("n") >= 15, 7).when(F.col("n") >= 5, 3).otherwise(0)
+    raw = sum((F.coalesce(F.col(k), F.lit(0)) for k in "acdefg"), b)
+    score = F.least(F.lit(97), raw.cast("int"))
+    rows = blast.join(points, "item", "left")
+    return rows.select("item", score.alias("score"), F.when(score >= 55, "ALERT").when(score >= 35, "REVIEW").otherwise("PASS").alias("verdict"))
 
 
 def brief(files: DataFrame, hot: DataFrame, integrity: DataFrame) -> DataFrame:
@@ -129,8 +146,14 @@ def role(imports_tests: Column, name_is_test: Column, base_is_test: Column, path
 
 
 def target_files(text: Column) -> Column:
-    """File-like tokens, in order, once each."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\w/-]+\.(?:py|ts|tsx|js|go|html|md)\b"), F.lit(0)))
+    """Paths with a known suffix, then dotted modules of three or more names as paths, in order, once each."""
+    ends = "|".join(sorted(FILE_SUFFIXES, key=len, reverse=True))
+    paths = F.regexp_extract_all(text, F.lit(rf"(?i)[\w./\\-]+\.(?:{ends})"), F.lit(0))
+    paths = F.transform(paths, lambda x: F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), r"^[./]+", ""))
+    modules = F.regexp_extract_all(text, F.lit(r"\b[a-zA-Z_]\w*(?:\.[a-zA-Z_]\w*){2,}\b"), F.lit(0))
+    modules = F.filter(modules, lambda x: ~F.lower(F.element_at(F.split(x, r"\."), -1)).isin(*CODE_SUFFIXES))
+    modules = F.transform(modules, lambda x: F.concat(F.replace(x, F.lit("."), F.lit("/")), F.lit(".py")))
+    return F.array_distinct(F.concat(F.filter(paths, lambda x: x != ""), modules))
 
 
 def since(events: DataFrame, days: int, ts: str = "ts") -> DataFrame:

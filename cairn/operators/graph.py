@@ -1,21 +1,29 @@
-"""Reachability over edges(src, dst), as joins of a frontier with the edges; the number of rounds is the depth."""
+"""Reachability over edges(src, dst), as joins of a frontier with the edges: until the frontier is empty, or for `depth`
+rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import stored
 
-def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int = 4, cap: int = 15) -> DataFrame:
+
+def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int | None = None, cap: int = 15) -> DataFrame:
     """sources(node), sinks(node) → source, sink, length (nodes), path: for each pair the shortest path, of equals the
-    first by text; the first `cap` by source, length and path. A source that is a sink is a path of one node."""
+    first by text; the first `cap` by source, length and path. A source that is a sink is a path of one node. Each round's
+    frontier is stored, so that plans stay short, and the search ends with the first empty one; depth bounds it earlier."""
     edges = edges.select("src", "dst").distinct()
     first = sources.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(1).alias("length"), F.col("node").cast("string").alias("path"))
     seen = frontier = first
-    for k in range(2, depth + 1):
+    k = 1
+    while depth is None or k < depth:
+        k += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("source", F.col("dst").alias("node"), F.lit(k).alias("length"), F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"))
         step = step.groupBy("source", "node", "length").agg(F.min("path").alias("path"))
-        frontier = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", "length", "path")
+        frontier = stored(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", "length", "path"), "taint")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     hit = seen.join(sinks.select("node").distinct(), "node").select("source", F.col("node").alias("sink"), "length", "path")
     return hit.orderBy("source", "length", "path").limit(cap)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: words of a commit that mends something.
+FIX = r"\b(fix(es|ed|ing)?|bug(fix)?|regression)\b"
+
 
 def baskets(touch: DataFrame, max_items: int | None) -> DataFrame:
     """touch(basket, item, ts) → basket, items (sorted, distinct) and ts (latest), without baskets of over max_items.
@@ -101,6 +104,11 @@ def overlap_counts(hunks: DataFrame, symbols: DataFrame, bin_lines: int = 1000)
     return met.groupBy("file", "symbol").agg(F.count("*").alias("score"))
 
 
+def fix_hunks(hunks: DataFrame) -> DataFrame:
+    """hunks(..., body: message) of commits that name a fix, a bug or a regression."""
+    return hunks.where(F.lower("body").rlike(FIX))
+
+
 def fragility(hunks: DataFrame, symbols: DataFrame, min_score: int = 2, per_file: int = 5) -> DataFrame:
     """The symbols of each file that fixes touch most."""
     by = Window.partitionBy("file").orderBy(F.desc("score"), "symbol")
@@ -199,4 +207,4 @@ def integrity_trend(history: DataFrame, drop: float = 0.20) -> DataFrame:
 def temporal_cluster(signals: DataFrame, months: int = 36, least: int = 2) -> DataFrame:
     """signals(key, at) → key, days between first and last, and whether they cluster."""
     rows = signals.groupBy("key").agg(F.date_diff(F.max("at"), F.min("at")).alias("days"), F.count_distinct(F.to_date("at")).alias("n"))
-    return rows.select("key", "days", ((F.col("n") >= least) & (F.col("days") <= months * 30)).alias("flag"))
+    return rows.select("key", "days", ((F.col("n") >= least) & (F.col("days") / 30.44 <= months)).alias("flag"))

@@ -125,16 +125,16 @@ def cold_hotspots(spark, sf):
     return mining.cold_hotspots(callers.withColumnRenamed("l_partkey", "item").join(part, "item").select("item", "callers", "loc"))
 
 
-@query("""WITH h AS (SELECT l_suppkey AS file, l_orderkey AS s, l_orderkey + l_linenumber AS e FROM lineitem WHERE l_returnflag = 'R'),
-y AS (SELECT s_suppkey AS file, k AS symbol, k * 700 AS s, k * 700 + 699 AS e FROM supplier, (SELECT unnest(generate_series(0, 19)) AS k)),
-c AS (SELECT y.file, symbol, count(*) AS score FROM h JOIN y ON h.file = y.file AND NOT (h.e < y.s OR h.s > y.e) GROUP BY ALL HAVING count(*) >= 2)
+@query(r"""WITH h AS (SELECT l_suppkey AS file, l_orderkey AS s, l_orderkey + l_linenumber AS e, CASE l_returnflag WHEN 'R' THEN 'Fixes rounding' WHEN 'A' THEN 'prefix handling' ELSE 'feature' END AS body FROM lineitem),
+y AS (SELECT DISTINCT l_suppkey AS file, l_orderkey // 700 AS symbol, l_orderkey // 700 * 700 AS s, l_orderkey // 700 * 700 + 699 AS e FROM lineitem),
+c AS (SELECT y.file, symbol, count(*) AS score FROM h JOIN y ON h.file = y.file AND NOT (h.e < y.s OR h.s > y.e) WHERE regexp_matches(lower(body), '\b(fix(es|ed|ing)?|bug(fix)?|regression)\b') GROUP BY ALL HAVING count(*) >= 2)
 SELECT file, symbol, score FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, symbol) AS k FROM c) WHERE k <= 5""")
 def fragility(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
-    hunks = lines.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("end"))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("symbol")
-    symbols = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"), k).select("file", "symbol", (F.col("symbol") * 700).alias("start"), (F.col("symbol") * 700 + 699).alias("end"))
-    return mining.fragility(hunks, symbols)
+    lines = table(spark, sf, "lineitem")
+    body = F.when(F.col("l_returnflag") == "R", "Fixes rounding").when(F.col("l_returnflag") == "A", "prefix handling").otherwise("feature")
+    hunks = lines.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("end"), body.alias("body"))
+    symbols = lines.select(F.col("l_suppkey").alias("file"), F.floor(F.col("l_orderkey") / 700).alias("symbol")).distinct()
+    return mining.fragility(mining.fix_hunks(hunks), symbols.select("file", "symbol", (F.col("symbol") * 700).alias("start"), (F.col("symbol") * 700 + 699).alias("end")))
 
 
 def _nations(spark, sf):
@@ -207,7 +207,7 @@ def integrity_trend(spark, sf):
     return mining.integrity_trend(d).withColumn("drop_pct", F.round("drop_pct", 6)).withColumnRenamed("at", "day")
 
 
-@query("""SELECT user_id AS key, date_diff('day', min(ts)::DATE, max(ts)::DATE)::INT AS days, count(DISTINCT ts::DATE) >= 2 AND date_diff('day', min(ts)::DATE, max(ts)::DATE) <= 36 * 30 AS flag
+@query("""SELECT user_id AS key, date_diff('day', min(ts)::DATE, max(ts)::DATE)::INT AS days, count(DISTINCT ts::DATE) >= 2 AND date_diff('day', min(ts)::DATE, max(ts)::DATE) / 30.44 <= 36 AS flag
 FROM events WHERE event_type = 'purchase' GROUP BY user_id""")
 def temporal_cluster(spark, sf):
     return mining.temporal_cluster(table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("ts").alias("at")))
@@ -309,13 +309,14 @@ def scoped_context(spark, sf):
     return audit.scoped_context(_links(spark, sf), keys)
 
 
-@query("""WITH f AS (SELECT CASE WHEN p_type = 'ECONOMY' THEN 'test_' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_size || '.py' AS name, count(*) AS symbols FROM part GROUP BY 1),
-b AS (SELECT replace(replace(name, 'test_', ''), '_test', '') AS name FROM f WHERE contains(name, 'test_') OR contains(name, '_test'))
-SELECT name AS file, symbols AS n FROM f WHERE NOT (contains(name, 'test_') OR contains(name, '_test')) AND symbols >= 2 AND name NOT IN (FROM b) ORDER BY file LIMIT 5""")
+@query("""WITH f AS (SELECT CASE WHEN p_type = 'ECONOMY' THEN 'test_' WHEN p_size < 10 THEN 'scripts/' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_size || '.py' AS name, sum(p_partkey % 10)::BIGINT AS symbols FROM part GROUP BY 1),
+b AS (SELECT replace(replace(split_part(name, '/', -1), 'test_', ''), '_test', '') AS base FROM f WHERE contains(lower(name), 'test')),
+k AS (SELECT name, symbols FROM f WHERE NOT contains(lower(name), 'test') AND NOT contains(name, 'scripts/') AND split_part(name, '/', -1) NOT IN (FROM b) ORDER BY name LIMIT 5)
+SELECT name AS file, symbols AS n FROM k WHERE symbols >= 5""")
 def test_gap(spark, sf):
-    stem = F.concat(F.when(F.col("p_type") == "ECONOMY", "test_").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"), F.lit(".py"))
-    files = table(spark, sf, "part").groupBy(stem.alias("name")).agg(F.count("*").alias("symbols"))
-    return audit.test_gap(files, least=2)
+    stem = F.concat(F.when(F.col("p_type") == "ECONOMY", "test_").when(F.col("p_size") < 10, "scripts/").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"), F.lit(".py"))
+    files = table(spark, sf, "part").groupBy(stem.alias("name")).agg(F.sum(F.col("p_partkey") % 10).alias("symbols"))
+    return audit.test_gap(files)
 
 
 @query(f"""WITH {sql_brands(50, 'b')}, {sql_brands(49, 'p')}, {sql_brands(48, 'h')}, u AS (SELECT src || ',' || dst AS path, 1 AS b, 0 AS p, 0 AS h FROM b UNION ALL SELECT src || ',' || dst, 0, 1, 0 FROM p UNION ALL SELECT src || ',' || dst, 0, 0, 1 FROM h),
@@ -423,10 +424,10 @@ def _nodes(spark, names):
 
 
 @query(f"""WITH RECURSIVE {sql_brands(50, 'e')}, p AS (SELECT src AS source, src AS node, 1 AS length, src AS path FROM (SELECT unnest(['B01', 'B02', 'B03', 'B20']) AS src)
-UNION ALL SELECT source, dst, length + 1, path || '>' || dst FROM p JOIN e ON e.src = node WHERE length < 3)
+UNION ALL SELECT source, dst, length + 1, min(path || '>' || dst) FROM p JOIN e ON e.src = node WHERE length < 40 GROUP BY source, dst, length)
 SELECT source, node AS sink, length, path FROM (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY length, path) AS k FROM p WHERE node IN ('B20', 'B21', 'B22', 'B23', 'B24')) WHERE k = 1 ORDER BY source, length, path LIMIT 15""")
 def taint_paths(spark, sf):
-    return graph.taint_paths(brand_edges(spark, sf, 50), _nodes(spark, ["B01", "B02", "B03", "B20"]), _nodes(spark, ["B20", "B21", "B22", "B23", "B24"]), depth=3)
+    return graph.taint_paths(brand_edges(spark, sf, 50), _nodes(spark, ["B01", "B02", "B03", "B20"]), _nodes(spark, ["B20", "B21", "B22", "B23", "B24"]))
 
 
 @query(f"""WITH {sql_brands(50, 'e')} SELECT dst AS symbol, count(DISTINCT src) AS n_callers, count(DISTINCT src) FILTER (src < 'B10') AS n_exposed FROM e WHERE dst IN ('B05', 'B11', 'B17') GROUP BY dst""")
@@ -482,8 +483,8 @@ _AS_CODE = "replace(replace({0}, '. ', chr(10)), ', ', '  # ')"
 
 
 @query(f"""WITH l AS (SELECT doc_id AS id, string_split({_AS_CODE.format('text')}, chr(10)) AS l FROM documents),
-k AS (SELECT id, list_filter(l, lambda x: NOT starts_with(trim(x), '#') OR contains(x, 'ADR-') OR contains(x, '[L4:') OR contains(x, '[L5:') OR contains(x, 'noqa') OR contains(x, 'type: ignore')) AS l FROM l),
-c AS (SELECT id, list_transform(l, lambda x: CASE WHEN trim(x) = '' THEN '' WHEN instr(x, '  #') > 0 AND NOT starts_with(trim(x), '#') AND NOT (contains(substr(x, instr(x, '  #') + 3), 'ADR-') OR contains(substr(x, instr(x, '  #') + 3), '[L4:') OR contains(substr(x, instr(x, '  #') + 3), '[L5:') OR contains(substr(x, instr(x, '  #') + 3), 'noqa')) THEN rtrim(substr(x, 1, instr(x, '  #') - 1)) ELSE x END) AS l FROM k)
+k AS (SELECT id, list_filter(l, lambda x: NOT starts_with(trim(x, ' ' || chr(9)), '#') OR contains(x, 'ADR-') OR contains(x, '[L4:') OR contains(x, '[L5:') OR contains(x, 'noqa') OR contains(x, 'type: ignore')) AS l FROM l),
+c AS (SELECT id, list_transform(l, lambda x: CASE WHEN trim(x, ' ' || chr(9)) = '' THEN '' WHEN instr(x, '  #') > 0 AND NOT starts_with(trim(x, ' ' || chr(9)), '#') AND NOT (contains(substr(x, instr(x, '  #') + 3), 'ADR-') OR contains(substr(x, instr(x, '  #') + 3), '[L4:') OR contains(substr(x, instr(x, '  #') + 3), '[L5:') OR contains(substr(x, instr(x, '  #') + 3), 'noqa')) THEN rtrim(substr(x, 1, instr(x, '  #') - 1), ' ' || chr(9)) ELSE x END) AS l FROM k)
 SELECT id, regexp_replace(regexp_replace(array_to_string(l, chr(10)), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM c""")
 def comment_prune(spark, sf):
     code = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit("\n")), F.lit(", "), F.lit("  # "))
@@ -587,15 +588,15 @@ def related_tests(spark, sf):
     return rows.where("name NOT LIKE 'test%'").select("path", "name").join(calls, "name").select("path", "test").distinct()
 
 
-@query("SELECT * FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)")
+@query("SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def stream_ingest(spark, sf):
-    """The events as a stream of one available batch, counted by key."""
+    """The latest event of each key, upserted from a stream of the table's files."""
     import uuid
 
-    from cairn.session import table as read
+    from cairn.session import folder
+    from cairn.streaming import ingest
 
-    schema = read(spark, sf, "events").schema
-    name = f"events_{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf}/events.parquet*").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    rows.writeStream.queryName(name).format("memory").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    schema = table(spark, sf, "events").schema
+    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    ingest.stream_ingest(spark, f"{sf}/events.parquet*", schema, f"{at}/table", f"{at}/progress", ["event_type", "user_id"], ["ts", "event_id"], form="parquet", buckets=8).awaitTermination()
+    return ingest.read_latest(spark, f"{at}/table", schema).select("event_type", "user_id", "event_id", "value")

@@ -127,15 +127,21 @@ def sink_amnesia(spark, sf):
     return hot.select("item", "freq", X.amnesia_risk(F.col("freq"), F.lit(0))[1].alias("risk"))
 
 
-@query("""WITH f AS (SELECT o_custkey AS item, count(*) FILTER (o_orderpriority = '1-URGENT') AS a, count(*) AS n, count(DISTINCT o_orderstatus) AS s, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) <= 1080 AS w, count(*) >= 2 AS d, bool_or(o_totalprice > 450000) AS r, bool_and(o_totalprice > 50000) AS b FROM orders GROUP BY 1),
-t AS (SELECT item, least(97, least(30, 15 * a) + CASE WHEN n >= 50 THEN 15 WHEN n >= 30 THEN 12 WHEN n >= 15 THEN 7 WHEN n >= 5 THEN 3 ELSE 0 END + least(21, 7 * s) + CASE WHEN w THEN 9 ELSE 0 END + CASE WHEN d THEN 10 ELSE 0 END + CASE WHEN r THEN 10 ELSE 0 END + CASE WHEN b THEN 8 ELSE 0 END)::INT AS score FROM f)
+@query("""WITH s AS (SELECT o_custkey AS item, left(o_orderpriority, 1)::INT AS p, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 2 END AS links,
+CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 4 / 4 ELSE 0.5 END AS relevance, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS d FROM orders),
+f AS (SELECT item, least(30, 15 * count(*) FILTER (p = 1 AND links = 0)) + CASE WHEN count(*) >= 50 THEN 15 WHEN count(*) >= 30 THEN 12 WHEN count(*) >= 15 THEN 7 WHEN count(*) >= 5 THEN 3 ELSE 0 END
++ round_even(least(21, 7 * coalesce(sum(relevance::DOUBLE) FILTER (p = 2), 0)), 0)::INT + least(9, 3 * count(*) FILTER (p = 3)) + CASE WHEN count(*) FILTER (p = 4) > 0 THEN 10 ELSE 0 END
++ CASE WHEN count(d) FILTER (p = 2) >= 2 AND date_diff('day', min(d) FILTER (p = 2), max(d) FILTER (p = 2)) / 30.44 <= 36 THEN 10 ELSE 0 END + CASE WHEN count(*) FILTER (p = 5) > 0 THEN 8 ELSE 0 END AS raw FROM s GROUP BY item),
+t AS (SELECT item, least(97, raw)::INT AS score FROM f)
 SELECT item, score, CASE WHEN score >= 55 THEN 'ALERT' WHEN score >= 35 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM t""")
 def retrospective(spark, sf):
-    f = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("item")).agg(
-        F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("reasoning"), F.count("*").alias("amnesia_links"), F.count_distinct("o_orderstatus").alias("semantic"),
-        (F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")) <= 1080).alias("span_ok"), (F.count("*") >= 2).alias("has_dates"), F.bool_or(F.col("o_totalprice") > 450000).alias("reverted"), F.bool_and(F.col("o_totalprice") > 50000).alias("bus"),
+    p, key, o = F.substring("o_orderpriority", 1, 1), F.col("o_orderkey"), table(spark, sf, "orders")
+    kind = F.when(p == "1", "amnesia").when(p.isin("2", "3"), "pre_cve_warning").when(p == "4", "architectural_decision").when(p == "5", "intent_impl_delta")
+    signals = o.select(
+        F.col("o_custkey").alias("item"), kind.alias("type"), F.when(p == "2", "semantic").when(p == "3", "awareness").alias("signal_class"), F.when(key % 4 < 3, key % 4 / 4).alias("relevance"),
+        F.when(key % 5 > 0, F.col("o_orderdate").cast("timestamp")).alias("at"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 2).alias("links"),
     )
-    return briefs.retrospective(f)
+    return briefs.retrospective(signals, o.groupBy(F.col("o_custkey").alias("item")).agg(F.count("*").alias("n")))
 
 
 @query(f"""WITH {SQL_HOT}, i AS (SELECT l_partkey AS item, round(avg(1 - l_discount), 6) AS score FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
@@ -156,9 +162,13 @@ def role(spark, sf):
     return table(spark, sf, "part").select(c("p_partkey").alias("id"), briefs.role(c("p_type") == "ECONOMY", c("p_name").startswith("small"), c("p_size") > 25, c("p_brand").endswith("1"), c("p_name").endswith("ring")).alias("role"))
 
 
-@query(r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '[\w/-]+\.(?:py|ts|tsx|js|go|html|md)\b'))), ',') AS files FROM pages")
+@query(r"""WITH t AS (SELECT page_id, url || ' .\\core\\a.rs and src/B.PY' AS x FROM pages),
+f AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(x, '(?i)[\w./\\-]+\.(?:toml|yaml|java|json|tsx|jsx|cpp|php|yml|py|ts|js|go|rb|rs|cs|md|c|h)'), lambda p: regexp_replace(replace(p, '\', '/'), '^[./]+', '')), lambda p: p <> '') AS a,
+list_transform(list_filter(regexp_extract_all(x, '\b[a-zA-Z_]\w*(?:\.[a-zA-Z_]\w*){2,}\b'), lambda m: lower(split_part(m, '.', -1)) NOT IN ('py', 'ts', 'js', 'java', 'go', 'rb', 'rs', 'cpp', 'c', 'h', 'cs', 'php')), lambda m: replace(m, '.', '/') || '.py') AS b FROM t)
+SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS files FROM f""")
 def target_files(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(briefs.target_files(F.col("url"))), ",").alias("files"))
+    task = F.concat("url", F.lit(" .\\\\core\\\\a.rs and src/B.PY"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(briefs.target_files(task)), ",").alias("files"))
 
 
 @query("""SELECT page_id, split_part(split_part(split_part(url, '?', 1), '#', 1), '/', -1) AS base, split_part(url, '/', 4) AS top, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS key,

@@ -7,26 +7,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def upsert(old: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+def upsert(old: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """old with the batch's rows in place of those with equal keys; of several, the last by `order`."""
-    by = Window.partitionBy(*keys).orderBy(F.desc(order))
+    by = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     both = old.unionByName(batch.select(*old.columns))
     return both.withColumn("_k", F.row_number().over(by)).where("_k = 1").drop("_k")
 
 
-def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Read the JSON files that are new in `source`, and keep the latest row of each key in versions under `target`.
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Bucket to its versions, the oldest first: the folders `v=<batch>/b=<bucket>` under target that were finished."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for done in fs.globStatus(jvm.Path(f"{target}/v=*/_SUCCESS")) or ():
+        v = done.getPath().getParent()
+        for b in fs.globStatus(jvm.Path(v, "b=*")) or ():
+            found.setdefault(int(b.getPath().getName()[2:]), []).append(int(v.getName()[2:]))
+    return {b: sorted(vs) for b, vs in found.items()}
 
-    A batch writes version n + 1 from version n, by its own number: a batch that runs again writes the same."""
+
+def read_latest(spark: SparkSession, target: str, schema, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The newest version of each bucket (of `buckets`), of versions earlier than `before` where that is given."""
+    paths = []
+    for b, vs in _versions(spark, target).items():
+        old = [v for v in vs if before is None or v < before]
+        if old and (buckets is None or b in buckets):
+            paths.append(f"{target}/v={old[-1]}/b={b}")
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def prune(spark: SparkSession, target: str, keep: int = 2) -> None:
+    """Delete all but the newest `keep` versions of each bucket: a repeated last batch still needs the one before."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for b, vs in _versions(spark, target).items():
+        for v in vs[:-keep]:
+            fs.delete(jvm.Path(f"{target}/v={v}/b={b}"), True)
+
+
+def stream_ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: list[str], order: list[str], form: str = "json", buckets: int = 64) -> StreamingQuery:
+    """Read the files that are new in `source`, and keep the latest row of each key under `target`; `read_latest` reads it.
+
+    Keys are dealt to a fixed number of buckets by hash. A batch rewrites only the buckets that it touches, as version
+    `v=<batch>`, from their newest earlier version, so a batch that runs again writes the same, and older versions go."""
 
     def write(batch: DataFrame, n: int) -> None:
-        if n:
-            batch = upsert(spark.read.schema(batch.schema).parquet(f"{target}/v={n - 1}"), batch, keys, order)
-        else:
-            batch = upsert(batch.limit(0), batch, keys, order)
-        batch.write.mode("overwrite").parquet(f"{target}/v={n}")
+        b = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        try:
+            touched = {r[0] for r in batch.select(b.alias("b")).distinct().collect()}  # at most `buckets` rows
+            if touched:
+                kept = read_latest(spark, target, batch.schema, n, touched)
+                upsert(kept, batch, keys, order).withColumn("b", b).repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{target}/v={n}")
+                prune(spark, target)
+        finally:
+            batch.unpersist()
 
-    rows = spark.readStream.schema(schema).json(source)
+    rows = spark.readStream.schema(schema).format(form).load(source)
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

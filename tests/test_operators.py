@@ -7,7 +7,7 @@ import math
 import pytest
 
 from cairn.functions import code, text
-from cairn.operators import audit, graph, mining, retrieval
+from cairn.operators import audit, briefs, graph, mining, retrieval
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,44 @@ def test_taint_paths(spark):
     assert rows(graph.taint_paths(e, n("vxh"), n("h"))) == [("h", "h", 1, "h"), ("v", "h", 2, "v>h")]
 
 
+def test_taint_paths_have_no_depth_bound(spark):
+    e = spark.createDataFrame([(str(k), str(k + 1)) for k in range(7)] + [("7", "0")], "src string, dst string")
+    n = lambda s: spark.createDataFrame([(c,) for c in s], "node string")
+    assert rows(graph.taint_paths(e, n("0"), n("7"))) == [("0", "7", 8, "0>1>2>3>4>5>6>7")]
+    assert graph.taint_paths(e, n("0"), n("7"), depth=4).count() == 0
+
+
+def test_retrospective_points(spark):
+    schema = "item string, type string, signal_class string, relevance double, at timestamp, links int"
+    at = lambda y: dt.datetime(y, 1, 1)
+    warn = "pre_cve_warning"
+    data = [("a", "amnesia", None, None, None, k) for k in (0, 0, 0, None, 3)]
+    data += [("a", warn, "semantic", r, t, None) for r, t in ((1.0, at(2020)), (None, at(2022)), (0.5, None))] + [("a", warn, "awareness", None, None, None)] * 4
+    data += [("a", "architectural_decision", None, None, None, None)] * 2 + [("a", "intent_impl_delta", None, None, None, None)]
+    data += [("b", warn, "semantic", 0.5, at(2010), None), ("b", warn, "semantic", 0.5, at(2020), None)]
+    blast = spark.createDataFrame([("a", 30), ("b", 15), ("c", 4)], "item string, n long")
+    # a: 30 + 12 + 14 + 9 + 10 + 10 + 8; b: 7 + 7, its two dates lie too far apart
+    assert rows(briefs.retrospective(spark.createDataFrame(data, schema), blast)) == [("a", 93, "ALERT"), ("b", 14, "PASS"), ("c", 0, "PASS")]
+
+
+def test_files_of_a_task(spark):
+    one = lambda s: spark.createDataFrame([(s,)], "t string").select(briefs.target_files(F.col("t"))).first()[0]
+    assert one("fix ./core/a.rs, src\\B.PY and x.tsx; see django.db.models.deletion, core/a.rs, a.b.py") == ["core/a.rs", "src/B.PY", "x.tsx", "a.b.py", "django/db/models/deletion.py"]
+    assert one("nothing here") == []
+
+
+def test_commit_links_leave_boilerplate_out(spark):
+    c = spark.createDataFrame([("abc123456789", "Fixed validation logic in fields.py clean method because of edge case", ["f.py", "b.py"])], "ref string, body string, files array<string>")
+    s = spark.createDataFrame([("f.py", "__init__"), ("f.py", "clean"), ("b.py", "__init__"), ("b.py", "save")], "file string, symbol string")
+    assert [r[:3] for r in rows(audit.commit_links(c, s, ["fix"]))] == [("clean", "f.py", "abc12345"), ("save", "b.py", "abc12345")]
+
+
+def test_untested_files_are_cut_first(spark):
+    names = [("a.py", 9), ("test_a.py", 9), ("b.py", 1), ("scripts/c.py", 9), ("d.py", 5), ("e/f.py", 6), ("g.py", 7), ("h.py", 8), ("i.py", 9)]
+    f = spark.createDataFrame(names, "name string, symbols long")
+    assert rows(audit.test_gap(f)) == [("d.py", 5), ("e/f.py", 6), ("g.py", 7), ("h.py", 8)]
+
+
 def test_links_by_id_or_name(spark):
     links = spark.createDataFrame([(1, "x"), (None, "b"), (9, "a")], "symbol_id long, symbol_name string")
     symbols = spark.createDataFrame([(1, "a", "f"), (2, "b", "f"), (3, "b", "g")], "id long, name string, file string")
@@ -111,6 +149,8 @@ def test_comments(spark):
     source = "# gone\n# ADR-7 stays\nx = 1  # gone\ny = 2  # noqa\n\n\n\nz = 3\n"
     got = spark.createDataFrame([(source,)], "c string").select(text.prune_comments(F.col("c"))).first()[0]
     assert got == "# ADR-7 stays\nx = 1\ny = 2  # noqa\n\nz = 3"
+    tabs = spark.createDataFrame([("if x:\n\t# gone\n\ty = 1\t  # gone\n\t\n",)], "c string").select(text.prune_comments(F.col("c"))).first()[0]
+    assert tabs == "if x:\n\ty = 1"
     ts = "// gone\na()  // gone\n// nocheck"
     assert spark.createDataFrame([(ts,)], "c string").select(text.prune_comments(F.col("c"), "//")).first()[0] == "a()\n// nocheck"
 
@@ -161,11 +201,14 @@ def test_stream_upserts_once(spark, tmp_path):
 
     def feed(name, *events):
         (source / name).write_text("\n".join(json.dumps(dict(zip(("path", "at", "n"), e))) for e in events))
-        ingest.stream_ingest(spark, str(source), schema, str(tmp_path / "out"), str(tmp_path / "check"), ["path"], "at").awaitTermination()
+        ingest.stream_ingest(spark, str(source), schema, str(tmp_path / "out"), str(tmp_path / "check"), ["path"], ["at"], buckets=4).awaitTermination()
 
     feed("1.json", ("a", 1, 10), ("b", 1, 20), ("a", 2, 11))
     feed("2.json", ("b", 5, 21), ("c", 1, 30))
-    assert rows(spark.read.parquet(str(tmp_path / "out/v=1"))) == [("a", 2, 11), ("b", 5, 21), ("c", 1, 30)]
+    feed("3.json", ("b", 4, 0), ("d", 1, 40))
+    feed("4.json", ("b", 6, 22))
+    assert rows(ingest.read_latest(spark, str(tmp_path / "out"), schema)) == [("a", 2, 11), ("b", 6, 22), ("c", 1, 30), ("d", 1, 40)]
+    assert all(len(v) <= 2 for v in ingest._versions(spark, str(tmp_path / "out")).values())
 
 
 def test_conventions():
