@@ -9,6 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Deletes a plan's shuffle files when it ends; a plan that runs again recomputes them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths stored inside each open `scratch`, the innermost last.
 _open: list[list[str]] = []
 
@@ -26,9 +29,15 @@ def folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """df written once and read back, so that what follows survives a lost executor without recomputing it; without
-    scratch it outlives the open `scratch`."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    scratch it outlives the open `scratch`. The shuffle files of its own plan go when it is written."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old) if old is not None else spark.conf.unset(CLEANUP)
     if _open and scratch:
         _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
