@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, html, lines, lm, neardup, quality, shared, sql, substrings, toxicity, warc
+from cairn.llm import bpe, decontaminate, fim, html, lexical, lines, lm, neardup, quality, rankbpe, shared, sql, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return rankbpe.digests(rankbpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings, "op5_near_dup": op5_near_dup, "op6_warc": op6_warc, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "pipeline": pipeline}
+    return {"op1_decontaminate": op1_decontaminate, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings, "op5_near_dup": op5_near_dup, "op6_warc": op6_warc, "op7_line_spread": op7_line_spread, "op8_main_text": op8_main_text, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "op11_fim": op11_fim, "op12_lexical": op12_lexical, "op13_rank_bpe": op13_rank_bpe, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
