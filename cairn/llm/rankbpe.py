@@ -7,7 +7,8 @@ gives its own place the rank with the new neighbour, and the place to the left t
 updates of logarithmic length among live neighbours, so a piece of n bytes takes time in proportion to n log n. The tree is
 one array of eight bytes a node.
 
-Short pieces are merged once for as long as they are remembered; the memory of that is bounded. Ids are decoded by joining
+Short pieces that a batch of texts brings anew are merged together: their trees are rows of one array, and a turn makes the
+next merge of each. They are remembered; the memory of that is bounded. A long piece has a tree of its own. Ids are decoded by joining
 their bytes; the text they spell is the UTF-8 of those, with malformed parts as U+FFFD.
 
 Defined cases: a null text is an empty one; an empty text has no tokens and decodes to no bytes; strings of special tokens
@@ -19,19 +20,20 @@ from __future__ import annotations
 
 import array
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points on whose letters, numbers and white space all Unicode versions agree; for others the public library is asked.
 _COMMON = regex.compile("[\\x00-\u0557\u0590-\u05f4\u2010-\u206f\u20a0-\u20b5\u2190-\u23f3\u2500-\u2b55\u3000-\u30ff\u4e00-\u9fcc\uac00-\ud7a3\uff01-\uffee\U0001f300-\U0001f64f]*")
-#: Pieces of at most so many characters are remembered, so many of them.
-SHORT, KEPT = 48, 200_000
-#: Characters of a text whose pieces are listed at a time; a longer text's pieces are taken one by one.
-CHUNK = 1 << 20
+#: Pieces of at most so many bytes are merged together and remembered, so many of them.
+SHORT, KEPT = 64, 200_000
+#: Characters whose pieces are listed at a time.
+CHUNK = 1 << 19
 #: Bits of a tree node that hold the position; the rank is above them.
 _PLACE = 40
 _NONE = (1 << 63) - 1
@@ -110,20 +112,79 @@ class Ranks:
         return out
 
 
-class _Pieces(dict):
-    """Packed ids of pieces, merged when first met."""
+class Forest:
+    """The trees of many short pieces, in which each turn makes the next merge of every piece that has one.
+
+    A part is known by its id, and `made` is a sorted table of the pairs of ids whose bytes joined are a token.
+    """
 
     def __init__(self, ranks: Ranks):
-        super().__init__()
-        self.ranks = ranks
+        known = ranks.ranks
+        pairs = {}
+        for token, rank in known.items():
+            for k in range(1, len(token)):
+                a, b = known.get(token[:k]), known.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a << 31 | b] = rank
+        self.made = np.array(sorted(pairs) or [-1], np.int64)
+        self.rank = np.array([pairs[k] for k in sorted(pairs)] or [0], np.int64)
+        self.byte = np.array([known.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Nodes of the pairs (a, b) of ids at these places."""
+        key = a << 31 | b
+        at = np.minimum(np.searchsorted(self.made, key), len(self.made) - 1)
+        return np.where(self.made[at] == key, self.rank[at] << _PLACE | place, _NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of two bytes or more."""
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        leaves = 1 << np.ceil(np.log2(sizes)).astype(np.int64)
+        for leaf in np.unique(leaves):
+            some = np.flatnonzero(leaves == leaf)
+            ids, ends = self._merge([pieces[i] for i in some], sizes[some], int(leaf))
+            packed, begin = ids.astype("<u4").tobytes(), 0
+            for i, end in zip(some.tolist(), (4 * ends).tolist(), strict=True):
+                out[i], begin = packed[begin:end], end
+        return out
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self.ranks.merge(piece.encode()).tobytes()
-        if len(piece) <= SHORT:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = got
-        return got
+    def _merge(self, pieces: list[bytes], n: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces on end, and where each piece's end."""
+        count, span = len(pieces), np.arange(leaf)
+        text = np.frombuffer(b"".join(p.ljust(leaf, b"\0") for p in pieces), np.uint8).reshape(count, leaf)
+        part = self.byte[text]
+        inside = span < n[:, None]
+        if (part[inside] < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        tree = np.full((count, 2 * leaf), _NONE)
+        first = self._pair(part[:, :-1], part[:, 1:], span[:-1])
+        tree[:, leaf : 2 * leaf - 1] = np.where(inside[:, 1:], first, _NONE)
+        low = leaf
+        while low > 1:
+            tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
+            low //= 2
+        after, before = np.tile(np.arange(1, leaf + 2), (count, 1)), np.tile(np.arange(-1, leaf), (count, 1))
+        live, rows = inside.copy(), np.arange(count)
+        while True:
+            best = tree[rows, 1]
+            rows, best = rows[best != _NONE], best[best != _NONE]
+            if not len(rows):
+                break
+            at = best & ((1 << _PLACE) - 1)
+            gone = after[rows, at]
+            right, left = after[rows, gone], before[rows, at]
+            part[rows, at], live[rows, gone], after[rows, at], before[rows, right] = best >> _PLACE, False, right, at
+            some, more = right < n[rows], left >= 0
+            nodes = [_NONE] * len(rows), np.full(len(rows), _NONE), self._pair(part[rows[more], left[more]], part[rows[more], at[more]], left[more])
+            nodes[1][some] = self._pair(part[rows[some], at[some]], part[rows[some], right[some]], at[some])
+            row = np.concatenate([rows, rows, rows[more]])
+            node = np.concatenate([gone, at, left[more]]) + leaf
+            tree[row, node] = np.concatenate(nodes)
+            while node[0] > 1:  # all leaves are at the same depth
+                node = node >> 1
+                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+        return part[live], np.cumsum(live.sum(axis=1))
 
 
 class Encoder:
@@ -132,7 +193,8 @@ class Encoder:
         self.text_pattern = pattern
         self.pattern = regex.compile(pattern)
         self.exact = None
-        self.pieces = _Pieces(self.ranks)
+        self.forest = Forest(self.ranks)
+        self.pieces: dict[str, bytes] = {}
 
     def _classes(self) -> regex.Pattern:
         """The pattern with letters, numbers and white space as the public library has them: it is asked which code points
@@ -169,11 +231,54 @@ class Encoder:
             self.exact = regex.compile("".join(out))
         return self.exact
 
-    def encode(self, text: str, chunk: int = CHUNK) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        pattern = self.pattern if _COMMON.fullmatch(text) else self._classes()
-        found: Iterator[str] | list[str] = pattern.findall(text) if len(text) <= chunk else (hit[0] for hit in pattern.finditer(text))
-        return b"".join(map(self.pieces.__getitem__, found))
+    def _learn(self, met: set[str]) -> dict[str, bytes]:
+        """Packed ids of at least these pieces; short ones are remembered."""
+        known, rank = self.pieces, self.ranks.ranks.get
+        new = met - known.keys()
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = met
+        grown, long = [], {}
+        for piece in new:
+            raw = piece.encode()
+            whole = rank(raw)
+            if len(raw) > SHORT:
+                long[piece] = self.ranks.merge(raw).tobytes()
+            elif whole is not None or len(raw) < 2:
+                known[piece] = self.ranks.merge(raw).tobytes()
+            else:
+                grown.append((piece, raw))
+        known.update(zip((p for p, _ in grown), self.forest.merge([raw for _, raw in grown]), strict=True))
+        return known | long if long else known
+
+    def encode(self, texts: list[str], chunk: int = CHUNK) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Of all texts, the pieces of about chunk characters
+        are listed at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            known = self._learn(set().union(*(found for _, found in held)))
+            for i, found in held:
+                out[i].append(b"".join(map(known.__getitem__, found)))
+            held.clear()
+
+        for i, text in enumerate(texts):
+            pattern = self.pattern if _COMMON.fullmatch(text) else self._classes()
+            if len(text) <= chunk:
+                held.append((i, pattern.findall(text)))
+                size += len(text)
+                if size >= chunk:
+                    flush()
+                    size = 0
+                continue
+            found = (hit[0] for hit in pattern.finditer(text))
+            while some := list(islice(found, max(1, chunk // 8))):
+                held.append((i, some))
+                flush()
+        flush()
+        return [b"".join(parts) for parts in out]
 
     def decode(self, packed: bytes) -> bytes:
         """Bytes that packed ids spell."""
@@ -190,14 +295,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     lie at path on the executors."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         e = encoder(path, pattern)
         for b in batches:
             for k in range(0, b.num_rows, 128):
                 part = b.slice(k, 128)
-                packed = [e.encode(t or "") for t in part.column(1).to_pylist()]
+                packed = e.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(map(e.decode, packed), pa.binary())], ["key", "ids", "decoded"])

@@ -26,7 +26,7 @@ def test_like_the_library_for_any_chunk(library):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))
         want = library.encode_ordinary(text)
         for chunk in (rankbpe.CHUNK, 5):
-            packed = e.encode(text, chunk)
+            packed = e.encode([text], chunk)[0]
             assert (list(memoryview(packed).cast("I")) if packed else []) == want
         assert e.decode(packed) == text.encode()
 
@@ -37,7 +37,7 @@ def test_every_code_point_is_split_as_the_library_does(library):
         points = [chr(c) for c in (*range(0x3400), *range(0x9F00, 0xAC00), *range(0xD700, 0xD800), *range(0xE000, 0x20000, 3)) if bool(rankbpe._COMMON.fullmatch(chr(c))) == common]
         for k in range(0, len(points), 40_000):
             text = "".join(f"a{c}1{c} {c}\n" for c in points[k : k + 40_000])
-            assert list(memoryview(e.encode(text)).cast("I")) == library.encode_ordinary(text)
+            assert list(memoryview(e.encode([text])[0]).cast("I")) == library.encode_ordinary(text)
 
 
 def test_merges_like_a_plain_scan():
@@ -46,7 +46,7 @@ def test_merges_like_a_plain_scan():
     while len(ranks) < 60:
         made = bytes(rnd.randrange(4) for _ in range(rnd.randint(2, 5)))
         ranks.setdefault(made, len(ranks))
-    r = rankbpe.Ranks(ranks)
+    r, many, wanted = rankbpe.Ranks(ranks), [], []
     for _ in range(500):
         piece = bytes(rnd.randrange(4) for _ in range(rnd.randint(0, 40)))
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -58,10 +58,24 @@ def test_merges_like_a_plain_scan():
                 break
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         assert list(r.merge(piece)) == [ranks[p] for p in parts]
+        many.append(piece)
+        wanted.append([ranks[p] for p in parts])
+    some = [i for i, p in enumerate(many) if len(p) > 1 and p not in ranks]
+    got = rankbpe.Forest(r).merge([many[i] for i in some])
+    assert [list(memoryview(p).cast("I")) for p in got] == [wanted[i] for i in some]
     with pytest.raises(ValueError):
         r.merge(b"\x00\x09")
 
 
+def test_texts_of_a_batch_share_pieces_and_a_small_memory(library, monkeypatch):
+    monkeypatch.setattr(rankbpe, "KEPT", 20)
+    rnd = random.Random(7)
+    e = rankbpe.Encoder(PATH, PATTERN)
+    texts = ["", "x" * 100, *("".join(rnd.choice(["qua", "zimp", " ", "lor", "é", "\n", "q" * 70]) for _ in range(rnd.randint(0, 60))) for _ in range(80))]
+    for chunk in (rankbpe.CHUNK, 200, 8):
+        assert [list(memoryview(p).cast("I")) if p else [] for p in e.encode(texts, chunk)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_time_of_a_long_piece_is_near_linear():
     r = rankbpe.encoder(PATH, PATTERN).ranks
 
