@@ -11,9 +11,12 @@ beside the way is content if its density reaches the threshold (and its sum the
 content children stays, however short, and so do headings right before the first. Around them, low blocks go; in the
 content subtree itself only generic ones that are unlike its dense leaves go.
 
-What the result never holds is cut first: scripts, styles and other markup, form controls, and menus, sidebars, footers,
-notices, adverts and reader comments by tag, role or name; blocks of nothing but links go, too. Where tag or name don't
-tell (forms, headers, widgets), density decides: one that encloses the content stays, and so does a header inside it.
+What the result never holds is cut first: scripts, styles and other markup, form controls (with their labels and outputs,
+and embedded objects, inside a sentence, too), and menus, sidebars, footers, notices, adverts and reader comments by tag,
+role or name; blocks of nothing but links go, too. Names are also given to what encloses a page (`site nav-closed`): if
+what names leave is next to nothing beside the largest sum, the named parts around that sum stay, the outermost first.
+Where tag or name don't tell (forms, headers, widgets), density decides: one that encloses the content stays, and so does
+a header inside it.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined in
 page order by one space. Defined cases: a null or empty page, or one without text, gives an empty text; unclosed tags end
@@ -33,6 +36,9 @@ from pyspark.sql import functions as F
 #: A child is content from SLACK of the path's largest density on; a generic block beside the content subtree must also
 #: have WEIGHT of the largest sum, or SHARE of it if it holds no block. SHARE of the largest sum alone is enough.
 SLACK, WEIGHT, SHARE = 0.3, 0.1, 0.25
+#: A named part that encloses the page's largest sum is kept if what names leave has less than this share of it; the
+#: second is for reader comments, which often are longer than the article.
+ENCLOSING, DISCUSSION = 0.15, 0.02
 
 #: Elements of the HTML standard by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,17 +68,18 @@ TEXTUAL = HEADINGS | frozenset("p blockquote pre ul ol dl figure table address b
 NEVER = frozenset("aside audio button canvas datalist dialog embed footer frame head iframe input label legend map menu nav noembed noframes noscript object option output script search select style svg template textarea title video xmp".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|adverts?|advertisements?|advertising|breadcrumbs?|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|footer|masthead|"
+    r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|adverts?|advertisements?|advertising|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|footer|masthead|"
     r"menu|nav|navbar|navigation|newsletter|subscribe|signup|pagination|pager|popup|modal|promo|promoted|sponsor|sponsored|related|recommended|recommendations|"
     r"share|sharing|social|sidebar|side-bar|skip-?link)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+READERS = re.compile(r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:comments?(?!-(?:open|closed|on|off|enabled|disabled))|comment-?list|disqus|replies|respond)(?:$|[\s_-])", re.IGNORECASE)
 #: Names that page builders also give to what encloses an article: density decides.
 OPEN_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|login|overlay|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 
 _NAME = re.compile(r"[^\s/>]+")
 _TURN = re.compile(r">|=\s*([\"'])")
-_ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _LONG = re.compile(r"&#0*[0-9]{8,};?")
 TOLD = frozenset("class id role hidden".split())
 
@@ -82,7 +89,7 @@ class _Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.shape = ["#root"], [-1], [""]
-        #: 1: cut; 2: cut unless density says otherwise.
+        #: 1: cut; 2: cut unless density says otherwise; 3, 4: cut by role or name, or by a name of reader comments.
         self.cut = bytearray(1)
         #: (node, text), (node, None) where a block begins or ends.
         self.runs: list[tuple[int, str | None]] = []
@@ -180,8 +187,12 @@ class _Tree:
             if told:
                 shape = told.get("class", "")
                 named = "" if tag in ("html", "body", "article", "main") else f"{shape} {told.get('id', '')}"
-                if "hidden" in told or told.get("role", "").strip().lower() in ROLES or NAMES.search(named):
+                if "hidden" in told:
                     cut = 1
+                elif cut != 1 and READERS.search(named):
+                    cut = 4
+                elif cut != 1 and (told.get("role", "").strip().lower() in ROLES or NAMES.search(named)):
+                    cut = 3
                 elif not cut and OPEN_NAMES.search(named):
                     cut = 2
         self.tag.append(tag)
@@ -297,13 +308,43 @@ def _way(tree: _Tree, i: int) -> list[int]:
     return out
 
 
+def _named(tree: _Tree, hard: list[bool]) -> list[bool]:
+    """hard without the parts that a name or role alone cuts and that enclose the article: from the outermost inwards on
+    the way to the page's largest sum, as many as it takes until what is left has its share of that sum."""
+    named = [h and c in (3, 4) for h, c in zip(hard, tree.cut, strict=True)]
+    if not any(named):
+        return hard
+    d = Densities(tree, [h and not x for h, x in zip(hard, named, strict=True)])
+    best = d.best()
+    way = [i for i in _way(tree, best)[::-1] if named[i]] if best >= 0 else []
+    if not way:
+        return hard
+    # A part of reader comments ends the way, unless nothing else is there.
+    least = (DISCUSSION if any(tree.cut[i] == 4 for i in way) else ENCLOSING) * d.total[best]
+
+    def without(k: int) -> list[bool]:
+        kept = set(way[:k])
+        return [h and i not in kept for i, h in enumerate(hard)]
+
+    low, high = 0, len(way)
+    while low < high:
+        k = (low + high) // 2
+        left = Densities(tree, without(k))
+        top = left.best()
+        if top >= 0 and left.total[top] >= least:
+            high = k
+        else:
+            low = k + 1
+    return without(low)
+
+
 def select(tree: _Tree) -> list[bool]:
     """Whether each node's own text is content."""
     n = len(tree.tag)
     around = [False] * n  # what encloses a main element isn't a part beside the article, whatever its name
     for i in range(n - 1, 0, -1):
         around[tree.parent[i]] |= around[i] or tree.tag[i] == "main"
-    hard = [tree.cut[i] == 1 and (not around[i] or tree.tag[i] in NEVER) for i in range(n)]
+    hard = _named(tree, [tree.cut[i] in (1, 3, 4) and (not around[i] or tree.tag[i] in NEVER) for i in range(n)])
     d = Densities(tree, hard[:])
     best = d.best()
     if best >= 0 and any(tree.cut[i] == 2 for i in range(n)):

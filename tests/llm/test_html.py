@@ -3,6 +3,7 @@ import re
 import time
 
 import pyarrow.parquet as pq
+import pytest
 
 from cairn.llm import html, queries
 
@@ -105,12 +106,32 @@ def test_reader_comments_and_named_parts_go_whatever_their_density():
     assert html.extract(page) == f"{par(1)} {par(2)}"
 
 
+WRAPPERS = "site nav-closed|page menu-open|wrapper footer-fixed|layout sidebar-left|post related-posts-off|container cookies-accepted|content social|page ad-free|post comments-open".split("|")
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_names_of_what_encloses_the_article_dont_cut_it(name):
+    want = f"Title {par(1)} {par(2)} {par(3)}"
+    inner = f"<h1>Title</h1>{p(1)}{p(2)}{p(3)}"
+    for body in (inner, f"<article>{inner}</article>", f"<div class='layout menu-left'><div class=nav>{MENU}</div><div>{inner}</div><div class=sidebar>{p(4)}</div></div>"):
+        assert html.extract(f"<body><div class='{name}'>{body}</div>{FOOT}") == want, body[:20]
+    assert html.extract(f"<body><div role=navigation id=x><div>{inner}</div></div>") == want
+
+
 def test_time_is_in_proportion_to_the_page():
     many = {"<a <b ": "", "<a <b >": "", "<a x='\"> ": "", "<a b='": "", "<!-": "", "<!--": "", "<div>": "", "<main>": "", "<p><a>": "x", "</a =": "", "<form><header>": "x", "&#9999999999": "", "<li hidden>": "", "<nav><span>": "x"}
-    for part, end in many.items():
+    pages = {part: lambda n, part=part, end=end: part * (n // len(part)) + end for part, end in many.items()}
+    pages |= {f"<div{c}>": lambda n, c=c: f"<div{c * n}>x" for c in (" ", "/", "=", " =", " a")}
+    pages["nested names"] = lambda n: "<div class=nav>" * (n // 15) + par(1)
+
+    def took(page):
         began = time.process_time()
-        html.extract(part * (1_000_000 // len(part)) + end)
-        assert time.process_time() - began < 5, part
+        html.extract(page)
+        return time.process_time() - began
+
+    for name, page in pages.items():
+        small, large = took(page(60_000)), took(page(480_000))  # eight times the page; 64 times the time would be quadratic
+        assert large < 24 * max(small, 0.04), (name, small, large)
 
 
 def test_tokens_as_browsers_read_them():
