@@ -107,6 +107,35 @@ class _Flow(ast.NodeVisitor):
         for n in node.finalbody:
             self.visit(n)
 
+    def visit_NamedExpr(self, node):
+        self._assign([node.target], node.value)
+
+    def visit_With(self, node):
+        for item in node.items:
+            if item.optional_vars is None:
+                self.visit(item.context_expr)
+            else:
+                self._assign([item.optional_vars], item.context_expr)
+        for n in node.body:
+            self.visit(n)
+
+    visit_AsyncWith = visit_With
+
+    def _loop(self, node, before) -> None:
+        for _ in range(2):  # what one turn leaves, the next may use
+            before()
+            self._branches(node.body, [])
+        for n in node.orelse:
+            self.visit(n)
+
+    def visit_While(self, node):
+        self._loop(node, lambda: self.visit(node.test))
+
+    def visit_For(self, node):
+        self._loop(node, lambda: self._assign([node.target], node.iter))
+
+    visit_AsyncFor = visit_For
+
     def visit_Call(self, node):
         name = _dotted(node.func).rsplit(".", 1)[-1]
         if name in SINKS:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from cairn.session import stored
 
 
-def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int | None = None, cap: int = 15) -> DataFrame:
+def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int | None = None, cap: int | None = 15) -> DataFrame:
     """sources(node), sinks(node) → source, sink, length (nodes), path: for each pair the shortest path, of equals the
-    first by text; the first `cap` by source, length and path. A source that is a sink is a path of one node. Each round's
+    first by text; the first `cap` by source, length and path, or all. A source that is a sink is a path of one node. Each round's
     frontier is stored, so that plans stay short, and the search ends with the first empty one; depth bounds it earlier."""
     edges = edges.select("src", "dst").distinct()
     first = sources.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(1).alias("length"), F.col("node").cast("string").alias("path"))
@@ -26,7 +26,7 @@ def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: i
             break
         seen = seen.unionByName(frontier)
     hit = seen.join(sinks.select("node").distinct(), "node").select("source", F.col("node").alias("sink"), "length", "path")
-    return hit.orderBy("source", "length", "path").limit(cap)
+    return hit if cap is None else hit.orderBy("source", "length", "path").limit(cap)
 
 
 def blast_radius(calls: DataFrame, vulnerable: DataFrame, exposed: DataFrame) -> DataFrame:

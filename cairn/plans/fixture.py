@@ -544,50 +544,6 @@ def fingerprint(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.fingerprint(F.array("p_brand", "p_name", "p_type")).alias("fingerprint"))
 
 
-# ---- Python sources and streams: rows only
-
-CORPUS = (
-    ("app/view.py", "import os\n\n\ndef show(request):\n    \"\"\"Show it.\"\"\"\n    q = request.args['q']\n    return run(q)\n\n\ndef run(cmd):\n    if cmd:\n        text = cmd\n    else:\n        text = ''\n    os.system(text)\n"),
-    ("app/model.py", "class Store:\n    limit = 3\n\n    def put(self, x):\n        assert isinstance(x, int)\n        return self.save(x)\n\n    def save(self, x):\n        return x\n"),
-    ("tests/test_model.py", "from app.model import Store\n\n\ndef test_put():\n    assert Store().put(1) == 1\n"),
-    ("bad.py", "def broken(:\n"),
-)
-
-
-def _corpus(spark):
-    return spark.createDataFrame(CORPUS, "path string, code string")
-
-
-@query()
-def extract_symbols(spark, sf):
-    from cairn.functions import code
-
-    return code.extract_symbols(_corpus(spark))
-
-
-@query()
-def python_taint(spark, sf):
-    from cairn.functions import code
-
-    return code.python_taint(_corpus(spark))
-
-
-@query()
-def skeletonize(spark, sf):
-    from cairn.functions import code
-
-    return code.skeletonize(_corpus(spark))
-
-
-@query()
-def related_tests(spark, sf):
-    from cairn.functions import code
-
-    rows = code.extract_symbols(_corpus(spark))
-    calls = rows.where("name LIKE 'test%'").select(F.col("path").alias("test"), F.explode("calls").alias("name"))
-    return rows.where("name NOT LIKE 'test%'").select("path", "name").join(calls, "name").select("path", "test").distinct()
-
-
 @query("SELECT event_type, user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def stream_ingest(spark, sf):
     """The latest event of each key, upserted from a stream of the table's files."""

@@ -237,21 +237,3 @@ def import_chase(spark, sf):
 
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), (F.col("p_size") == 50).alias("is_test"), (F.col("p_size") / 50).alias("score"), "p_type")
     return conventions.import_chase(part.drop("p_type"), part.where("p_type = 'PROMO'").select("file", "name"))
-
-
-@query()
-def sibling_conventions(spark, sf):
-    from cairn.functions import conventions
-
-    body = "def put_{0}(x):\n    assert isinstance(x, int)\n    return x\n\n"
-    code = "".join(body.format(k) for k in "abc") + "def put_d(x):\n    return x\n"
-    return conventions.unguarded(spark.createDataFrame([("a.py", code)], "path string, code string"))
-
-
-@query()
-def ai_assets(spark, sf):
-    from cairn.functions import conventions
-    from cairn.plans.fixture import CORPUS
-
-    more = ("bot.py", "import transformers\nSYSTEM_PROMPT = 'be brief'\n\n\ndef run(x):\n    if ask_user(x):\n        return x\n")
-    return conventions.ai_assets(spark.createDataFrame([*CORPUS, more], "path string, code string"))
