@@ -11,6 +11,12 @@ BOILERPLATE = (
     "setUp", "tearDown", "setUpTestData", "handle", "render", "check", "add_arguments", "deconstruct", "get_queryset", "clean",
 )
 TRIVIAL = ("__init__.py", "constants.py", "types.ts", "types.py", "settings.py", "version.py")
+MENTION = r"(?i)(?:ADR-\d+|decision:\S+|DO\s+NOT\s+(?:MODIFY|TOUCH|CALL|DELETE|REMOVE)|HOTSPOT)"
+
+
+def is_trivial(path: Column, lines: Column, least: int = 50) -> Column:
+    """Whether a file is trivial: by its name, or with fewer than `least` lines."""
+    return F.element_at(F.split(path, "/"), -1).isin(*TRIVIAL) | (lines < least)
 
 
 def amnesia(hot: DataFrame, links: DataFrame, min_freq: int = 15) -> DataFrame:
@@ -150,13 +156,38 @@ def nearest_cached(wanted: DataFrame, cached: DataFrame, most: int = 2000) -> Da
     return rows.withColumn("near", last).where((F.col("asks") == 1) & (F.col("at") - F.col("near.at") <= most)).select("repo", "at", "near.commit")
 
 
+def mentions(files: DataFrame) -> DataFrame:
+    """files(path, code) → path, line, ref, text: the first reference of each line to a decision, a ban or a hotspot, in
+    capitals, and the comment that it stands in (the whole line, if it is in none)."""
+    lines = files.select("path", F.posexplode(F.split("code", "\r?\n")).alias("n", "row")).where(F.col("row").rlike(MENTION))
+    comment = F.regexp_extract("row", r"(?:#|//|\*)\s*(.+)", 1)
+    text = F.trim(F.when(comment != "", comment).otherwise(F.col("row")))
+    return lines.select("path", (F.col("n") + 1).cast("long").alias("line"), F.replace(F.upper(F.regexp_extract("row", MENTION, 0)), F.lit("  "), F.lit(" ")).alias("ref"), text.alias("text"))
+
+
+def mention_links(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """files(path, code), symbols(path, symbol, kind, start, end) → symbol, source_type, ref, confidence, text: what each
+    mention is about, once for each symbol and reference (of several the text of the first line). Outside Python, and in
+    files without symbols, it is the file."""
+    found = mentions(files)
+    near = mention_targets(found.withColumnRenamed("path", "file").select("file", "line"), symbols.where("path LIKE '%.py'").withColumnRenamed("path", "file"))
+    rows = found.join(near.withColumnRenamed("file", "path").withColumnRenamed("symbol", "at"), ["path", "line"])
+    rows = rows.groupBy(F.col("at").alias("symbol"), "ref").agg(F.min(F.struct("path", "line", "text"))["text"].alias("text"))
+    return rows.select("symbol", F.lit("mention").alias("source_type"), "ref", F.lit(0.95).alias("confidence"), "text")
+
+
+def rebuilt(links: DataFrame, fresh: DataFrame, source_type: str = "mention") -> DataFrame:
+    """links without those of a type, and the fresh ones of that type: a rebuild leaves no stale links."""
+    return links.where(F.col("source_type") != source_type).unionByName(fresh)
+
+
 def mention_targets(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
     """mentions(file, line), symbols(file, symbol, kind, start, end) → file, line, symbol: the next function within two
     lines, else the innermost function around it, else the innermost class, else the next symbol within five lines, else
     the file itself."""
     gap, inside = F.col("start") - F.col("line"), F.col("line").between(F.col("start"), F.col("end"))
     function = F.col("kind").isin("function", "method")
-    rank = F.when(function & gap.between(0, 2), 1).when(function & inside, 2).when((F.col("kind") == "class") & inside, 3).when(gap.between(0, 5), 4)
+    rank = F.when(function & gap.between(1, 2), 1).when(function & inside, 2).when((F.col("kind") == "class") & inside, 3).when(gap.between(1, 5), 4)
     met = mentions.join(symbols, "file", "left").withColumn("rank", rank)
     size = F.when(F.col("rank").isin(2, 3), F.col("end") - F.col("start")).otherwise(gap)
     by = Window.partitionBy("file", "line").orderBy(F.asc_nulls_last("rank"), size, "symbol")

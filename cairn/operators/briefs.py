@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.contain import contains_join
+
 # Words of entry points, of risky commits, suffixes of files that a task names, and those of code.
 SOURCE_WORDS = ("view", "handler", "api", "route", "controller", "request", "middleware")
 RISK_WORDS = ("workaround", "temporary", "hack", "bypass", "quick fix", "hotfix", "regression", "disabled", "security")
@@ -97,9 +99,11 @@ def edge_findings(edges: DataFrame, least: int = 4, k: int = 8, critical: float
 
 
 def decay_events(commits: DataFrame, sinks: DataFrame, links: DataFrame) -> DataFrame:
-    """commits(ref, body, file), sinks(file), links(ref) → ref, file, summary of risky commits at a sink that no link
-    explains. Refs are compared by their first eight characters, as links keep them."""
-    risky = commits.where(has_any(F.lower("body"), RISK_WORDS)).join(sinks.select("file").distinct(), "file", "left_semi")
+    """commits(ref, body, file), sinks(file), links(ref) → ref, file, summary of risky commits at a file whose path contains
+    a sink's, and that no link explains. Refs are compared by their first eight characters, as links keep them."""
+    risky = commits.where(has_any(F.lower("body"), RISK_WORDS))
+    at_sink = contains_join(risky.select(F.col("file").alias("text")), sinks.select(F.col("file").alias("needle")))
+    risky = risky.join(at_sink.select(F.col("text").alias("file")).distinct(), "file", "left_semi")
     own = risky.withColumn("short", F.substring("ref", 1, 8)).join(links.select(F.substring("ref", 1, 8).alias("short")).distinct(), "short", "left_anti")
     return own.select("ref", "file", F.element_at(F.split(F.trim("body"), "\n"), 1).alias("summary"))
 

@@ -110,7 +110,7 @@ def intent_drift(spark, sf):
 _RISKY = " OR ".join(f"contains(lower(replace(text, 'license', 'hotfix')), '{w}')" for w in briefs.RISK_WORDS)
 
 
-@query(f"""SELECT lpad(doc_id::VARCHAR, 8, '0') || 'ff' AS ref, source AS file, split_part(trim(replace(text, 'license', 'hotfix')), chr(10), 1) AS summary FROM documents WHERE ({_RISKY}) AND source IN (SELECT 'src' || n_nationkey FROM nation) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+@query(f"""SELECT lpad(doc_id::VARCHAR, 8, '0') || 'ff' AS ref, source AS file, split_part(trim(replace(text, 'license', 'hotfix')), chr(10), 1) AS summary FROM documents WHERE ({_RISKY}) AND EXISTS (SELECT 1 FROM nation WHERE contains(source, 'src' || n_nationkey)) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def decay_events(spark, sf):
     body = F.replace(F.col("text"), F.lit("license"), F.lit("hotfix"))
     ref = lambda: F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("ff"))

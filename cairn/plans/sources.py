@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import code, conventions, flows
-from cairn.operators import taint
+from cairn.operators import audit, blame as B, contain, taint
 from cairn.plans.fixture import query
 from cairn.session import stored, table
+from cairn.sources import history
 
 _PY = "concat('import os\n\n\ndef f', k, '(x):\n    y = x\n', IF(sink, '    os.system(y)\n', ''), '    return f', next, IF(cut, '(\\'k\\')\n', '(y)\n'), IF(source, concat('\n\ndef start', k, '(request):\n    return f', k, '(request.args[\\'q\\'])\n'), ''))"
 _TS = "concat('import { f', next, ' } from \\'./f', next, '\\';\n\nexport function f', k, '(x: string) {\n  const y = `a $', '{x}`;\n', IF(sink, '  exec(y);\n', ''), '  return f', next, IF(cut, '(\\'k\\');\n}\n', '(y);\n}\n'), IF(source, concat('\nexport const start', k, ' = (req) => f', k, '(req.query.q);\n'), ''))"
@@ -117,3 +118,79 @@ def sibling_conventions(spark, sf):
     one = s.selectExpr("nation", "ring", "concat('def put_', k, '(x):\n', IF(k % 5 = 2, '', '    assert isinstance(x, int)\n'), '    return x\n\n') AS body")
     made = one.groupBy("nation", "ring").agg(F.array_join(F.collect_list("body"), "").alias("code"))
     return conventions.unguarded(made.selectExpr("concat('api/n', nation, '_', ring, '.py') AS path", "code"))
+
+
+# ---- histories: an order is a commit of its customer's file. The first of a file writes five lines; each other takes one of
+# lines 2 to 4 for two of its own, and line 5 for none to two.
+
+_COMMITS = "o AS (SELECT o_orderkey AS c, o_custkey AS f, o_orderdate AS "at", o_clerk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS s FROM (SELECT *, o_orderstatus AS o_clerk FROM orders))"
+_REPLAY = f"""RECURSIVE {_COMMITS}, w AS (SELECT f, 1::BIGINT AS s, [c, c, c, c, c] AS l FROM o WHERE s = 1
+UNION ALL SELECT w.f, o.s, list_concat(list_concat(list_concat(l[1:c % 3 + 1], [c, c]), l[c % 3 + 3:4]), list_concat(CASE c % 3 WHEN 0 THEN [] WHEN 1 THEN [c] ELSE [c, c] END, l[6:])) FROM w JOIN o ON o.f = w.f AND o.s = w.s + 1),
+last AS (SELECT f, arg_max(l, s) AS l FROM w GROUP BY f), n AS (SELECT f, unnest(l) AS c, unnest(generate_series(1, len(l))) AS i FROM last)"""
+
+
+def _log(spark, sf) -> DataFrame:
+    """A commit a row, as git prints it without context."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("c"), F.col("o_custkey").alias("f"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("who"))
+    o = o.withColumn("s", F.row_number().over(Window.partitionBy("f").orderBy("at", "c")))
+    head = "concat(c, '|', date_format(at, 'yyyy-MM-dd'), '|', who, '|change ', c, '\n\ndiff --git a/f', f, '.py b/f', f, '.py\n--- ', IF(s = 1, '/dev/null', concat('a/f', f, '.py')), '\n+++ b/f', f, '.py\n')"
+    first = "concat('@@ -0,0 +1,5 @@\n', repeat('+x\n', 5))"
+    other = "concat('@@ -', c % 3 + 2, ' +', c % 3 + 2, ',2 @@\n-x\n+++ b/y\n+@@ -1 +1 @@\n@@ -5 +', IF(c % 3 = 0, '5,0', IF(c % 3 = 1, '6', '6,2')), ' @@ def x\n-x\n', repeat('+x\n', cast(c % 3 AS int)))"
+    return o.selectExpr(f"concat({head}, IF(s = 1, {first}, {other})) AS value")
+
+
+@query(f"""WITH {_COMMITS} SELECT c::VARCHAR AS commit, strftime("at", '%Y-%m-%d') AS "at", o_clerk AS author, 'change ' || c AS subject, 'f' || f || '.py' AS file, h[1]::BIGINT AS old_start, h[2]::BIGINT AS old_lines, h[3]::BIGINT AS start, h[4]::BIGINT AS lines FROM (
+SELECT *, unnest(CASE WHEN s = 1 THEN [[0, 0, 1, 5]] ELSE [[c % 3 + 2, 1, c % 3 + 2, 2], [5, 1, CASE c % 3 WHEN 0 THEN 5 ELSE 6 END, c % 3]] END) AS h FROM o)""")
+def hunk_log(spark, sf):
+    return history.hunk_log(_log(spark, sf))
+
+
+def _blamed(spark, sf) -> DataFrame:
+    hunks = history.hunk_log(_log(spark, sf)).selectExpr("file", "struct(at, cast(commit AS long) AS c) AS at", "commit", "old_start", "old_lines", "lines AS new_lines")
+    return B.blame(hunks.withColumn("at", F.concat(F.col("at.at"), F.lpad(F.col("at.c").cast("string"), 12, "0"))))
+
+
+@query(f"""WITH {_REPLAY} SELECT 'f' || f || '.py' AS file, min(i)::BIGINT AS start, max(i)::BIGINT AS "end", c::VARCHAR AS commit FROM (SELECT *, i - row_number() OVER (PARTITION BY f, c ORDER BY i) AS run FROM n) GROUP BY f, c, run""")
+def blame(spark, sf):
+    """The commit of each line, from the hunks of the log."""
+    return _blamed(spark, sf)
+
+
+@query(f"""WITH {_REPLAY} SELECT DISTINCT 'f' || f || '.py' AS file, CASE WHEN i <= 3 THEN 'head' ELSE 'rest' END AS symbol, c::VARCHAR AS commit FROM n WHERE i <= 18""")
+def blamed_symbols(spark, sf):
+    """Commits of the first fifteen lines of two symbols of each file: lines 1 to 3, and from 4."""
+    places = table(spark, sf, "orders").select(F.expr("concat('f', o_custkey, '.py')").alias("file")).distinct()
+    symbols = places.select("file", F.expr("explode(array(struct('head' AS symbol, 1L AS start, 3L AS `end`), struct('rest' AS symbol, 4L AS start, 900L AS `end`)))").alias("s")).select("file", "s.*")
+    return B.commits_of(_blamed(spark, sf), symbols)
+
+
+# ---- mentions and containment
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), m AS (
+SELECT 'f' || k AS symbol, 'ADR-' || k % 9 AS ref, 'ADR-' || k % 9 || ': keep' AS text FROM s WHERE k % 2 = 0
+UNION ALL SELECT 'f' || k, 'HOTSPOT', 'Hotspot here' FROM s WHERE k % 2 = 0
+UNION ALL SELECT 'C', 'DO NOT MODIFY', 'do not  modify ' || (SELECT arg_min(k, 'm/a' || k || '.py') FROM s WHERE k % 2 = 0) FROM s WHERE k % 2 = 0
+UNION ALL SELECT 'm/a' || k || '.ts', 'DECISION:USE-' || k, 'decision:use-' || k || ' always' FROM s WHERE k % 2 = 1)
+SELECT DISTINCT symbol, 'mention' AS source_type, ref, 0.95::DOUBLE AS confidence, text FROM m""")
+def mention_links(spark, sf):
+    """Comments that name decisions, in a Python or TypeScript file for each supplier."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    py = s.where("k % 2 = 0").selectExpr("concat('m/a', k, '.py') AS path", "concat('# ADR-', k % 9, ': keep\ndef f', k, '(x):\n    y = x\n    return y  # Hotspot here\n\n\nclass C:\n    a = 1\n    # do not  modify ', k, '\n    b = 2\n') AS code")
+    ts = s.where("k % 2 = 1").selectExpr("concat('m/a', k, '.ts') AS path", "concat('// decision:use-', k, ' always\nfunction g() {}\n') AS code")
+    made = py.unionByName(ts)
+    return audit.mention_links(made, flows.file_symbols(made).withColumnRenamed("name", "symbol"))
+
+
+@query("""WITH n AS (SELECT '/EN/' || s_suppkey AS needle FROM supplier UNION SELECT substr(n_name, 1, 2) FROM nation UNION SELECT '7')
+SELECT DISTINCT url AS text, needle FROM pages JOIN n ON contains(lower(url), lower(needle))""")
+def contained(spark, sf):
+    """Addresses that contain words of two other tables, whatever the case."""
+    words = table(spark, sf, "supplier").selectExpr("concat('/EN/', s_suppkey) AS needle").union(table(spark, sf, "nation").selectExpr("substr(n_name, 1, 2)")).union(table(spark, sf, "region").selectExpr("'7'"))
+    return contain.contains_join(table(spark, sf, "pages").withColumnRenamed("url", "text"), words, fold=True)
+
+
+@query("SELECT p_partkey AS id, p_partkey % 7 = 0 OR p_size * 3 < 50 AS trivial FROM part")
+def trivial_files(spark, sf):
+    path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 7 == 0, "/version.py").otherwise("/main.py"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), audit.is_trivial(path, F.col("p_size") * 3).alias("trivial"))

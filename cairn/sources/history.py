@@ -47,6 +47,23 @@ def name_only(log: DataFrame) -> DataFrame:
     return rows.select(head[0].alias("commit"), head[1].alias("at"), F.explode(F.filter(F.slice("l", 2, F.size("l")), lambda x: F.trim(x) != "")).alias("file"))
 
 
+def hunk_log(commits: DataFrame) -> DataFrame:
+    """commits(value: `hash|date|author|subject`, and below it the diff without context, -U0) → commit, at, author, subject,
+    file, old_start, old_lines, start, lines: a row for each hunk. A log is read a commit a row with the reader's lineSep.
+
+    A deleted file keeps its old name; a hunk without a count has one line, and one of no lines stands after its start."""
+    parts = F.split("value", r"(?m)^diff --git ")
+    head = F.split(F.element_at(F.split(parts[0], "\n"), 1), r"\|", 4)
+    rows = commits.select(head[0].alias("commit"), head[1].alias("at"), head[2].alias("author"), head[3].alias("subject"), F.explode(F.slice(parts, 2, F.size(parts))).alias("part"))
+    new, old = (F.regexp_extract("part", rf"(?m)^{sign} (?:[ab]/)?(.+?)\r?$", 1) for sign in (r"\+\+\+", "---"))
+    number = lambda k: F.regexp_extract_all("part", F.lit(r"(?m)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"), F.lit(k))
+    names = ("old_start", "old_lines", "start", "lines")
+    hunks = F.explode(F.arrays_zip(*(number(k + 1).alias(n) for k, n in enumerate(names)))).alias("h")
+    rows = rows.select("commit", "at", "author", "subject", F.when(new == "/dev/null", old).otherwise(new).alias("file"), hunks)
+    whole = lambda n: F.when(F.col(f"h.{n}") == "", 1).otherwise(F.col(f"h.{n}").try_cast("long")).cast("long").alias(n)
+    return rows.select("commit", "at", "author", "subject", "file", *map(whole, names))
+
+
 def unified_diff(lines: DataFrame) -> DataFrame:
     """lines(diff, n, text), n in order → file, line, sign, text, new_line: added and removed lines with their file.
 
