@@ -123,7 +123,7 @@ def sibling_conventions(spark, sf):
 # ---- histories: an order is a commit of its customer's file. The first of a file writes five lines; each other takes one of
 # lines 2 to 4 for two of its own, and line 5 for none to two.
 
-_COMMITS = "o AS (SELECT o_orderkey AS c, o_custkey AS f, o_orderdate AS "at", o_clerk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS s FROM (SELECT *, o_orderstatus AS o_clerk FROM orders))"
+_COMMITS = "o AS (SELECT o_orderkey AS c, o_custkey AS f, o_orderdate AS day, o_orderstatus AS who, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS s FROM orders)"
 _REPLAY = f"""RECURSIVE {_COMMITS}, w AS (SELECT f, 1::BIGINT AS s, [c, c, c, c, c] AS l FROM o WHERE s = 1
 UNION ALL SELECT w.f, o.s, list_concat(list_concat(list_concat(l[1:c % 3 + 1], [c, c]), l[c % 3 + 3:4]), list_concat(CASE c % 3 WHEN 0 THEN [] WHEN 1 THEN [c] ELSE [c, c] END, l[6:])) FROM w JOIN o ON o.f = w.f AND o.s = w.s + 1),
 last AS (SELECT f, arg_max(l, s) AS l FROM w GROUP BY f), n AS (SELECT f, unnest(l) AS c, unnest(generate_series(1, len(l))) AS i FROM last)"""
@@ -139,7 +139,7 @@ def _log(spark, sf) -> DataFrame:
     return o.selectExpr(f"concat({head}, IF(s = 1, {first}, {other})) AS value")
 
 
-@query(f"""WITH {_COMMITS} SELECT c::VARCHAR AS commit, strftime("at", '%Y-%m-%d') AS "at", o_clerk AS author, 'change ' || c AS subject, 'f' || f || '.py' AS file, h[1]::BIGINT AS old_start, h[2]::BIGINT AS old_lines, h[3]::BIGINT AS start, h[4]::BIGINT AS lines FROM (
+@query(f"""WITH {_COMMITS} SELECT c::VARCHAR AS commit, strftime(day, '%Y-%m-%d') AS "at", who AS author, 'change ' || c AS subject, 'f' || f || '.py' AS file, h[1]::BIGINT AS old_start, h[2]::BIGINT AS old_lines, h[3]::BIGINT AS start, h[4]::BIGINT AS lines FROM (
 SELECT *, unnest(CASE WHEN s = 1 THEN [[0, 0, 1, 5]] ELSE [[c % 3 + 2, 1, c % 3 + 2, 2], [5, 1, CASE c % 3 WHEN 0 THEN 5 ELSE 6 END, c % 3]] END) AS h FROM o)""")
 def hunk_log(spark, sf):
     return history.hunk_log(_log(spark, sf))
