@@ -34,13 +34,14 @@ def prune_comments(code: Column, mark: str = "#", more_tags: tuple[str, ...] = (
     become one. mark is `#`, or `//` for the C family (whose extra tag is `nocheck`)."""
     tail = f"  {mark}"
 
-    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")  # noqa: E731  (tabs, too)
+    white = F.lit(" \t\n\x0b\f\r")
+    strip = lambda x: F.btrim(x, white)
 
     def line(x: Column) -> Column:
         at = F.locate(tail, x) if isinstance(x, str) else F.instr(x, F.lit(tail))
         rest = F.substring(x, at + len(tail), F.length(x))
         cut = (at > 0) & ~F.startswith(strip(x), F.lit(mark)) & ~_any(rest, KEEP_TAGS if mark == "#" else KEEP_TAGS[:3])
-        return F.when(strip(x) == "", "").when(cut, F.regexp_replace(F.substring(x, F.lit(1), at - 1), r"\s+$", "")).otherwise(x)
+        return F.when(strip(x) == "", "").when(cut, F.rtrim(F.substring(x, F.lit(1), at - 1), white)).otherwise(x)
 
     tags = KEEP_TAGS + more_tags if mark == "#" else KEEP_TAGS[:3] + ("nocheck",)
     kept = F.filter(F.split(code, "\n"), lambda x: ~F.startswith(strip(x), F.lit(mark)) | _any(x, tags))

@@ -69,12 +69,13 @@ def light_bundle(spark, sf):
     return briefs.light_bundle(_cosine(spark, sf).select("id", "score", (10 + F.col("label")).cast("long").alias("tokens")), 90)
 
 
-@query(f"""WITH RECURSIVE {SQL_COS}, r AS (SELECT id, score, 10 + label * 7 AS tokens, row_number() OVER (ORDER BY score DESC, id) AS k FROM cos),
-f AS (SELECT 0::BIGINT AS k, 0::BIGINT AS spent, 0 AS taken, false AS kept, NULL::BIGINT AS id, NULL::DOUBLE AS score, NULL::BIGINT AS tokens
-UNION ALL SELECT r.k, spent + CASE WHEN taken < 2 OR spent + r.tokens <= 400 THEN r.tokens ELSE 0 END, taken + (taken < 2 OR spent + r.tokens <= 400)::INT, taken < 2 OR spent + r.tokens <= 400, r.id, r.score, r.tokens FROM f JOIN r ON r.k = f.k + 1)
-SELECT 1 AS "group", id, score, tokens FROM f WHERE kept""")
+@query(f"""WITH RECURSIVE {SQL_COS}, r AS (SELECT label, id, score, 10 + id % 7 * 9 AS tokens, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS k FROM cos),
+f AS (SELECT label, 0::BIGINT AS k, 0::BIGINT AS spent, 0 AS taken, false AS kept, NULL::BIGINT AS id, NULL::DOUBLE AS score, NULL::BIGINT AS tokens FROM (SELECT DISTINCT label FROM r)
+UNION ALL SELECT r.label, r.k, spent + CASE WHEN taken < 2 OR spent + r.tokens <= 90 THEN r.tokens ELSE 0 END, taken + (taken < 2 OR spent + r.tokens <= 90)::INT, taken < 2 OR spent + r.tokens <= 90, r.id, r.score, r.tokens FROM f JOIN r ON r.label = f.label AND r.k = f.k + 1)
+SELECT label AS "group", id, score, tokens FROM f WHERE kept""")
 def within_budget(spark, sf):
-    return retrieval.within_budget(_cosine(spark, sf).select(F.lit(1).alias("group"), "id", "score", (10 + F.col("label") * 7).cast("long").alias("tokens")), 400)
+    """What a greedy reader of each label keeps."""
+    return retrieval.within_budget(_cosine(spark, sf).select(F.col("label").alias("group"), "id", "score", (10 + F.col("id") % 7 * 9).cast("long").alias("tokens")), 90)
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size = 7) AND p_size <> 7")

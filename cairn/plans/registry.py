@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import bundle, fixture, more, sources  # noqa: F401  (they add to the same tables)
+from cairn.plans import bundle, changes, fixture, more, sources  # noqa: F401  (they add to the same tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
