@@ -320,7 +320,7 @@ def _with_nodes(docs: DataFrame, width: int) -> DataFrame:
     return core.mapInArrow(run, T.StructType([*core.schema.fields, T.StructField("node", T.BinaryType())]))
 
 
-def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     """The rows of docs, all columns, that stay: of each class the document with the smallest doc_id, once if it is
     repeated; of rows with that doc_id but unequal texts, the least text. Rows without words are a class with those of
     equal doc_id and text. Rows with a null doc_id can't be told apart and stay."""

@@ -31,7 +31,7 @@ def test_every_stage_like_brute_force(spark):
     assert got[0] == want
     want = {r[0]: r[1] for r in without_boilerplate([(i, t, source[i][1]) for i, t in want.items()], 10)}
     assert got[1] == want
-    keep = {r[0] for r in classes(list(want.items()), 80, 5) if r[3] or r[2] is None}
+    keep = {r[0] for r in classes(list(want.items()), 80, 2) if r[3] or r[2] is None}
     want = {i: t for i, t in want.items() if i in keep}
     assert got[2] == want
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
