@@ -8,7 +8,7 @@ characters; `share` is the value that separates the training rows best.
 There are no line labels, so training starts from `labels.quality` of the document for all its lines; then twice, the
 lines of low-quality documents are labelled anew by the chain (at least one stays boilerplate) and it is trained again.
 The training rows are bounded: at most `per_class` rows of each quality, with the smallest hashes of their ids, and
-`train_lines` lines of each.
+of each the first `train_lines` lines with text among its first 4 * `train_lines` lines.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not kept; texts of one long line and of
 very many lines are decoded whole; without labels of both classes everything that passes the base rule is kept;
