@@ -1,8 +1,8 @@
 """Source files that Spark derives from the supplier table, and the code operators over them.
 
 A supplier k is a file, in Python, TypeScript or Go by k % 3. Its function fk hands its argument to that of the next
-supplier of its ring: five by five of a nation, in a circle. Some files have a dangerous call (k % 4 = 1), some a function
-that reads outside input (balance below 1000), some hand on a constant instead (k % 5 = 2), and some have a test (k % 6 = 0).
+supplier of its ring: five by five, in a circle. Some files have a dangerous call (k % 4 = 1), some a function that reads
+outside input (k % 5 = 0, or a balance below 1000), some hand on a constant instead (k % 5 = 2), and some have a test (k % 6 = 0).
 The files are written as a table, which the operators read.
 """
 
@@ -24,10 +24,9 @@ _GO = "concat('package src\n\nimport \"os/exec\"\n\nfunc f', k, '(x string) stri
 
 def files(spark, sf: str) -> DataFrame:
     """path, code."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") < 1000).alias("source"))
-    place = F.row_number().over(Window.partitionBy("nation").orderBy("k")) - 1
-    s = s.withColumn("ring", F.floor(place / 5))
-    ring = Window.partitionBy("nation", "ring").orderBy("k")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), ((F.col("s_acctbal") < 1000) | (F.col("s_suppkey") % 5 == 0)).alias("source"))
+    s = s.withColumn("ring", F.expr("k div 5"))
+    ring = Window.partitionBy("ring").orderBy("k")
     s = s.withColumn("next", F.coalesce(F.lead("k").over(ring), F.first("k").over(ring)))
     s = s.selectExpr("k", "next", "source", "k % 4 = 1 AS sink", "k % 5 = 2 AS cut")
     made = s.select(F.expr("concat('src/f', k, element_at(array('.py', '.ts', '.go'), cast(k % 3 + 1 AS int)))").alias("path"), F.expr(f"CASE k % 3 WHEN 0 THEN {_PY} WHEN 1 THEN {_TS} ELSE {_GO} END").alias("code"))
@@ -35,9 +34,9 @@ def files(spark, sf: str) -> DataFrame:
     return stored(made.unionByName(tests), "files")
 
 
-_SQL = """RECURSIVE s AS (SELECT s_suppkey AS k, s_nationkey AS nation, s_acctbal < 1000 AS source, s_suppkey % 4 = 1 AS sink, s_suppkey % 5 = 2 AS cut, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 5 AS ring FROM supplier),
-f AS (SELECT *, coalesce(lead(k) OVER w, first(k) OVER w) AS next, count(*) OVER (PARTITION BY nation, ring) AS size, 'src/f' || k || CASE k % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END AS path,
-  CASE k % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 5 END + sink::INT AS ln FROM s WINDOW w AS (PARTITION BY nation, ring ORDER BY k))"""
+_SQL = """RECURSIVE s AS (SELECT s_suppkey AS k, s_acctbal < 1000 OR s_suppkey % 5 = 0 AS source, s_suppkey % 4 = 1 AS sink, s_suppkey % 5 = 2 AS cut, s_suppkey // 5 AS ring FROM supplier),
+f AS (SELECT *, coalesce(lead(k) OVER w, first(k) OVER w) AS next, count(*) OVER (PARTITION BY ring) AS size, 'src/f' || k || CASE k % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END AS path,
+  CASE k % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 5 END + sink::INT AS ln FROM s WINDOW w AS (PARTITION BY ring ORDER BY k))"""
 #: Lines: a function begins at `ln - sink`, has two lines more, one more with a sink, and one more for its brace.
 
 
@@ -108,16 +107,14 @@ def ai_assets(spark, sf):
     return conventions.ai_assets(s.selectExpr("concat('bots/b', k, '.py') AS path", f"{body} AS code"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS nation, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 5 AS ring FROM supplier),
-g AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (k % 5 <> 2) OVER w AS guarded FROM s WINDOW w AS (PARTITION BY nation, ring))
-SELECT 'api/n' || nation || '_' || ring || '.py' AS path, 'put_' || k AS name FROM g WHERE n >= 3 AND guarded >= 0.7 * n AND k % 5 = 2""")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey // 5 AS ring FROM supplier),
+g AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (k % 5 <> 2) OVER w AS guarded FROM s WINDOW w AS (PARTITION BY ring))
+SELECT 'api/r' || ring || '.py' AS path, 'put_' || k AS name FROM g WHERE n >= 3 AND guarded >= 0.7 * n AND k % 5 = 2""")
 def sibling_conventions(spark, sf):
-    """Functions without the check that their file's others begin with; a file holds five suppliers of a nation."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))
-    s = s.withColumn("ring", F.expr("cast((row_number() OVER (PARTITION BY nation ORDER BY k) - 1) div 5 AS int)"))
-    one = s.selectExpr("nation", "ring", "concat('def put_', k, '(x):\n', IF(k % 5 = 2, '', '    assert isinstance(x, int)\n'), '    return x\n\n') AS body")
-    made = one.groupBy("nation", "ring").agg(F.array_join(F.collect_list("body"), "").alias("code"))
-    return conventions.unguarded(made.selectExpr("concat('api/n', nation, '_', ring, '.py') AS path", "code"))
+    """Functions without the check that their file's others begin with; a file holds five suppliers."""
+    one = table(spark, sf, "supplier").selectExpr("s_suppkey div 5 AS ring", "concat('def put_', s_suppkey, '(x):\\n', IF(s_suppkey % 5 = 2, '', '    assert isinstance(x, int)\\n'), '    return x\\n\\n') AS body")
+    made = one.groupBy("ring").agg(F.array_join(F.collect_list("body"), "").alias("code"))  # five at most
+    return conventions.unguarded(made.selectExpr("concat('api/r', ring, '.py') AS path", "code"))
 
 
 # ---- histories: an order is a commit of its customer's file. The first of a file writes five lines; each other takes one of
