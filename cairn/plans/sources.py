@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import code, conventions, flows
-from cairn.operators import audit, blame as B, contain, taint
+from cairn.operators import audit, blame as B, contain, imports, taint
 from cairn.plans.fixture import query
 from cairn.session import stored, table
 from cairn.sources import history
@@ -191,3 +191,16 @@ def contained(spark, sf):
 def trivial_files(spark, sf):
     path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 7 == 0, "/version.py").otherwise("/main.py"))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), audit.is_trivial(path, F.col("p_size") * 3).alias("trivial"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part), f AS (SELECT k, 'src/a' || k % 10 || '/m' || k || CASE k % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.js' ELSE '.tsx' END AS path FROM p)
+SELECT a.path, '../' || (CASE a.k % 3 WHEN 1 THEN '../' ELSE '' END) || 'a' || b.k % 10 || '/m' || b.k AS module, b.path AS target FROM f AS a JOIN f AS b ON b.k = a.k + 1
+UNION ALL SELECT 'lib/a' || k || '.py', 'pkg' || k % 7 || '.n' || (k + 7), 'lib/pkg' || k % 7 || '/n' || (k + 7) || '.py' FROM p WHERE k + 7 IN (SELECT k FROM p)""")
+def resolved_imports(spark, sf):
+    """Relative imports of each part's next, and package imports in Python, to the files they mean."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    tail = "CASE k % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.js' ELSE '.tsx' END"
+    ts = p.selectExpr(f"concat('src/a', k % 10, '/m', k, {tail}) AS path", "concat('../', IF(k % 3 = 1, '../', ''), 'a', (k + 1) % 10, '/m', k + 1) AS module")
+    py = p.selectExpr("concat('lib/a', k, '.py') AS path", "concat('pkg', k % 7, '.n', k + 7) AS module")
+    files = ts.select("path").union(py.select("path")).union(p.selectExpr("concat('lib/pkg', k % 7, '/n', k, '.py')"))
+    return imports.resolve(ts.unionByName(py), files)

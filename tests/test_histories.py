@@ -108,3 +108,16 @@ def test_mentions(spark):
     assert {tuple(r)[:3] for r in links.collect()} == {("f", "mention", "ADR-12"), ("f", "mention", "HOTSPOT"), ("C", "mention", "DO NOT TOUCH"), ("g", "mention", "DECISION:NO-CACHE"), ("b.go", "mention", "ADR-3"), ("bad.py", "mention", "ADR-9")}
     old = spark.createDataFrame([("gone", "mention", "ADR-1", 0.95, ""), ("f", "commit", "ab", 0.8, "")], links.schema)
     assert audit.rebuilt(old, links).where("symbol = 'gone'").count() == 0 and audit.rebuilt(old, links).count() == 7
+
+
+def test_imports(spark):
+    from cairn.operators import imports
+
+    files = ["web/a.ts", "web/b/index.tsx", "web/b/c.js", "web/types.d.ts", "lib/x/util.py", "app/x/util.py", "app/x/__init__.py", "app/main.py", "app/x/deep/m.py", "go/pkg/auth.go", "x.ts"]
+    asked = [("web/a.ts", "./b"), ("web/a.ts", "./b/c.js"), ("web/b/c.js", "../a"), ("web/b/c.js", ".."), ("web/a.ts", "./types"), ("web/a.ts", "./gone"), ("web/a.ts", "react"), ("app/main.py", "x.util"), ("lib/x/util.py", "util"), ("app/x/deep/m.py", "..util"), ("app/x/deep/m.py", "x"), ("x.ts", "@/web/a"), ("x.ts", "../../x"), ("go/main.go", "pkg/auth"), ("x.ts", None), ("x.ts", "")]
+    got = imports.resolve(spark.createDataFrame(asked + asked[:1], "path string, module string"), spark.createDataFrame([(f,) for f in files] + [("x.ts",), (None,)], "path string"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("web/a.ts", "./b", "web/b/index.tsx"), ("web/a.ts", "./b/c.js", "web/b/c.js"), ("web/b/c.js", "../a", "web/a.ts"), ("web/a.ts", "./types", "web/types.d.ts"), ("app/main.py", "x.util", "app/x/util.py"),
+        ("lib/x/util.py", "util", "app/x/util.py"), ("app/x/deep/m.py", "..util", "app/x/util.py"), ("app/x/deep/m.py", "x", "app/x/__init__.py"), ("x.ts", "@/web/a", "web/a.ts"), ("go/main.go", "pkg/auth", "go/pkg/auth.go"),
+    }
+    assert imports.resolve(spark.createDataFrame(asked, "path string, module string").limit(0), spark.createDataFrame([(f,) for f in files], "path string")).count() == 0
