@@ -109,9 +109,11 @@ def commit_links(commits: DataFrame, symbols: DataFrame, keywords: list[str], ca
 
 
 def scoped_context(links: DataFrame, keys: DataFrame, k: int = 10) -> DataFrame:
-    """links of the wanted keys(file), the k most confident of each."""
+    """links of the wanted keys(file), the k most confident of each; of a symbol's links with one ref the most confident, of
+    equals the first by description."""
     by = Window.partitionBy("file").orderBy(F.desc("confidence"), "ref", "symbol")
-    rows = links.join(keys.select("file").distinct(), "file", "left_semi").dropDuplicates(["file", "symbol", "ref"])
+    one = Window.partitionBy("file", "symbol", "ref").orderBy(F.desc("confidence"), *(c for c in links.columns if c not in ("file", "symbol", "ref", "confidence")))
+    rows = links.join(keys.select("file").distinct(), "file", "left_semi").withColumn("k", F.row_number().over(one)).where("k = 1")
     return rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= k).select(*links.columns)
 
 

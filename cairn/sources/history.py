@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # Suffixes of sources, names of generated files, directories that are skipped.
 SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", ".go")
 GENERATED = r"min\.js|min\.css|\.min\.|autogen|generated"
-SKIPPED = ("node_modules", ".git", "venv", ".venv", "__pycache__", "dist", "build")
+SKIPPED = (
+    ".git", "__pycache__", "venv", ".venv", "node_modules", ".pytest_cache", ".next", "dist", "build", "target", "out", ".svelte-kit",
+    ".nuxt", ".docusaurus", "package", "vendor", ".idea", ".vscode", "docs", "doc", "locale", "locales",
+)
 MOST_BYTES = 1_048_576
 
 
@@ -19,7 +22,8 @@ def source_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = ())
     ok = F.lit(False)
     for s in SUFFIXES:
         ok = ok | name.endswith(s)
-    skip = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED + tuple(excluded))))
+    below = F.element_at(F.split("path", rf"\Q{root.rstrip('/')}\E/", 2), -1)  # where the tree itself lies doesn't matter
+    skip = F.arrays_overlap(F.split(below, "/"), F.array(*map(F.lit, SKIPPED + tuple(excluded))))
     kept = files.where((F.col("length") <= MOST_BYTES) & ok & ~name.rlike(GENERATED) & ~skip)
     code = F.decode(F.col("content"), "UTF-8")
     return kept.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), code.alias("code"), (F.size(F.split(code, "\n")) - 1).alias("lines"))

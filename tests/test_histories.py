@@ -121,3 +121,18 @@ def test_imports(spark):
         ("lib/x/util.py", "util", "app/x/util.py"), ("app/x/deep/m.py", "..util", "app/x/util.py"), ("app/x/deep/m.py", "x", "app/x/__init__.py"), ("x.ts", "@/web/a", "web/a.ts"), ("go/main.go", "pkg/auth", "go/pkg/auth.go"),
     }
     assert imports.resolve(spark.createDataFrame(asked, "path string, module string").limit(0), spark.createDataFrame([(f,) for f in files], "path string")).count() == 0
+
+
+def test_tree_skips_folders_below_its_root_only(spark, tmp_path):
+    root = tmp_path / "build" / "repo"
+    for name in ("a.py", "vendor/b.py", "src/target/c.go", "src/d.ts", "docs/e.py", "src/f.min.js", "src/g.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x\n")
+    got = {r["path"].split("/repo/")[1] for r in history.source_tree(spark, str(root)).collect()}
+    assert got == {"a.py", "src/d.ts"}
+
+
+def test_scoped_context_keeps_the_most_confident_of_a_ref(spark):
+    links = spark.createDataFrame([("s", "f", "r", 0.5, "low"), ("s", "f", "r", 0.9, "z"), ("s", "f", "r", 0.9, "a"), ("t", "g", "r", 1.0, "")], "symbol string, file string, ref string, confidence double, description string")
+    got = audit.scoped_context(links, spark.createDataFrame([("f",)], "file string")).collect()
+    assert [tuple(r) for r in got] == [("s", "f", "r", 0.9, "a")]
