@@ -169,6 +169,27 @@ def taint(path: str, code: str, parameters: bool = True) -> list[tuple]:
     return out
 
 
+def names_used(path: str, code: str) -> list[tuple]:
+    """(path, name, used) of a file's functions, classes and assigned names at the top level, for each name that they read;
+    used is null in a row of its own for each definition. Of equal names the last definition counts; none if the file has
+    errors."""
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    defined: dict[str, ast.AST] = {}
+    for node in tree.body:
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            defined[node.name] = node
+        elif isinstance(node, ast.Assign):
+            defined |= {t.id: node for t in node.targets if isinstance(t, ast.Name)}
+    out = []
+    for name, node in defined.items():
+        read = sorted({x.id for x in ast.walk(node) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)})
+        out += [(path, name, used) for used in [None, *read]]
+    return out
+
+
 def skeleton(code: str) -> str:
     """The file with function bodies reduced to their docstring and `...`; unchanged if it has errors."""
     try:
@@ -206,5 +227,9 @@ def python_taint(files: DataFrame) -> DataFrame:
     return _rows(files, taint, "path string, function string, variable string, sink string, line long")
 
 
+def name_uses(files: DataFrame) -> DataFrame:
+    return _rows(files, names_used, "path string, name string, used string")
+
+
 def skeletonize(files: DataFrame) -> DataFrame:
     return _rows(files, lambda p, c: [(p, skeleton(c))], "path string, code string")

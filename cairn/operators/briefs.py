@@ -68,23 +68,6 @@ def homonyms(symbols: DataFrame, picked: DataFrame) -> DataFrame:
     return symbols.join(names, "name", "left_semi").join(picked, "id", "left_anti").select("id", "name")
 
 
-def semantic_links(chunks: DataFrame, vectors: DataFrame, gate: float = 0.72, block: int = 1000) -> DataFrame:
-    """chunks(chunk, c: vector), a query set, and vectors(id, embedding) → chunk, id, confidence of close pairs.
-
-    The query set meets all vectors in blocks of about `block`, so what is broadcast has a bound."""
-    from cairn.operators.retrieval import dot
-
-    lots = -(-chunks.count() // block) or 1
-    cos = F.round(dot(F.col("embedding"), F.col("c")), 6)
-    out = None
-    for k in range(lots):
-        part = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(lots)) == k)
-        rows = vectors.join(F.broadcast(part), F.lit(True)).withColumn("cos", cos).where(F.col("cos") >= gate)
-        rows = rows.select("chunk", "id", F.round(F.greatest(F.lit(0.55), F.least(F.lit(0.75), 0.85 * F.col("cos"))), 5).alias("confidence"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def hotspot_links(hot: DataFrame, symbols: DataFrame, per_item: int = 20) -> DataFrame:
     """hot(item, freq, risk), symbols(item, symbol) → item, symbol of risky items, the first symbols of each."""
     live = hot.where("risk > 0.5 AND freq >= 10").select("item")

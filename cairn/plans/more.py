@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import audit, briefs, mining, retrieval
+from cairn.operators import audit, briefs, mining, quantise, retrieval
 from cairn.plans.fixture import SQL_COS, SQL_EDGES, SQL_HOT, SQL_LINKS, _cosine, _links, brand_edges, day, edges, part_hotspots, query, sql_brands, touch
 from cairn.functions import text as X
 from cairn.session import table
@@ -89,7 +89,7 @@ SELECT chunk, id, round(greatest(0.55, least(0.75, 0.85 * cos)), 5)::DOUBLE AS c
 def semantic_links(spark, sf):
     e = table(spark, sf, "embeddings")
     chunks = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("c"))  # the query set
-    return briefs.semantic_links(chunks, e.withColumnRenamed("vec_id", "id"))
+    return quantise.semantic_links(chunks, e.withColumnRenamed("vec_id", "id"))
 
 
 @query(f"WITH {SQL_HOT}, s AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS symbol FROM lineitem WHERE l_partkey IN (SELECT item FROM hot WHERE risk > 0.5 AND freq >= 10)) SELECT item, symbol FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY symbol) AS k FROM s) WHERE k <= 20")

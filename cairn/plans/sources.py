@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import code, conventions, flows
-from cairn.operators import audit, blame as B, contain, imports, taint
+from cairn.operators import audit, blame as B, closure, contain, imports, taint
 from cairn.plans.fixture import query
 from cairn.session import stored, table
 from cairn.sources import history
@@ -117,6 +117,23 @@ def sibling_conventions(spark, sf):
     return conventions.unguarded(made.selectExpr("concat('api/r', ring, '.py') AS path", "code"))
 
 
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS k, s_suppkey // 5 AS ring FROM supplier), n AS (SELECT *, lead(k) OVER w AS next, first(k) OVER w AS head FROM s WINDOW w AS (PARTITION BY ring ORDER BY k)),
+u AS (SELECT ring, 'f' || k AS name, 'f' || coalesce(next, head) AS used FROM n WHERE k % 5 <> 3 UNION ALL SELECT ring, 'f' || k, 'LIMIT' FROM n UNION ALL SELECT ring, 'K', 'f' || k FROM n WHERE k % 5 = 4),
+c AS (SELECT DISTINCT ring, 'f' || head AS name FROM n UNION SELECT ring, 'gone' FROM s UNION SELECT ring, used FROM c JOIN u USING (ring, name))
+SELECT 'lib/r' || ring || '.py' AS path, name FROM c""")
+def dependency_closure(spark, sf):
+    """What the first function of each file needs of it. A file holds five suppliers' functions, a constant and a class; each
+    function calls the next, in a circle, but for one that calls none."""
+    one = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).selectExpr("k", "k div 5 AS ring")
+    ring = Window.partitionBy("ring").orderBy("k")
+    one = one.withColumn("next", F.coalesce(F.lead("k").over(ring), F.first("k").over(ring)))
+    one = one.selectExpr("ring", "concat('def f', k, '(self):\n    return LIMIT', IF(k % 5 = 3, '', concat(' + f', next, '(self)')), '\n\n', IF(k % 5 = 4, concat('class K:\n    x = f', k, '\n\n'), '')) AS body")
+    made = one.groupBy("ring").agg(F.concat(F.lit("import os\n\nLIMIT = 1\nSPARE = LIMIT\n\n"), F.array_join(F.collect_list("body"), "")).alias("code"))  # five at most
+    initial = table(spark, sf, "supplier").groupBy(F.expr("s_suppkey div 5").alias("ring")).agg(F.min("s_suppkey").alias("k"))
+    initial = initial.selectExpr("concat('lib/r', ring, '.py') AS path", "explode(array(concat('f', k), 'gone')) AS name")
+    return closure.dependency_closure(code.name_uses(made.selectExpr("concat('lib/r', ring, '.py') AS path", "code")), initial)
+
+
 # ---- histories: an order is a commit of its customer's file. The first of a file writes five lines; each other takes one of
 # lines 2 to 4 for two of its own, and line 5 for none to two.
 

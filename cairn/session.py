@@ -34,8 +34,20 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back, so that its lineage ends there."""
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once to the shared folder and read back, so that its lineage ends there; and its path."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table of `kept`."""
+    return kept(df, name)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes kept tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
