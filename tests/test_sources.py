@@ -144,10 +144,12 @@ def close(spark):
     return spark.createDataFrame([*rows, (9999, None)], "id long, embedding array<float>").repartition(4), want
 
 
-def test_quantised_links_lose_nothing_without_probes(spark, close):
+@pytest.mark.parametrize("lot", [2048, 7])
+def test_quantised_links_lose_nothing_without_probes(spark, close, lot, monkeypatch):
+    monkeypatch.setattr(quantise, "LOT", lot)
     vectors, want = close
     chunks = vectors.where("id % 20 = 0").selectExpr("id AS chunk", "embedding AS c")
-    for cells in (1, 60):
+    for cells in (1, 60)[: 1 + (lot > 7)]:
         got = quantise.semantic_links(chunks, vectors, cells=cells).collect()
         assert {(r.chunk, r.id) for r in got} == set(want) and len(got) == len(want)
         assert all(abs(r.confidence - min(0.75, max(0.55, 0.85 * want[r.chunk, r.id]))) < 2e-5 for r in got)
