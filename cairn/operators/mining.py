@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 FIX = r"\b(fix(es|ed|ing)?|bug(fix)?|regression)\b"
 
 
-def baskets(touch: DataFrame, max_items: int | None) -> DataFrame:
+def baskets(touch: DataFrame, max_items: int | None, partitions: int | None = None) -> DataFrame:
     """touch(basket, item, ts) → basket, items (sorted, distinct) and ts (latest), without baskets of over max_items.
 
-    One exchange by basket serves the distinct, the cap and the list; a large basket is dropped before it is listed.
+    One exchange by basket serves the distinct, the cap and the list; a large basket is dropped before it is listed. It has
+    `partitions` partitions (none is made if touch already has as many by basket); without, adaptive plans merge them until
+    there are as few as cores, and the pairs of a task grow with the table.
     """
     by = Window.partitionBy("basket")
-    rows = touch.repartition("basket").groupBy("basket", "item").agg(F.max("ts").alias("ts"))
+    rows = (touch.repartition(partitions, "basket") if partitions else touch.repartition("basket")).groupBy("basket", "item").agg(F.max("ts").alias("ts"))
     if max_items is not None:
         rows = rows.withColumn("n", F.count("*").over(by)).where(F.col("n") <= max_items)
     return rows.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"), F.max("ts").alias("ts"))
@@ -31,14 +33,14 @@ def _pairs() -> Column:
     return F.flatten(F.transform("items", lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
 
-def pair_counts(touch: DataFrame, max_items: int | None) -> DataFrame:
+def pair_counts(touch: DataFrame, max_items: int | None, partitions: int | None = None) -> DataFrame:
     """item_a < item_b, support, last_seen of items in one basket."""
-    return baskets(touch, max_items).select("ts", F.explode(_pairs()).alias("p")).groupBy(F.col("p.a").alias("item_a"), F.col("p.b").alias("item_b")).agg(F.count("*").alias("support"), F.max("ts").alias("last_seen"))
+    return baskets(touch, max_items, partitions).select("ts", F.explode(_pairs()).alias("p")).groupBy(F.col("p.a").alias("item_a"), F.col("p.b").alias("item_b")).agg(F.count("*").alias("support"), F.max("ts").alias("last_seen"))
 
 
-def co_change(touch: DataFrame, max_items: int = 15, min_support: int = 3) -> DataFrame:
+def co_change(touch: DataFrame, max_items: int = 15, min_support: int = 3, partitions: int | None = None) -> DataFrame:
     """touch(basket, item, ts) → item_a, item_b, support, last_seen. last_seen is the basket's own time."""
-    return pair_counts(touch, max_items).where(F.col("support") >= min_support)
+    return pair_counts(touch, max_items, partitions).where(F.col("support") >= min_support)
 
 
 def item_totals(touch: DataFrame) -> DataFrame:
@@ -54,9 +56,9 @@ def virtual_edges(pairs: DataFrame, totals: DataFrame, min_support: int = 5, min
     return rows.where(F.col("rate") > min_rate).select("item_a", "item_b", "rate", (2 - F.col("rate")).alias("depth"), "support")
 
 
-def symbol_co_change(touch: DataFrame, min_support: int = 3, min_conf: float = 0.40, max_items: int | None = None) -> DataFrame:
+def symbol_co_change(touch: DataFrame, min_support: int = 3, min_conf: float = 0.40, max_items: int | None = None, partitions: int | None = None) -> DataFrame:
     """Directed rules src → dst with confidence support / baskets of src."""
-    pairs = pair_counts(touch, max_items).where(F.col("support") >= min_support)
+    pairs = pair_counts(touch, max_items, partitions).where(F.col("support") >= min_support)
     both = F.explode(F.array(F.struct(F.col("item_a").alias("src"), F.col("item_b").alias("dst")), F.struct(F.col("item_b").alias("src"), F.col("item_a").alias("dst"))))
     rules = pairs.select(both.alias("r"), "support", "last_seen").select("r.src", "r.dst", "support", "last_seen")
     totals = item_totals(touch).select(F.col("item").alias("src"), F.col("freq").alias("total_src"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import audit, graph, mining, retrieval
-from cairn.session import table
+from cairn.session import parts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,14 +38,17 @@ def day(c: str):
 # ---- shared inputs
 
 
-def touch(spark: SparkSession, sf: str, item: str) -> DataFrame:
-    """basket (order), item and ts."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col(item).alias("item")).distinct()
-    return lines.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("basket"), F.col("o_orderdate").alias("ts")), "basket")
+def touch(spark: SparkSession, sf: str, item: str, partitions: int | None = None) -> DataFrame:
+    """basket (order), item and ts, in as many partitions by basket as the number of lines asks for."""
+    lines = table(spark, sf, "lineitem")
+    n = partitions or parts(lines)
+    lines = lines.select(F.col("l_orderkey").alias("basket"), F.col(item).alias("item")).repartition(n, "basket").distinct()
+    return lines.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("basket"), F.col("o_orderdate").alias("ts")).repartition(n, "basket"), "basket")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.co_change(touch(spark, sf, "l_suppkey"), min_support=30)
+    n = parts(table(spark, sf, "lineitem"))
+    return mining.co_change(touch(spark, sf, "l_suppkey", n), min_support=30, partitions=n)
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a partition where its number is given, so that a task needs as much memory on a large table as on a small one.
+PART_ROWS = 250_000
+
 
 def session(master: str = "local[8]", **conf: str) -> SparkSession:
     """A session with adaptive plans and skew joins on, in UTC; conf overrides."""
@@ -23,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(df: DataFrame, rows: int = PART_ROWS) -> int:
+    """How many partitions of at most about `rows` rows hold df, one for each core at least. Parquet tables are counted
+    from their footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset, a temporary folder if all tasks run on this machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,6 +8,8 @@ import pytest
 
 from cairn.functions import code, text
 from cairn.operators import audit, briefs, graph, mining, retrieval
+from cairn.plans import fixture
+from cairn.session import parts
 from pyspark.sql import functions as F
 
 
@@ -29,6 +31,26 @@ def test_co_change_caps_baskets_and_keeps_own_time(touch):
     assert rows(mining.symbol_co_change(touch, max_items=15)) == [("a", "b", 4, 5, 0.8, "05"), ("b", "a", 4, 4, 1.0, "05")]
 
 
+def test_given_partitions_hold_and_change_no_pair(touch):
+    made = mining.baskets(touch, 15, 5)
+    assert made.rdd.getNumPartitions() == 5  # adaptive plans leave one where nothing is asked for
+    assert rows(made) == rows(mining.baskets(touch, 15))
+    assert rows(mining.co_change(touch, partitions=5)) == rows(mining.co_change(touch))
+    assert rows(mining.symbol_co_change(touch, max_items=15, partitions=5)) == rows(mining.symbol_co_change(touch, max_items=15))
+    spread = touch.repartition(5, "basket")
+    plan = mining.baskets(spread, 15, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_touches_take_more_partitions_as_lines_grow(spark, monkeypatch):
+    assert parts(spark.range(100), rows=2) == 50
+    counts = []
+    for n in (11, 22):
+        monkeypatch.setattr(fixture, "parts", lambda df, n=n: n)
+        counts.append(fixture.touch(spark, "/root/testdata/sf0.001", "l_suppkey").rdd.getNumPartitions())
+    assert counts == [11, 22]
+
+
 def test_hotspots_keep_ties(spark):
     n = dict(a=50, b=30, c=30, h=30, d=12, e=9, i=7, j=6, k=6, f=5, g=4)
     got = mining.hotspots(spark.createDataFrame(list(n.items()), "item string, freq long"))
