@@ -52,8 +52,9 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    t = touch(spark, sf, "l_suppkey")
-    return mining.virtual_edges(mining.co_change(t, min_support=5), mining.item_totals(t), 5, 0.05)
+    n = parts(table(spark, sf, "lineitem"))
+    t = touch(spark, sf, "l_suppkey", n)
+    return mining.virtual_edges(mining.co_change(t, min_support=5, partitions=n), mining.item_totals(t), 5, 0.05)
 
 
 def part_hotspots(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +63,8 @@ def part_hotspots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.symbol_co_change(touch(spark, sf, "l_partkey"), min_conf=0.05)
+    n = parts(table(spark, sf, "lineitem"))
+    return mining.symbol_co_change(touch(spark, sf, "l_partkey", n), min_conf=0.05, partitions=n)
 
 
 def brand_edges(spark: SparkSession, sf: str, quantity: int) -> DataFrame:
