@@ -9,6 +9,9 @@ a segment for each piece of the file that one commit wrote, not its history.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,34 +63,26 @@ def compose(before: list[Segment], after: list[Segment]) -> list[Segment]:
     return out
 
 
-def _folded(patches: DataFrame) -> DataFrame:
-    """Consecutive rows (file, at, commit, segments) of a file in each partition composed to one, with the first at and
-    commit."""
+def _tuples(column) -> Iterator[list[tuple]]:
+    """The lists of structs of an Arrow column as lists of tuples."""
+    flat, at = list(zip(*(c.to_pylist() for c in column.flatten().flatten()), strict=True)), 0
+    for n in column.value_lengths().to_pylist():
+        yield flat[at : at + n]
+        at += n
 
-    def run(batches):
-        import pyarrow as pa
 
-        kind, held, held_segments = None, None, []
-
-        def row():
-            columns = [pa.array([v], f.type) for v, f in zip(held, kind, strict=False)]
-            value = [[{"c": c, "a": a, "n": n} for c, a, n in held_segments]]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(value, kind.field(3).type)], schema=kind)
-
-        for b in batches:
-            kind = b.schema
-            for *head, segments in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                segments = [(s["c"], s["a"], s["n"]) for s in segments]
-                if held is not None and held[0] == head[0]:
-                    held_segments = compose(held_segments, segments)
-                    continue
-                if held is not None:
-                    yield row()
-                held, held_segments = head, segments
+def _composed(rows: Iterable[tuple[tuple, list[Segment]]]) -> Iterator[tuple[tuple, list[Segment]]]:
+    """Consecutive patches ((file, ...), segments) of a file composed to one, with the first head."""
+    held, made = None, []
+    for head, segments in rows:
+        if held is not None and held[0] == head[0]:
+            made = compose(made, segments)
+            continue
         if held is not None:
-            yield row()
-
-    return patches.mapInArrow(run, patches.schema)
+            yield held, made
+        held, made = head, segments
+    if held is not None:
+        yield held, made
 
 
 def blame(hunks: DataFrame) -> DataFrame:
@@ -96,35 +91,54 @@ def blame(hunks: DataFrame) -> DataFrame:
     files that end empty. Rows with a null file or commit are left out; equal hunk rows count once."""
     one = hunks.where("file IS NOT NULL AND commit IS NOT NULL").select("file", "at", "commit", F.struct("old_start", "old_lines", "new_lines").alias("h"))
     each = one.groupBy("file", "at", "commit").agg(F.collect_set("h").alias("hunks"))  # a commit's own hunks
+    kinds = {f.name: f.dataType.simpleString() for f in each.schema}
 
-    def patches(batches):
+    def runs(batches):
+        """Patches are made and composed in one go, so that only composed ones leave the task."""
         import pyarrow as pa
 
-        for b in batches:
-            made = [[{"c": x, "a": a, "n": n} for x, a, n in patch(c, [tuple(h.values()) for h in hs])] for c, hs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made, pa.list_(pa.struct([("c", pa.string()), ("a", pa.int64()), ("n", pa.int64())])))], ["file", "at", "commit", "segments"])
+        kind = None
 
-    kinds = {f.name: f.dataType.simpleString() for f in each.schema}
-    rows = each.mapInArrow(patches, f"file {kinds['file']}, at {kinds['at']}, commit {kinds['commit']}, segments array<struct<c: string, a: bigint, n: bigint>>")
-    order = ("file", "at", "commit")
-    rows = _folded(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    rows = _folded(rows.repartition("file").sortWithinPartitions(*order))
+        def patches():
+            nonlocal kind
+            for b in batches:
+                kind = b.schema
+                for *head, hunks in zip(*(b.column(k).to_pylist() for k in range(3)), _tuples(b.column(3)), strict=True):
+                    yield head, patch(head[2], hunks)
+
+        parts = _composed(patches())
+        while some := list(islice(parts, 1024)):
+            heads = [pa.array([h[k] for h, _ in some], kind.field(k).type) for k in range(3)]
+            segments = pa.array([[{"c": c, "a": a, "n": n} for c, a, n in made] for _, made in some], pa.list_(pa.struct([("c", pa.string()), ("a", pa.int64()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*heads, segments], ["file", "at", "commit", "segments"])
 
     def lines(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for file, segments in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+        kind = None
+
+        def patches():
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field(0).type
+                yield from zip(zip(b.column(0).to_pylist()), _tuples(b.column(3)), strict=True)
+
+        def found():
+            for (file,), segments in _composed(patches()):
                 at = 1
-                for s in segments:
-                    if s["c"] is not None:
-                        out.append((file, at, at + s["n"] - 1, s["c"]))
-                    at += s["n"]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (b.schema.field(0).type, pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "start", "end", "commit"])
-
-    return rows.mapInArrow(lines, f"file {kinds['file']}, start long, end long, commit string")
+                for c, _, n in segments:
+                    if c is not None:
+                        yield file, at, at + n - 1, c
+                    at += n
+
+        out = found()
+        while some := list(islice(out, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (kind, pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "start", "end", "commit"])
+
+    order = ("file", "at", "commit")
+    rows = each.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.mapInArrow(runs, f"file {kinds['file']}, at {kinds['at']}, commit {kinds['commit']}, segments array<struct<c: string, a: bigint, n: bigint>>")
+    return rows.repartition("file").sortWithinPartitions(*order).mapInArrow(lines, f"file {kinds['file']}, start long, end long, commit string")
 
 
 def commits_of(blamed: DataFrame, symbols: DataFrame, most: int = 15, bin_lines: int = 1000) -> DataFrame:

@@ -60,12 +60,13 @@ def hunk_log(commits: DataFrame) -> DataFrame:
     head = F.split(F.element_at(F.split(parts[0], "\n"), 1), r"\|", 4)
     rows = commits.select(head[0].alias("commit"), head[1].alias("at"), head[2].alias("author"), head[3].alias("subject"), F.explode(F.slice(parts, 2, F.size(parts))).alias("part"))
     new, old = (F.regexp_extract("part", rf"(?m)^{sign} (?:[ab]/)?(.+?)\r?$", 1) for sign in (r"\+\+\+", "---"))
-    number = lambda k: F.regexp_extract_all("part", F.lit(r"(?m)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"), F.lit(k))
-    names = ("old_start", "old_lines", "start", "lines")
-    hunks = F.explode(F.arrays_zip(*(number(k + 1).alias(n) for k, n in enumerate(names)))).alias("h")
-    rows = rows.select("commit", "at", "author", "subject", F.when(new == "/dev/null", old).otherwise(new).alias("file"), hunks)
-    whole = lambda n: F.when(F.col(f"h.{n}") == "", 1).otherwise(F.col(f"h.{n}").try_cast("long")).cast("long").alias(n)
-    return rows.select("commit", "at", "author", "subject", "file", *map(whole, names))
+    found = F.regexp_extract_all("part", F.lit(r"(?m)^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"), F.lit(0))
+    # one pass over the text; the file is found once for each part, and the part isn't repeated for each hunk
+    rows = rows.select("commit", "at", "author", "subject", F.when(new == "/dev/null", old).otherwise(new).alias("file"), found.alias("found"))
+    rows = rows.select("commit", "at", "author", "subject", "file", F.explode(F.transform("found", lambda x: F.split(x, " "))).alias("h"))
+    number = lambda side, k: F.get(F.split(F.substr(F.col("h")[side], F.lit(2)), ","), F.lit(k))
+    whole = lambda side, k, n: F.when(number(side, k).isNull(), 1).otherwise(number(side, k).try_cast("long")).cast("long").alias(n)
+    return rows.select("commit", "at", "author", "subject", "file", whole(1, 0, "old_start"), whole(1, 1, "old_lines"), whole(2, 0, "start"), whole(2, 1, "lines"))
 
 
 def unified_diff(lines: DataFrame) -> DataFrame:

@@ -76,6 +76,14 @@ def test_blame_like_a_replay(spark):
     assert [tuple(r) for r in blame.blame(before).collect()] == [("old", 10, 10, "x")]
 
 
+def test_blame_composes_patches_where_it_makes_them(spark):
+    df = spark.createDataFrame([("f", 1, "x", 0, 0, 3), ("f", 2, "y", 2, 1, 1)], "file string, at int, commit string, old_start int, old_lines int, new_lines int")
+    made = blame.blame(df)
+    # the range's sample and its exchange carry hunks, no patches
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert {tuple(r) for r in made.collect()} == {("f", 1, 1, "x"), ("f", 2, 2, "y"), ("f", 3, 3, "x")}
+
+
 def test_hunk_log(spark):
     text = "ab1|2024-01-02|Ann|Fix: a | b\n\ndiff --git a/x.py b/y.py\nrename to y.py\n--- a/x.py\n+++ b/y.py\n@@ -3 +3,2 @@ def f\n-+++ b/no.py\n+@@ -9 +9 @@\n@@ -7,0 +9 @@\n+x\ndiff --git a/z b/z\ndeleted file\n--- a/z\n+++ /dev/null\n@@ -1,4 +0,0 @@\n-a\ndiff --git a/i.png b/i.png\nBinary files differ\n"
     got = [tuple(r) for r in history.hunk_log(spark.createDataFrame([(text,), ("cd2|2024-01-03|Bo|empty",), (None,)], "value string")).collect()]
