@@ -40,6 +40,13 @@ def test_change_check_and_gate(spark, given):
     assert change.change_check(changed.limit(0), **given).count() == 0
 
 
+def test_the_gate_joins_only_what_it_counts(spark, given):
+    changed = spark.createDataFrame([(1, "a.py")], "change int, file string")
+    plan = change.gate(changed, change.change_check(changed, **given), "warning")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sibling" in plan and not any(f" {kind} AS kind" in plan for kind in ("hotspot", "boundary", "fragile", "link"))
+    assert "risk" not in plan
+
+
 def test_consolidation(spark):
     intents = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", None), ("d", 0.9), ("e", 0.9)], "file string, score double")
     activity = spark.createDataFrame([("a", "2024-03-30", 2), ("a", "2024-03-02", 1), ("b", "2024-03-30", 1), ("c", "2024-03-20", 4), ("d", "2024-02-01", 9), ("e", "2024-03-30", 1)], "file string, at string, commits int").withColumn("at", F.to_timestamp("at"))
