@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import stored
+
 #: Words that overlap scores leave out.
 STOP_WORDS = ("the", "and", "for", "all", "add", "with", "that", "this", "from", "are", "was", "to", "in", "of")
 
@@ -17,10 +19,14 @@ def terms(query: str) -> list[str]:
 
 
 def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, k: int = 20) -> DataFrame:
-    """docs(doc_id, text) → the k best by BM25. Only query terms leave the scan; lengths are counted in place."""
-    rows = docs.where("text is not null").select("doc_id", F.lower("text").alias("low")).select("doc_id", "low", F.regexp_count("low", F.lit("[a-z0-9_]+")).alias("len"))
+    """docs(doc_id, text) → the k best by BM25. Texts are split once: their lengths and query terms are kept as a narrow
+    table, which all counts come from."""
+    words = docs.where("text is not null").select("doc_id", F.split(F.lower("text"), "[^a-z0-9_]+").alias("w"))
+    # only the first and the last part of a split can be empty
+    ends = F.when(F.col("w")[0] == "", 1).otherwise(0) + F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
+    rows = stored(words.select("doc_id", (F.size("w") - ends).alias("len"), F.filter("w", lambda x: x.isin(terms(query))).alias("terms")), "bm25")
     size = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    hits = rows.select("doc_id", "len", F.explode(F.split("low", "[^a-z0-9_]+")).alias("term")).where(F.col("term").isin(terms(query))).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    hits = rows.select("doc_id", "len", F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import re
 
 import pytest
 
@@ -250,3 +251,19 @@ def test_patched_and_unguarded(spark):
     assert rows(conventions.patched(f)) == [("a", "z\ny")]
     code_ = "".join(f"def get_{k}(x):\n    assert isinstance(x, int)\n" for k in "abc") + "def get_d(x):\n    pass\n"
     assert rows(conventions.unguarded(spark.createDataFrame([("m.py", code_)], "path string, code string"))) == [("m.py", "get_d")]
+
+
+def test_bm25_splits_odd_texts_once(spark):
+    texts = ["", "!", "a", " a ", "a b!", "!a", "A-a_1 b", "c " * 9, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = {k: re.findall("[a-z0-9_]+", t.lower()) for k, t in enumerate(texts) if t is not None}
+    n, avg = len(lists), sum(map(len, lists.values())) / len(lists)
+    want = {}
+    for term in ("a", "b"):
+        df = sum(term in w for w in lists.values())
+        for k, w in lists.items():
+            if tf := w.count(term):
+                want[k] = want.get(k, 0) + math.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg))
+    best = retrieval.bm25(docs, "a, B")
+    assert {r["doc_id"]: r["score"] for r in best.collect()} == {k: pytest.approx(s, abs=2e-6) for k, s in want.items()}
+    assert "split" not in best._jdf.queryExecution().optimizedPlan().toString()
