@@ -52,7 +52,14 @@ class Merges:
         self.rank = {p: r for r, p in enumerate(pairs)}
         #: Sufficient lookahead in bytes.
         self.lookahead = max(map(len, vocab), default=1)
+        #: The length of the longest token that ends with these three bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in vocab:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(self.reach.get(t[-3:], 0), len(t))
         self._fits: dict[int, bool] = {}
+        #: Of tokens; as many as the vocabulary has at most.
+        self._ends: dict[int, tuple] = {}
 
     @classmethod
     def load(cls, path: str) -> Merges:
@@ -75,23 +82,64 @@ class Merges:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _edges(self, token: int) -> tuple[bool, list[tuple[int, bytes]], list[tuple[int, bytes]]]:
+        """Whether a token alone is canonical; and after each merge of its encoding, the merge's rank with the first part, and with
+        the last part."""
+        got = self._ends.get(token)
+        if got is None:
+            text, none, first, last = self.bytes_of[token], len(self.rank), [], []
+            parts = [text[i : i + 1] for i in range(len(text))]
+            while len(parts) > 1:
+                r, k = min((self.rank.get((parts[i], parts[i + 1]), none), i) for i in range(len(parts) - 1))
+                if r == none:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                first.append((r, parts[0]))
+                last.append((r, parts[-1]))
+            got = self._ends[token] = (parts == [text], first, last)
+        return got
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether the merges of a and b together never join them. Each goes on as it does alone until the parts where they meet
+        are the lowest-ranked pair; of equal ranks the leftmost is first."""
+        (whole, _, left), (sound, right, _) = self._edges(a), self._edges(b)
+        if not (whole and sound):
+            return False
+        rank, none = self.rank.get, len(self.rank)
+        p, q, i, j = self.bytes_of[a][-1:], self.bytes_of[b][:1], 0, 0
+        r = rank((p, q), none)
+        while True:
+            x = left[i][0] if i < len(left) else none
+            y = right[j][0] if j < len(right) else none
+            if r < x and r <= y and r != none:
+                return False
+            if x == y == none:
+                return True
+            if x <= y:
+                was, p, i = p, left[i][1], i + 1
+                changed = was != p
+            else:
+                was, q, j = q, right[j][1], j + 1
+                changed = was != q
+            if changed:
+                r = rank((p, q), none)
+
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may follow token a (a < 0: may begin a piece)."""
         key = (a + 1) << 24 | b
         got = self._fits.get(key)
         if got is None:
-            y = self.bytes_of[b]
-            parts = [y] if a < 0 else [self.bytes_of[a], y]
             if len(self._fits) > 1_000_000:
                 self._fits.clear()
-            got = self._fits[key] = self.plain(b"".join(parts)) == parts
+            got = self._fits[key] = self._edges(b)[0] if a < 0 else self._apart(a, b)
         return got
 
     def advance(self, buf: bytes, last: list[int], size: list[int]) -> None:
         """Add to last and size, for every further offset of buf, the token that can end there and its length."""
-        ids, known, most = self.ids.get, self._fits, self.lookahead
+        ids, known, reach = self.ids.get, self._fits, self.reach.get
         for n in range(len(last), len(buf) + 1):
-            for at in range(n - most if n > most else 0, n):
+            at = n - reach(buf[n - 3 : n], 2) if n > 2 else 0
+            for at in range(at if at > 0 else 0, n):
                 t = ids(buf[at:n])
                 if t is not None:
                     a = last[at]
@@ -185,11 +233,15 @@ class Encoder:
         got = self.new.get(s) or self.old.get(s)
         if got is None:
             buf, last, size, out = s.encode(), [-1], [0], []
-            self.m.advance(buf, last, size)
-            n = len(buf)
-            while n:
-                out.append(last[n])
-                n -= size[n]
+            whole = self.m.ids.get(buf)
+            if whole is not None and self.m.fits(-1, whole):  # the first token that would be tried at the end
+                out.append(whole)
+            else:
+                self.m.advance(buf, last, size)
+                n = len(buf)
+                while n:
+                    out.append(last[n])
+                    n -= size[n]
             got = array.array("I", out[::-1]).tobytes()
         if len(self.new) >= _KEPT:
             self.old, self.new = self.new, {}

@@ -49,3 +49,19 @@ def test_query_cases(spark, library):
 
     assert got == sorted((want(r[0], r[1]) for r in rows), key=str)
     assert bpe.digests(bpe.encode_decode(docs.limit(0), PATH)).count() == 0
+
+
+def test_pairs_fit_as_the_whole_merge_says():
+    import random
+
+    import public_tokenizers
+
+    from cairn.llm.bpe import Merges
+
+    m = Merges.load(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd, ids = random.Random(3), sorted(m.ids.values())
+    for a, b in [(rnd.choice(ids), rnd.choice(ids)) for _ in range(3000)]:
+        x, y = m.bytes_of[a], m.bytes_of[b]
+        assert m._apart(a, b) == (m.plain(x + y) == [x, y])
+        assert m.fits(-1, b) == (m.plain(y) == [y])
+    assert all(m.reach[t[-3:]] >= len(t) for t in m.ids if len(t) > 2)
