@@ -31,6 +31,8 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
 _COMMON = regex.compile("[\\x00-՗֐-״‐-⁯₠-₵←-⏳─-⭕　-ヿ一-鿌가-힣！-￮\U0001f300-\U0001f64f]*")
 #: Pieces of at most so many characters are kept with their ids, this many of them in each of two generations.
 _SHORT, _KEPT = 48, 150_000
+#: Pairs of tokens whose fit a worker keeps at a time.
+_PAIRS = 250_000
 #: Characters of a text that are split at a time.
 CHUNK = 1 << 20
 
@@ -129,7 +131,7 @@ class Merges:
         key = (a + 1) << 24 | b
         got = self._fits.get(key)
         if got is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) >= _PAIRS:
                 self._fits.clear()
             got = self._fits[key] = self._edges(b)[0] if a < 0 else self._apart(a, b)
         return got
@@ -210,18 +212,18 @@ class Encoder:
             from tokenizers import Tokenizer
 
             split = Tokenizer.from_file(self.path).pre_tokenizer
-            points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
 
             def joined(to: str) -> str:
-                """Ranges of the code points that stay in one piece with `to`."""
-                text = "".join(f"{to}{c}\n" for c in points)
-                hit = [ord(text[a + 1]) for _, (a, b) in split.pre_tokenize_str(text) if b - a == 2 and text[a] == to]
+                """Ranges of the code points that stay in one piece with `to`; the library is asked about 4,096 at a time, since a
+                piece takes far more memory than its text."""
                 runs: list[list[int]] = []
-                for c in hit:
-                    if runs and runs[-1][1] == c - 1:
-                        runs[-1][1] = c
-                    else:
-                        runs.append([c, c])
+                for first in range(0x80, 0x110000, 4096):
+                    text = "".join(f"{to}{chr(c)}\n" for c in range(first, min(first + 4096, 0x110000)) if not 0xD800 <= c < 0xE000)
+                    for c in [ord(text[a + 1]) for _, (a, b) in split.pre_tokenize_str(text) if b - a == 2 and text[a] == to]:
+                        if runs and runs[-1][1] == c - 1:
+                            runs[-1][1] = c
+                        else:
+                            runs.append([c, c])
                 return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
             letters, numbers = "a-zA-Z" + joined("a"), "0-9" + joined("1")

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -65,3 +67,14 @@ def test_pairs_fit_as_the_whole_merge_says():
         assert m._apart(a, b) == (m.plain(x + y) == [x, y])
         assert m.fits(-1, b) == (m.plain(y) == [y])
     assert all(m.reach[t[-3:]] >= len(t) for t in m.ids if len(t) > 2)
+
+
+def test_memory_of_odd_characters_and_pairs(monkeypatch):
+    # a process of its own, since the peak of this one may be anything
+    code = f"import resource; from cairn.llm import bpe; bpe.Encoder({PATH!r})._classes(); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 400 * 1024
+    monkeypatch.setattr(bpe, "_PAIRS", 50)
+    e = bpe.Encoder(PATH)
+    text = " ".join(random.Random(7).choice("abcdefghij") * k + "xyzzy" for k in range(1, 40))
+    assert list(memoryview(e.encode(text)).cast("I")) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert len(e.m._fits) <= 50
