@@ -47,8 +47,10 @@ GAINS = (1, 2, 3, 4, 5, 6, 8)
 SPLITS, VOTES, CURVE = 3, 2, 5
 #: Near copies stay in the training rows if fewer rows than this would be left without them.
 FEW = 10
-#: Gains that a worker keeps at a time.
-KEPT = 60_000
+#: Places (a power of two) of the gains that a task keeps, a window in its own place; 11 bytes each.
+PLACES = 1 << 21
+#: So many windows, as in training, are coded in one call on all cores.
+MANY = 50_000
 PAD = bytes(33 + (i * i * 7 + i * 31) % 94 for i in range(48))
 _SPACED = str.maketrans(dict.fromkeys(string.punctuation + "«»“”„‘’…–—¡¿", " "))
 
@@ -76,30 +78,104 @@ def _coder(content: bytes):
 
     known = zstandard.ZstdCompressionDict(content + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-class Coder:
-    """Gains of windows under two dictionaries."""
+def _grams(rows: np.ndarray) -> np.ndarray:
+    """The four bytes from each place of every row on, as integers."""
+    rows = np.ascontiguousarray(rows)
+    return np.ndarray((len(rows), rows.shape[1] - 3), "<u4", rows, strides=(rows.shape[1], 1))
+
+
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    return (grams * np.uint32(2654435761)) >> np.uint32(12)
+
+
+def _lengths(coder, rows: np.ndarray) -> np.ndarray:
+    """Compressed lengths of full windows."""
+    import zstandard
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.foul = _coder(ordinary), _coder(toxic)
-        self.known: dict[bytes, int] = {}
-        self.whole = {n: len(_coder(b"")(PAD + bytes(range(128, 128 + n)))) for n in range(WINDOW + 1)}
+    framed = np.empty((len(rows), len(PAD) + WINDOW), np.uint8)
+    framed[:, : len(PAD)] = np.frombuffer(PAD, np.uint8)
+    framed[:, len(PAD) :] = rows
+    places = np.full((len(rows), 2), framed.shape[1], np.uint64)
+    places[:, 0] = np.arange(len(rows)) * framed.shape[1]
+    made = coder.multi_compress_to_buffer(zstandard.BufferWithSegments(framed.tobytes(), places.tobytes()), threads=-1)
+    return np.fromiter((len(made[k]) for k in range(len(rows))), np.int64, len(rows))
+
+
+class Coder:
+    """Gains of windows under two dictionaries. With `places`, windows of the full length are remembered, the last one of
+    each place of a table."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, places: int = 0):
+        self.coders = _coder(ordinary), _coder(toxic)
+        self.plain, self.foul = (c.compress for c in self.coders)
+        self.whole = {n: len(_coder(b"").compress(PAD + bytes(range(128, 128 + n)))) for n in range(WINDOW + 1)}
+        #: Whether some four bytes with this hash come before a window.
+        self.before = np.zeros(1 << 20, bool)
+        self.before[_hashed(_grams(np.frombuffer(toxic + PAD + PAD, np.uint8)[None]))] = True
+        self.shift = np.uint64(65 - places.bit_length())
+        self.kept = (np.zeros(places, np.uint64), np.zeros(places, np.uint16), np.full(places, 255, np.uint8)) if places else None
 
     def gain(self, window: bytes) -> int:
         """How many bytes shorter the toxic dictionary makes it, 0 if it makes it no shorter."""
-        got = self.known.get(window)
-        if got is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            foul = len(self.foul(PAD + window))
-            # what the toxic dictionary can't shorten at all needs no second look
-            got = self.known[window] = max(0, len(self.plain(PAD + window)) - foul) if foul < self.whole[len(window)] else 0
-        return got
+        foul = len(self.foul(PAD + window))
+        # what the toxic dictionary can't shorten at all needs no second look
+        return max(0, len(self.plain(PAD + window)) - foul) if foul < self.whole[len(window)] else 0
+
+    def _matches(self, rows: np.ndarray) -> np.ndarray:
+        """Whether the toxic dictionary could shorten a window: a match has four bytes at least, so some four that end in the
+        window must stand before it or twice in it."""
+        lead = np.empty((len(rows), WINDOW + 3), np.uint8)
+        lead[:, :3] = np.frombuffer(PAD[-3:], np.uint8)
+        lead[:, 3:] = rows
+        grams = _grams(lead)
+        hit = self.before[_hashed(grams)].any(axis=1)
+        left = np.flatnonzero(~hit)
+        if len(left):
+            own = np.sort(grams[left], axis=1)
+            hit[left] = (own[:, 1:] == own[:, :-1]).any(axis=1)
+        return hit
+
+    def _fresh(self, flat: bytes) -> np.ndarray:
+        """Gains of the full windows in flat; of many, all cores code them."""
+        rows = np.frombuffer(flat, np.uint8).reshape(-1, WINDOW)
+        out = np.zeros(len(rows), np.int64)
+        at = np.flatnonzero(self._matches(rows))
+        if len(at) < MANY:
+            for k in at.tolist():
+                out[k] = self.gain(flat[k * WINDOW : (k + 1) * WINDOW])
+            return out
+        foul = _lengths(self.coders[1], rows[at])
+        less = foul < self.whole[WINDOW]
+        at, foul = at[less], foul[less]
+        out[at] = np.maximum(0, _lengths(self.coders[0], rows[at]) - foul) if len(at) else 0
+        return out
 
     def gains(self, found) -> np.ndarray:
-        return np.fromiter(map(self.gain, found), np.int64, len(found))
+        """The gain of each window, in their order."""
+        short = {k: self.gain(w) for k, w in enumerate(found) if len(w) != WINDOW}
+        full = [w for w in found if len(w) == WINDOW] if short else list(found)
+        flat = b"".join(full)
+        if self.kept is None or not full:
+            got = self._fresh(flat)
+        else:
+            low = np.ndarray(len(full), "<u8", flat, 0, (WINDOW,)).copy()
+            high = np.ndarray(len(full), "<u2", flat, 8, (WINDOW,)).copy()
+            at = (((low ^ (low >> np.uint64(29))) + high) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+            lows, highs, sizes = self.kept
+            got = sizes[at].astype(np.int64)
+            new = np.flatnonzero((lows[at] != low) | (highs[at] != high) | (got == 255))
+            if len(new):
+                got[new] = self._fresh(np.frombuffer(flat, np.uint8).reshape(-1, WINDOW)[new].tobytes())
+                lows[at[new]], highs[at[new]], sizes[at[new]] = low[new], high[new], got[new]
+        if short:
+            out = np.empty(len(found), np.int64)
+            out[list(short)] = list(short.values())
+            out[np.delete(np.arange(len(found)), list(short))] = got
+            return out
+        return got
 
 
 @dataclass
@@ -116,7 +192,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.coder = Coder(model.ordinary, model.toxic)
+        self.coder = Coder(model.ordinary, model.toxic, PLACES)
 
     def features(self, text: str) -> list[float]:
         found = windows(text)
@@ -174,7 +250,7 @@ def _narrowed(ordinary: list[str], toxic: list[str]) -> list[bytes]:
             coder = Coder(plain[1 - j], foul[1 - j])
             usual = coder.gains(calm[j])
             least = 1 + (np.quantile(usual, 1 - RARE, method="higher") if len(usual) else 0)
-            picked.append([w for one in loud[j] for w in one if coder.gain(w) >= least])
+            picked.append([w for one in loud[j] for w, g in zip(one, coder.gains(one).tolist(), strict=True) if g >= least])
         if r >= ROUNDS - LAST_ROUNDS:
             learnt += picked[0] + picked[1]
         for j in (0, 1):
@@ -186,7 +262,7 @@ def _narrowed(ordinary: list[str], toxic: list[str]) -> list[bytes]:
 def _harder(plain: bytes, foul: bytes, calm) -> bytes:
     """The ordinary dictionary with the ordinary windows in front that the toxic one shortens."""
     coder = Coder(plain, foul)
-    return b"".join(w for w in calm if coder.gain(w) >= WORSE) + plain
+    return b"".join(w for w, g in zip(calm, coder.gains(calm).tolist(), strict=True) if g >= WORSE) + plain
 
 
 def dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import pyarrow.parquet as pq
@@ -92,3 +93,29 @@ def test_windows_cover_every_byte():
                 k = b.find(w, k + 1)
         assert covered == set(range(len(b)))
     assert toxicity.windows("") == toxicity.windows(" ,;") == {}
+
+
+def test_gains_are_remembered_and_like_single_calls(monkeypatch):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 12))) for _ in range(4000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(300)) for _ in range(500)] + ["ha " * 30, "x" * 400, "abab" * 9, "", "zq"]
+    ordinary, toxic = (" ".join(rnd.choice(words) for _ in range(n)).encode() for n in (3000, 150))
+    s = toxicity.Scorer(toxicity.Model(ordinary, toxic, (0.1,) * (len(toxicity.GAINS) + 3)))
+    asked = []
+    foul, plain = s.coder.foul, s.coder.plain
+    s.coder.foul = lambda w: asked.append(w) or foul(w)
+    first = [s.score(t) for t in texts]
+    found = {w for t in texts for w in toxicity.windows(t)}
+    assert len(found) > 70_000 and len(set(asked)) < len(found)  # some have nothing in common with the toxic dictionary
+    asked.clear()
+    assert [s.score(t) for t in texts] == first and len(asked) < len(found) // 10
+
+    def alone(w):
+        return max(0, len(plain(toxicity.PAD + w)) - len(foul(toxicity.PAD + w)))
+
+    for many, coder in ((toxicity.MANY, toxicity.Coder(ordinary, toxic)), (9, toxicity.Coder(ordinary, toxic)), (9, toxicity.Coder(ordinary, toxic, 64))):
+        monkeypatch.setattr(toxicity, "MANY", many)
+        for t in texts[-25:] + texts[-25:]:
+            w = toxicity.windows(t)
+            assert coder.gains(w).tolist() == [alone(x) for x in w]
+            assert coder.gains(dict.fromkeys(reversed(w))).tolist() == [alone(x) for x in reversed(w)]
