@@ -1,8 +1,8 @@
 """What a question's reader is given: bundles of symbols under a budget of tokens.
 
 `best_first` follows dependencies from the most similar symbol on, as a priority queue does, for all questions at once. A
-question's queue is folded in its own group, as far as the symbols go whose dependencies are known; those that it then needs
-are joined with the graph in the next round, for all questions together. Similarities are computed for these pairs alone.
+question's queue is folded, in sorted partitions that hold one question's rows, as far as the symbols go whose dependencies are
+known; those that it then needs are joined with the graph in the next round, for all questions that aren't done yet. Similarities are computed for these pairs alone.
 
 `two_pass` fills a budget in a fixed order and degrades what doesn't fit instead of dropping it: each item has sizes at
 several levels of detail, and gets the first that fits.
@@ -11,6 +11,7 @@ several levels of detail, and gets the first that fits.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,11 @@ from cairn.session import stored
 AHEAD = 64
 
 
-def _queue(rows: list[dict], budget: int) -> tuple[list[tuple], list[str]]:
-    """Takes (id, sim, rank, spent) of one question's rows, and the ids whose dependencies are missing before it can go
-    on. rows: id, sim, tokens, seed, known, deps (null: not fetched)."""
-    heap = [(-r["sim"], r["id"], r["tokens"]) for r in rows if r["seed"]]
+def _queue(seeds: list[tuple], known: dict[str, list[tuple]], budget: int) -> tuple[list[tuple], list[str]]:
+    """Takes (id, sim, rank, spent) of one question, and the ids whose dependencies are missing before it can go on.
+    seeds and known, the dependencies of each id as far as fetched: (-sim, id, tokens)."""
+    heap = list(seeds)
     heapq.heapify(heap)
-    known = {r["id"]: r["deps"] for r in rows if r["deps"] is not None}
     seen, taken, spent = set(), [], 0
     while heap and spent < budget:
         sim, node, tokens = heap[0]
@@ -42,8 +42,8 @@ def _queue(rows: list[dict], budget: int) -> tuple[list[tuple], list[str]]:
         spent += tokens
         taken.append((node, -sim, len(taken) + 1, spent))
         for d in known[node]:
-            if d["id"] not in seen:
-                heapq.heappush(heap, (-d["sim"], d["id"], d["tokens"]))
+            if d[1] not in seen:
+                heapq.heappush(heap, d)
     return taken, []
 
 
@@ -54,35 +54,76 @@ def best_first(seeds: DataFrame, deps: DataFrame, questions: DataFrame, symbols:
     without a row in symbols are never taken; a symbol that doesn't fit isn't followed."""
     q = questions.select("question", F.col("vector").alias("qv"))
     cos = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = lambda pairs: pairs.join(q, "question").join(symbols, "id").withColumn("sim", F.round(cos("qv", "vector"), 6))
-    known = stored(scored(seeds.select("question", "id").distinct()).select("question", "id", "sim", "tokens", F.lit(True).alias("seed"), F.lit(None).cast("array<struct<sim: double, id: string, tokens: bigint>>").alias("deps")), "bundle")
-    kind = symbols.schema["id"].dataType.simpleString()
-    if kind != "string":
+    scored = lambda pairs: pairs.join(q, "question").join(symbols, "id").withColumn("sim", F.round(cos("qv", "vector"), 6)).where("sim IS NOT NULL")
+    if symbols.schema["id"].dataType.simpleString() != "string":
         raise ValueError("ids are strings")
-    spec = f"question {questions.schema['question'].dataType.simpleString()}, id string, sim double, rank long, spent long"
+    # src: whose dependency id is, null for a seed. A null id says that src's dependencies are fetched, in results that src's are wanted.
+    kinds = f"question {questions.schema['question'].dataType.simpleString()}, src string, id string, sim double, tokens long"
+    columns = ["question", "src", "id", "sim", "tokens"]
 
-    def fold(frame):
-        import pandas as pd
+    def fold(batches):
+        import pyarrow as pa
 
-        taken, missing = _queue(frame.to_dict("records"), budget)
-        question = frame["question"].iloc[0]
-        return pd.DataFrame([(question, *t) for t in taken] + [(question, i, None, None, None) for i in missing], columns=["question", "id", "sim", "rank", "spent"])
+        schema, size = None, 0
+        rows: list[list] = [[] for _ in range(7)]
 
+        def close(question, lines):
+            seeds, known = [], {}
+            for src, node, sim, tokens in lines:
+                if src is not None:
+                    of = known.setdefault(src, [])
+                    if node is not None:
+                        of.append((-sim, node, tokens))
+                else:
+                    seeds.append((-sim, node, tokens))
+            taken, missing = _queue(seeds, known, budget)
+            if missing:
+                made = [(question, *x, None, None) for x in lines] + [(question, i, None, None, None, 0, None) for i in missing]
+            else:
+                made = [(question, None, node, sim, None, rank, spent) for node, sim, rank, spent in taken]
+            for column, values in zip(rows, zip(*made, strict=True), strict=False):
+                column.extend(values)
+
+        def full():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema, strict=True)], [*columns, "rank", "spent"])
+            for c in rows:
+                c.clear()
+            return out
+
+        asked, lines = None, []
+        for b in batches:
+            schema = schema or [*(f.type for f in b.schema), pa.int64(), pa.int64()]
+            for question, *line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if lines and question != asked:
+                    close(asked, lines)
+                    lines = []
+                    if len(rows[0]) >= 10_000:
+                        yield full()
+                asked = question
+                lines.append(line)
+        if lines:
+            close(asked, lines)
+        if rows[0]:
+            yield full()
+
+    done = []
+    open_ = scored(seeds.select("question", "id").distinct()).select("question", F.lit(None).cast("string").alias("src"), "id", "sim", F.col("tokens").cast("long").alias("tokens"))
+    edges = None
     while True:
-        out = stored(known.groupBy("question").applyInPandas(fold, spec), "bundle-round")
-        wanted = out.where("rank IS NULL").select("question", "id")
+        out = stored(open_.repartition("question").sortWithinPartitions("question").mapInArrow(fold, f"{kinds}, rank long, spent long"), "bundle-round")
+        done.append(out.where("rank > 0").select("question", "id", "rank", "spent"))
+        wanted = out.where("rank = 0").select("question", "src")
         if wanted.isEmpty():
-            return out.select("question", "id", F.col("rank").cast("long").alias("rank"), F.col("spent").cast("long").alias("spent"))
-        step = wanted.join(deps.select("src", "dst").distinct(), F.col("id") == F.col("src")).select("question", "src", F.col("dst").alias("id"))
-        near = scored(step)
+            return reduce(DataFrame.unionByName, done)
+        edges = edges if edges is not None else stored(deps.select("src", "dst").distinct(), "bundle-edges")
+        near = scored(wanted.join(edges, "src").select("question", "src", F.col("dst").alias("id")))
         if targets is None:
             near = near.where(F.col("sim") > least)
         else:
             near = near.join(targets.select("question", "file").distinct(), ["question", "file"], "left_semi")
-        found = near.groupBy("question", F.col("src").alias("id")).agg(F.collect_list(F.struct("sim", "id", "tokens")).alias("deps"))
-        found = wanted.join(found, ["question", "id"], "left").select("question", "id", F.coalesce("deps", F.array().cast("array<struct<sim: double, id: string, tokens: bigint>>")).alias("deps"))
-        more = found.select("question", "id", F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("seed"), "deps")
-        known = stored(known.unionByName(more), "bundle")
+        fetched = wanted.select("question", "src", F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("long").alias("tokens"))
+        # of a question that is done nothing is carried on
+        open_ = out.where("rank IS NULL").select(columns).unionByName(fetched).unionByName(near.select("question", "src", "id", "sim", F.col("tokens").cast("long").alias("tokens")))
 
 
 def reading_order(ranked: DataFrame, deps: DataFrame, top: int = 2) -> DataFrame:

@@ -44,6 +44,19 @@ def test_best_first_like_a_queue(spark, monkeypatch):
     assert {r["id"] for r in aimed.collect()} <= {i for i in ids if int(i[1:]) % 4 == 1} | {s for _, ss in asked.values() for s in ss}
 
 
+def test_best_first_carries_only_open_questions(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(bundles, "AHEAD", 1)
+    monkeypatch.setattr(bundles, "stored", lambda df, name: rounds.append(df.cache()) or rounds[-1])
+    symbols = spark.createDataFrame([(f"s{k}", [1.0], 10) for k in range(5)], "id string, vector array<double>, tokens long")
+    edges = spark.createDataFrame([(f"s{k}", f"s{k + 1}") for k in range(4)], "src string, dst string")
+    questions = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "question int, vector array<double>")
+    got = bundles.best_first(spark.createDataFrame([(1, "gone"), (1, "s4"), (2, "s1")], "question int, id string"), edges, questions, symbols, 20)
+    assert {tuple(r) for r in got.collect()} == {(1, "s4", 1, 10), (2, "s1", 1, 10), (2, "s2", 2, 20)}
+    held = [{r["question"] for r in df.collect()} for df in rounds if "question" in df.columns]
+    assert {1, 2} in held and held[-1] == {2}
+
+
 def test_two_pass_like_a_greedy_fill(spark):
     rnd = random.Random(5)
     ranked = [(q, f"s{k}", r + 1) for q in range(8) for r, k in enumerate(rnd.sample(range(30), 12))]
